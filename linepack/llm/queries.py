@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctph, packing, sharding, simhash, token_counts, topk
-from ._common import table
+from . import bpe, ctph, language, packing, quality, sharding, simhash, token_counts, topk, warc
+from ._common import scratch, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_text_model(table(spark, sf_dir, "documents"))
+    return language.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
 
@@ -35,13 +40,28 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_token_counts, op4_sharding, op6_exact_top_k, op7_bpe_round_trip, op10_best_fit_packing)
-}
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_document_fingerprints, op3_token_counts, op4_sharding, op5_language_id,
+        op6_exact_top_k, op7_bpe_round_trip, op8_quality_classifier, op9_warc, op10_best_fit_packing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": """
@@ -53,4 +73,13 @@ ORACLE_SQL: dict[str, str] = {
               from v q join v c on c.vec_id <> q.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+        t as (select *, max(page_id) over (partition by h) as top from p)
+        select page_id, cast(strlen(html) as bigint) as payload_bytes,
+               list_aggregate(list_transform(range(0, 8), i -> list_aggregate(list_transform([15, 10, 5, 0],
+                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, cast(i * 5 + 1 as integer), 5) as bigint) >> s) & 31) + 1 as integer), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+               case when page_id is null or page_id = top then 'response' else 'revisit' end as record_type,
+               case when page_id <> top then top end as refers_to
+        from t""",
 }
