@@ -1,19 +1,44 @@
-"""The corpus pipeline: STAGES over documents, each written and read again by ``run``."""
+"""The corpus pipeline: STAGES over documents, each written and read again by ``run``.
+
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linepack.llm import simhash
+from linepack.llm import language, packing, quality, simhash
 from linepack.llm._common import materialise, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the corpus's languages go; the text model is fitted on a bounded sample of each."""
+    return language.keep_languages(docs, language.fit_text_model(docs))
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier bad than good go; learned from the labels that are not held out."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("quality classifier", classify_quality),
+    ("SimHash near-dedup", near_dedup),
+    ("best-fit packing", pack),
+]
+#: SQL cannot express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
