@@ -77,13 +77,12 @@ def cut_positions(groups: DataFrame, shards: int, fan: int = FAN, first: int = F
 
     What reaches the driver is the sums of cells: 2 ** first, then for each round those near the cuts.
     """
-    def summed(df: DataFrame, bits: int) -> list[Cell]:
-        cell = F.shiftright("position", bits).alias("cell")
-        rows = df.groupBy(cell).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("position").alias("at")).collect()
-        return [(r["at"], 0, r["size"]) if r["n"] == 1 else (r["cell"] << bits, bits, r["size"]) for r in rows]
+    def summed(df: DataFrame, bits: Column) -> list[Cell]:
+        df = df.withColumn("bits", bits).where("bits is not null")
+        rows = df.groupBy("bits", F.expr("shiftright(position, bits)").alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("position").alias("at")).collect()
+        return [(r["at"], 0, r["size"]) if r["n"] == 1 else (r["cell"] << r["bits"], r["bits"], r["size"]) for r in rows]
 
-    bits = 62 - first
-    cells = sorted(summed(groups, bits))
+    cells = sorted(summed(groups, F.lit(62 - first)))
     while cells:
         sizes = [c[2] for c in cells]
         prefix = [0, *accumulate(sizes)]
@@ -91,38 +90,34 @@ def cut_positions(groups: DataFrame, shards: int, fan: int = FAN, first: int = F
         upper, _ = least_capacity(sizes, shards)
         single = max([s for (_, b, s) in cells if b == 0], default=0)
         lower = max(-(-prefix[-1] // shards), single)
-        # a cut lies between where the smallest capacity reaches with whole cells and the largest with split ones
-        early, late = _reach(prefix, shards, lower, False), _reach(prefix, shards, upper, True)
-        opened = sorted({k for a, b in zip(early, late, strict=True) for k in range(a, min(b + 1, len(cells))) if cells[k][1] > 0})
-        # a large cell may hold the largest group, which bounds the capacity from below
-        opened = sorted({*opened, *(k for k, c in enumerate(cells) if c[1] > 0 and c[2] > lower)})
-        if not opened:
+        windows = [(k, k) for k, c in enumerate(cells) if c[1] > 0 and c[2] > lower]  # fewer than ``shards``
+        if not windows:  # no cell is larger than the capacity can be, so a greedy pass over whole cells never stands still
+            # a cut lies between where the smallest capacity reaches with whole cells and the largest with split ones
+            early, late = _reach(prefix, shards, lower, False), _reach(prefix, shards, upper, True)
+            windows = [(a, min(b, len(cells) - 1)) for a, b in zip(early, late, strict=True) if any(c[1] for c in cells[a : b + 1])]
+        if not windows:
             break
-        finer = []
-        for bits in sorted({cells[k][1] for k in opened}):
-            of = [k for k in opened if cells[k][1] == bits]
-            step = max(0, bits - fan)
-            ranges = _merged([cells[k][0] for k in of], bits)
-            inside = F.lit(False)
-            for lo, hi in ranges:
-                inside = inside | F.col("position").between(lo, hi)
-            finer += summed(groups.where(inside), step)
-        gone = set(opened)
-        cells = sorted([c for k, c in enumerate(cells) if k not in gone] + finer)
+        bits, merged = F.lit(None).cast("int"), _merged(windows)
+        for first_, last in merged:
+            widths = [c[1] for c in cells[first_ : last + 1] if c[1]]
+            step = min(min(widths), max(0, max(widths) - fan))
+            bits = F.when(F.col("position").between(cells[first_][0], cells[last][0] + (1 << cells[last][1]) - 1), step).otherwise(bits)
+        gone = {k for a, b in merged for k in range(a, b + 1)}
+        cells = sorted([c for k, c in enumerate(cells) if k not in gone] + summed(groups, bits))
     if not cells:
         return []
     _, cuts = least_capacity([c[2] for c in cells], shards)
     return [cells[k][0] for k in cuts if k < len(cells)]
 
 
-def _merged(starts: list[int], bits: int) -> list[tuple[int, int]]:
-    """Neighbouring cells of one width as closed ranges of positions."""
+def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Closed ranges of cells, overlapping and neighbouring ones as one."""
     out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and out[-1][1] == s - 1:
-            out[-1] = (out[-1][0], s + (1 << bits) - 1)
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((s, s + (1 << bits) - 1))
+            out.append((a, b))
     return out
 
 

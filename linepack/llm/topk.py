@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     packed = "width bigint, block bigint, ids binary, cols binary"
     cand = ints.where("width > 0").withColumn("block", F.expr(f"pmod(xxhash64(id, v), {blocks})")).groupBy("width", "block").applyInArrow(_packed(["width", "block"]), packed)
     asks = queries.where("width > 0").withColumn("block", F.expr(f"pmod(xxhash64(id, v, 1), {groups})")).groupBy("width", "block").applyInArrow(_packed(["width", "block"]), packed)
-    asks = asks.select("width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col("ids").alias("q_ids"), F.col("cols").alias("q_cols"))
+    asks = asks.select("width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("cols").alias("q_cols"))
     met = asks.join(cand, ["width", "block"]).select("q_ids", "q_cols", "ids", "cols")
     met = met.repartition(max(1, min(blocks * groups, 16 * partitions(spark))))
     found = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
