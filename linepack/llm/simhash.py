@@ -260,7 +260,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, simil
     Candidates come from fingerprints of the distinct long words, of which a near copy changes few, within ``radius``
     bits; a candidate link holds if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
     more (sets of 32-bit shingle hashes). Groups are the components of the links. Null texts count as empty, and empty
-    texts are copies of each other. Rows with a null doc_id always stay. Of rows that repeat a doc_id and text all stay.
+    texts are copies of each other. Texts are joined by merge joins at every size, so the plan does not change with it.
+    Rows with a null doc_id always stay. Of rows that repeat a doc_id and text all stay.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     keyed = own.select(F.struct("doc_id", F.sha2("text", 256).alias("digest")).alias("id"), "text")
@@ -268,7 +269,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, simil
     copies = materialise(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "copies")
     maybe = materialise(links(copies.select("node", "fp"), radius), "maybe")
     ends = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
-    bodies = own.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(ends, "node", "left_semi")
+    bodies = own.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(ends.hint("merge"), "node", "left_semi")
     sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary"), "sets")
     both = maybe.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
@@ -277,4 +278,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, simil
     least = roots.groupBy("root").agg(F.min("node").alias("keep"))
     gone = roots.join(least, "root").where("node <> keep").select("node")
     kept = materialise(copies.join(gone, "node", "left_anti").select("node"), "kept")
-    return docs.join(kept, docs["doc_id"] == kept["node"], "left_semi").unionByName(docs.where("doc_id is null"))
+    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["node"], "left_semi").unionByName(docs.where("doc_id is null"))
