@@ -1,12 +1,11 @@
 """Splitting of over-long lines at sentence ends near their middle.
 
-All levels of the recursion are nested array transforms of one row, so no text is shuffled. Only lines over the budget
-go through them, and their number of levels follows the longest line.
+Levels of the recursion are array transforms of one row, a few at a time until no piece is over the budget, so no text
+is shuffled for them. Only lines over the budget go through them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,8 @@ from ..functions.text import cap_newline_runs, strip_leading_newlines
 MOST = 254
 STOPS = ".!?;。！？；…"
 WINDOW = 0.25
+#: Levels between two looks at whether any piece is still too long.
+LEVELS = 4
 
 Measure = Callable[[Column], Column]
 
@@ -51,10 +52,13 @@ def _cut(piece: Column) -> Column:
     return F.when((last == 0) | (at == 0) | (at == n), mid).otherwise(at)
 
 
+def _fits(p: Column, most: int, measure: Measure) -> Column:
+    return (F.octet_length(p["text"]) + p["budget"] <= most) | (measure(p["text"]) + p["budget"] <= most) | (F.length(p["text"]) < 2)
+
+
 def _level(pieces: Column, most: int, measure: Measure) -> Column:
     def step(p: Column) -> Column:
-        text, budget = p["text"], p["budget"]
-        fits = (F.octet_length(text) + budget <= most) | (measure(text) + budget <= most) | (F.length(text) < 2)
+        text, budget, fits = p["text"], p["budget"], _fits(p, most, measure)
         cut = _cut(text)
         left = F.struct(F.substring(text, F.lit(1), cut).alias("text"), F.lit(1).alias("budget"))
         right = F.struct(F.substring(text, cut + 1, F.length(text)).alias("text"), budget.alias("budget"))
@@ -75,15 +79,17 @@ def split_long_lines(df: DataFrame, most: int = MOST, measure: Measure = n_words
     body = lambda x: F.regexp_replace(x, r"[\n\r]+$", "")
     sep = lambda x: F.regexp_extract(x, r"[\n\r]+$", 0)
     marked = clean.withColumn("__long", F.coalesce(F.exists(parts, lambda x: over_budget(body(x), sep(x), most, measure)), F.lit(False)))
-    longest = marked.where("__long").agg(F.max(F.array_max(F.transform(parts, F.length)))).first()[0] or 0
-    levels = math.ceil(math.log(max(2, longest)) / math.log(4 / 3)) + 1 if longest else 0
-
     long = split_segments(marked.where("__long").select(key, col), col)
     long = long.withColumn("over", (F.col("content") != "") & over_budget(F.col("content"), F.col("sep"), most, measure))
     start = F.array(F.struct(F.col("content").alias("text"), F.greatest(F.lit(1), F.length("sep")).alias("budget")))
     todo = long.where("over").withColumn("pieces", start)
-    for _ in range(levels):  # each level is one expression over the last; a piece that fits is passed on
-        todo = todo.withColumn("pieces", _level(F.col("pieces"), most, measure))
+    todo = todo.withColumn("open", F.lit(True)).persist()
+    while not todo.where("open").isEmpty():
+        step = todo
+        for _ in range(LEVELS):  # a piece that fits is passed on
+            step = step.withColumn("pieces", _level(F.col("pieces"), most, measure))
+        todo = step.withColumn("open", F.exists("pieces", lambda p: ~_fits(p, most, measure))).persist()
+    todo = todo.drop("open")
     whole = long.where(~F.col("over")).withColumn("line", F.col("content")).unionByName(todo.withColumn("line", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n")).drop("pieces"))
     joined = rejoin(whole, key, col)
     same = marked.where(~F.col("__long")).drop("__long")

@@ -164,6 +164,7 @@ ORACLE_SQL = {
     "c05_extend_vocab": _vocab_sql(SPECIALS) + " select * from vocab",
     "c06_token_bytes": _V + " select id, cast(case when is_special then 0 else strlen(token) end as integer) as n_bytes from vocab",
     "c07_token_bytes_stats": _V + " select cast(min(strlen(token)) as integer) as min, cast(max(strlen(token)) as integer) as max, avg(strlen(token)) as mean, stddev_samp(strlen(token)) as std from vocab where not is_special and strlen(token) > 0",
+    "c09_decode": "with " + BLOCKS + " select doc_id, true as lossless from docs",
     "c10_reverse": "with " + BLOCKS + " select doc_id, md5('<bos> ' || array_to_string(list_reverse(string_split(replace(text, chr(10), ' '), ' ')), ' ')) as digest from docs",
     "c11_compression_report": _W + ", t as (select lang, count(*) as tokens from w group by lang), b as (select lang, cast(sum(strlen(text)) as bigint) as bytes from docs group by lang) select lang, bytes, tokens, bytes / tokens as bytes_per_token from t join b using (lang)",
     "c12_compare_tokenizers": _W + """, t as (select source, count(*) as o from w group by source), b as (select source, cast(sum(length(text) // 6) as bigint) as c from docs group by source)
