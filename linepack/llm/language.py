@@ -26,6 +26,7 @@ NONE = "und"
 #: Trigrams from which on the weight of a text no longer grows, and the share of a trigram's log likelihood that counts.
 SATURATION = 200
 TEMPER = 1 / 3
+_DIGIT = re.compile(r"\d").search
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,10 @@ class TextModel:
 
 
 def trigrams(text: str) -> np.ndarray:
-    """The bucket of each byte trigram of the lower-cased text between single blanks."""
-    raw = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    """The bucket of each byte trigram of the lower-cased words between single blanks; words with digits (numbers, keys,
+    addresses) are in no language and left out."""
+    words = [w for w in text.lower().split() if w.isalpha() or not _DIGIT(w)]
+    raw = np.frombuffer((" " + " ".join(words) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(raw) < 4:  # no or one letter
         return np.zeros(0, np.uint32)
     return ((raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(17)
@@ -185,7 +188,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 def keep_languages(docs: DataFrame, model: TextModel, accept: tuple[str, ...] | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` in an accepted language (default: all of the model's) with a posterior of ``least`` or more.
 
-    The lang column is the declared language and the source column stands for the host. Rows without any trigram, and
+    The lang column is the declared language and the source column stands for the host. Rows without any letter, and
     those that the background takes, go. Rows are told apart by doc_id and text, so repeated rows share a decision;
     all columns are kept as they are.
     """
@@ -193,7 +196,7 @@ def keep_languages(docs: DataFrame, model: TextModel, accept: tuple[str, ...] |
     key = F.struct(F.col("doc_id").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("lang").alias("lang"), F.col("source").alias("source"))
     none = F.lit(None).cast("string")
     rows = docs.select(key.alias("id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
-    told = identify(rows.where(F.length(F.trim("text")) > 0), model)
+    told = identify(rows.where(F.col("text").rlike(r"\p{L}")), model)
     good = told.where(F.col("lang").isin(*accept) & (F.col("posterior") >= least)) if accept else told.limit(0)
     good = good.select("id").distinct()
     marked = docs.select(F.struct("*").alias("row"), key.alias("key"))
