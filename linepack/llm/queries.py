@@ -65,11 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
                    where vec_id is not null and embedding is not null
-                     and coalesce(list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))), true)),
+                     and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
         s as (select q.vec_id as query_id, c.vec_id as vec_id,
-                     cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+                     cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
               from v q join v c on c.vec_id <> q.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
@@ -77,8 +77,8 @@ ORACLE_SQL: dict[str, str] = {
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
         t as (select *, max(page_id) over (partition by h) as top from p)
         select page_id, cast(strlen(html) as bigint) as payload_bytes,
-               list_aggregate(list_transform(range(0, 8), i -> list_aggregate(list_transform([15, 10, 5, 0],
-                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, cast(i * 5 + 1 as integer), 5) as bigint) >> s) & 31) + 1 as integer), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+               list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, cast(i * 5 + 1 as integer), 5) as bigint) >> s) & 31) + 1 as integer), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
                case when page_id is null or page_id = top then 'response' else 'revisit' end as record_type,
                case when page_id <> top then top end as refers_to
         from t""",
