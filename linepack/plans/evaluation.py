@@ -316,6 +316,7 @@ ORACLE_SQL = {
     "f02_merge_system": f"with {_SYS} select conv_id, turn, role, text from t",
     "f03_validate": f"with {_SYS}, n as (select *, row_number() over (partition by conv_id order by turn) as n from t), b as (select *, case when text is null then 'no text' when role <> case when n % 2 = 1 then 'user' else 'assistant' end then 'roles do not alternate' end as bad from n) select conv_id, count(*) as n, min(bad) as reason from b group by conv_id",
     "f04_render": _CONV + " select conv_id, cast(1 + sum(k + 2) as integer) as n, cast(coalesce(sum(k + 1) filter (where role <> 'user'), 0) as integer) as supervised from r group by conv_id",
+    "f05_render_truncated": _CONV + ", o as (select *, 1 + coalesce(sum(k + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as off from r) select conv_id, cast(least(128, 1 + sum(k + 2)) as integer) as n, cast(sum(case when role = 'user' then 0 else greatest(0, least(128, off + k + 2) - off - 1) end) as integer) as supervised from o group by conv_id",
     "f06_for_completion": _CONV + " select conv_id, cast(2 + coalesce(sum(k + 2) filter (where not (back = 1 and role = 'assistant')), 0) as integer) as n from r group by conv_id",
     "f07_turn_pairs": _PAIRS + " select * from p",
     "f08_chat_blocks": "with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as n from conversations where role = 'assistant') select conv_id, turn, string_agg(cast(len(string_split(line, ' ')) + cast(i < n as integer) as varchar), ',' order by i) as sizes from l group by conv_id, turn",
@@ -340,6 +341,8 @@ ORACLE_SQL = {
     "g10_render_schema": _ITEM + ' select item, choice as "option", choices[choice + 1] || \' \' || query as prompt from ch',
     "g11_render_lm": _ITEM + " select item, query as without, query || ' ' || choices[gold + 1] as with_answer from it",
     "g12_one_line_layout": _ITEM + " select item, choice, query || ' Answer: ' || choices[choice + 1] as prompt from ch",
+    "g13_common_prefix": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, len(a.s) as na, len(b.s) as nb, a.s as a, b.s as b, list_reverse(a.s) as ra, list_reverse(b.s) as rb, unnest(range(1, 40)) as i from s a join s b on a.item = b.item and a.choice = 0 and b.choice = 1)
+        select item, cast(min(case when i > na or i > nb or a[i] <> b[i] then i - 1 end) as integer) as prefix, cast(min(case when i > na or i > nb or ra[i] <> rb[i] then i - 1 end) as integer) as suffix from p group by item""",
     "g14_spans": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, min(i - 1) filter (where coalesce(a.s[i] <> b.s[i], true)) as start from (select *, unnest(range(1, 40)) as i from s where choice = 0) a join s b on a.item = b.item and b.choice = 1 group by a.item)
         select s.item, choice, cast(start as integer) as start, cast(len(s) as integer) as "end" from s join p using (item)""",
     "g15_truncate_left": "with w as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, array_to_string(w[greatest(len(w) - 15, 1):], ' ') as kept, cast(least(len(w), 16) - 1 as integer) as start, cast(least(len(w), 16) as integer) as \"end\" from w",
