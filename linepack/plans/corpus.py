@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..operators import longlines as B
 from ..sources import corpus as A
 from ..sources import items as I
+from ..streaming.ingest import ingest, stream_corpus
 from ._base import DOCS, documents, table
 
 CURSOR = ("src3", 500)
@@ -36,6 +41,14 @@ def a05_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.after_cursor(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", CURSOR)
 
 
+def a05_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus through the resumable stream, to a folder that all executors share; the pattern fits a file and a folder."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')}/ingest-{uuid.uuid4().hex}"
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    ingest(stream_corpus(spark, f"{sf_dir}/documents.parque[t]", schema=schema), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
 def a06_prepare_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "text")
 
@@ -152,7 +165,7 @@ def b11_final_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    a01_split_by_shard, a02_scan_text, a03_strided_shards, a04_replay, a05_after_cursor, a06_prepare_docs, a07_cap_chars, a08_take_budget, a08_take_token_budget, a09_round_budget, a10_rewrite_stats,
+    a01_split_by_shard, a02_scan_text, a03_strided_shards, a04_replay, a05_after_cursor, a05_stream_ingest, a06_prepare_docs, a07_cap_chars, a08_take_budget, a08_take_token_budget, a09_round_budget, a10_rewrite_stats,
     a13_select_tasks, a14_subsample, a15_score_lines, a16_metrics_round_trip, a17_latest_per_run, b01_cap_newline_runs, b02_split_segments, b03_over_budget, b04_split_long_lines, b05_rejoin,
     b06_modified_stats, b07_one_line, b08_joined_history, b09_without_history, b10_final_pair, b11_final_question)}
 
@@ -176,6 +189,7 @@ ORACLE_SQL = {
     "a03_strided_shards": "select doc_id, cast(doc_id % 7 as integer) as worker from documents",
     "a04_replay": "select doc_id, source, cast(unnest(range(1, 4)) as integer) as epoch from documents",
     "a05_after_cursor": "select source, doc_id from documents where source > 'src3' or (source = 'src3' and doc_id > 500)",
+    "a05_stream_ingest": rf"with {DOCS} select doc_id, regexp_replace(text, '([\n\r]{{16}})[\n\r]+', '\1', 'g') as text from docs where length(text) > 0",
     "a06_prepare_docs": f"with {DOCS} select doc_id, text from docs where length(text) > 0",
     "a07_cap_chars": "select doc_id, cast(least(length(text), 10000) as integer) as chars, md5(substr(text, 1, 10000)) as digest from documents",
     "a08_take_budget": "with c as (select doc_id, source, sum(n_chars) over (order by source, doc_id) - n_chars as before from documents) select doc_id, source from c where before <= 1000000",
