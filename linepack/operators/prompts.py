@@ -17,7 +17,10 @@ def fewshot(items: DataFrame, task: str, item: str, k: int, seed: int = 1234) ->
     numbered = items.select(task, item, (F.row_number().over(Window.partitionBy(task).orderBy(item)) - 1).alias("__r"))
     size = numbered.groupBy(task).agg((F.count("*") - 1).alias("__m"))
     drawn = numbered.join(size, task).where(F.col("__m") >= k)
-    h = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col(item)), F.col("__m"))
+    def h(salt: str) -> Column:  # 60 bits of a digest, so that any engine draws the same
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col(item).cast("string")).cast("binary"))
+        return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.col("__m"))
+
     drawn = drawn.withColumn("__b", h("b"))
     # the first of a run of steps that has no divisor with the pool's size; 1 always has none
     gcd = lambda a: F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(a.alias("x"), F.col("__m").alias("y")), lambda t, _: F.struct(F.when(t["x"] == 0, F.lit(0).cast("bigint")).otherwise(F.pmod(t["y"], t["x"])).alias("x"), F.when(t["x"] == 0, t["y"]).otherwise(t["x"]).alias("y")), lambda t: t["y"])

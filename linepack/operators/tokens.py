@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 #: Fixed value: the split pattern; ``(?U)`` gives Java the Unicode meaning of white space.
 PATTERN = r"(?U)'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
 
@@ -49,15 +51,23 @@ def train_bpe(words: DataFrame, n_merges: int, candidates: int = 64, cut_every:
     spark = words.sparkSession
     state = words.select("n", F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.encode("word", "utf-8"), i, F.lit(1))), 16, 10).cast("int")).alias("s")).where(F.size("s") > 1).persist()
     merges: list[tuple[int, int, int]] = []
-    rounds = 0
+    rounds, last = 0, None
     while len(merges) < n_merges:
         pairs = _pairs(state).cache()
-        top = pairs.orderBy(F.desc("n"), "l", "r").limit(candidates).collect()
+        # one job a round: the top pairs and, for each symbol, its most frequent pair on either side
+        kinds = [F.lit(None).cast("int").alias("at"), F.lit("t").alias("kind")]
+        found = pairs.orderBy(F.desc("n"), "l", "r").limit(candidates).select("l", "r", "n", *kinds)
+        for side in ("l", "r"):
+            most = pairs.groupBy(F.col(side).alias("at")).agg(F.max("n").alias("n"))
+            found = found.unionByName(most.select("at", "n", F.lit(side).alias("kind")), allowMissingColumns=True)
+        rows = found.collect()
+        pairs.unpersist()
+        if last is not None:  # the state has been filled from it by now
+            last.unpersist()
+        top = sorted((r for r in rows if r["kind"] == "t"), key=lambda r: (-r["n"], r["l"], r["r"]))
         if not top:
             break
-        after = {r["l"]: r["m"] for r in pairs.groupBy("l").agg(F.max("n").alias("m")).collect()}
-        before = {r["r"]: r["m"] for r in pairs.groupBy("r").agg(F.max("n").alias("m")).collect()}
-        pairs.unpersist()
+        after, before = ({r["at"]: r["n"] for r in rows if r["kind"] == side} for side in ("l", "r"))
         taken, used, bound = [], set(), 0
         for r in top:
             a, b, n = r["l"], r["r"], r["n"]
@@ -73,10 +83,10 @@ def train_bpe(words: DataFrame, n_merges: int, candidates: int = 64, cut_every:
         last, state = state, state.select("n", _rewrite(F.col("s"), taken).alias("s")).where(F.size("s") > 1)
         if rounds % cut_every == 0:
             if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+                spark.sparkContext.setCheckpointDir(shared_path(spark, "bpe"))
             state = state.checkpoint()
         state = state.persist()
-        state.count()  # fills the cache before the last one goes
+    if last is not None:
         last.unpersist()
     state.unpersist()
     return merges

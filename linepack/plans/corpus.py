@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -13,6 +10,7 @@ from ..functions import text as T
 from ..operators import longlines as B
 from ..sources import corpus as A
 from ..sources import items as I
+from ..sources.shared import shared_path
 from ..streaming.ingest import ingest, stream_corpus
 from ._base import DOCS, documents, table
 
@@ -43,7 +41,7 @@ def a05_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a05_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus through the resumable stream, to a folder that all executors share; the pattern fits a file and a folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')}/ingest-{uuid.uuid4().hex}"
+    root = shared_path(spark, "ingest")
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
     ingest(stream_corpus(spark, f"{sf_dir}/documents.parque[t]", schema=schema), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(schema).parquet(f"{root}/out")
@@ -76,6 +74,23 @@ def a10_rewrite_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("new", F.regexp_replace("text", "[.]\n", "\n")).groupBy("source").agg(*A.modified_stats(F.col("text"), F.col("new")))
 
 
+def a11_read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark as JSON lines in four files, with a blank line after every third item, read back with line numbers."""
+    path = shared_path(spark, "items")
+    item = F.to_json(F.struct(F.col("text").alias("query"), F.array(F.lit("yes"), F.lit("no")).alias("choices"), (F.col("item_id") % 2).cast("int").alias("gold")))
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("part"), "item_id", F.concat(item, F.when(F.col("item_id") % 3 == 0, "\n ").otherwise("")).alias("value"))
+    rows.repartition(4, "part").sortWithinPartitions("part", "item_id").select("part", "value").write.partitionBy("part").text(path)
+    return I.read_items(spark, f"{path}/part=*").select(F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "line", "query", F.array_join("choices", "/").alias("choices"), "gold")
+
+
+def a12_read_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines of the sources as CSV, read back with the declared schema."""
+    path = shared_path(spark, "baselines")
+    base = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg((F.min("doc_id") % 50 / 2).alias("random_baseline"))
+    base.write.option("header", True).csv(path)
+    return I.read_baselines(spark, path)
+
+
 def a13_select_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count("*").cast("int").alias("num_fewshot"))
     wanted = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("src"), (F.col("doc_id") % 25).cast("string")).alias("label")).distinct()
@@ -166,7 +181,7 @@ def b11_final_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a01_split_by_shard, a02_scan_text, a03_strided_shards, a04_replay, a05_after_cursor, a05_stream_ingest, a06_prepare_docs, a07_cap_chars, a08_take_budget, a08_take_token_budget, a09_round_budget, a10_rewrite_stats,
-    a13_select_tasks, a14_subsample, a15_score_lines, a16_metrics_round_trip, a17_latest_per_run, b01_cap_newline_runs, b02_split_segments, b03_over_budget, b04_split_long_lines, b05_rejoin,
+    a11_read_items, a12_read_baselines, a13_select_tasks, a14_subsample, a15_score_lines, a16_metrics_round_trip, a17_latest_per_run, b01_cap_newline_runs, b02_split_segments, b03_over_budget, b04_split_long_lines, b05_rejoin,
     b06_modified_stats, b07_one_line, b08_joined_history, b09_without_history, b10_final_pair, b11_final_question)}
 
 _SCORES = "s as (select source as task, avg(case when n_chars % 2 = 0 then 1.0::double else 0.0::double end) as accuracy from documents group by source)"
@@ -196,6 +211,11 @@ ORACLE_SQL = {
     "a08_take_token_budget": "with c as (select doc_id, source, sum(len(string_split(text, ' '))) over (order by source, doc_id) - len(string_split(text, ' ')) as before from documents) select doc_id, source from c where before < 100000",
     "a09_round_budget": "select doc_id, n_chars from documents order by doc_id limit 488",
     "a10_rewrite_stats": "select source, count(*) as docs, count(*) filter (where contains(text, '.' || chr(10))) as modified, count(*) filter (where contains(text, '.' || chr(10))) / count(*) as ratio from documents group by source",
+    "a11_read_items": """with n as (select *, item_id % 4 as part, row_number() over (partition by item_id % 4 order by item_id) as i,
+          count(*) filter (where item_id % 3 = 0) over (partition by item_id % 4 order by item_id rows between unbounded preceding and 1 preceding) as blank from benchmark)
+        select cast(part as integer) as part, i + blank as line, text as query, 'yes/no' as choices, cast(item_id % 2 as integer) as gold from n""",
+    "a12_read_baselines": "select source as label, cast(min(doc_id) % 50 / 2 as double) as random_baseline from documents group by source",
+    "a14_subsample": "select doc_id, source from documents qualify row_number() over (partition by source order by md5('1337:' || doc_id), doc_id) <= 20",
     "a13_select_tasks": """with t as (select source as label, count(*) as n from documents group by source), w as (select distinct 'src' || (doc_id % 25) as label from documents where doc_id % 3 = 0)
         select label, cast(case when t.n is null then null when label < 'src2' then 5 else 10 end as integer) as num_fewshot, t.n is null as missing from w left join t using (label)""",
     "a15_score_lines": f"with {_SCORES}, c as (select task, accuracy, (accuracy - 0.25::double) / 0.75::double as centered from s) select cast(0 as integer) as ord, task, accuracy, centered from c union all select 1, 'CORE', null, avg(centered) from c",

@@ -71,6 +71,14 @@ def f08_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.array_join(F.transform(H.chat_blocks(F.col("text"), _words), lambda b: F.size(b)), ",").alias("sizes"))
 
 
+def f09_turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn document's blocks: the prompt as the first warm-up block, reply lines, the last one as tail."""
+    pairs = H.turn_lengths(H.turn_pairs(H.merge_system(_turns(spark, sf_dir))), _words)
+    d = L.assign_roles(pairs, 16).select("conv_id", "pair", "n_blocks", "n_warm", F.posexplode("lens").alias("block", "tokens"))
+    role = F.when(F.col("block") < F.col("n_warm"), "warmup").when(F.col("block") == F.col("n_blocks") - 1, "tail").otherwise("middle")
+    return d.select("conv_id", "pair", "block", "tokens", role.alias("role"))
+
+
 def f10_turn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = H.turn_lengths(H.turn_pairs(H.merge_system(_turns(spark, sf_dir))), _words)
     return L.assign_roles(pairs, 16).select("conv_id", "pair", "n_blocks", "n_warm", "n_middle", "has_tail", L.row_length().alias("positions"))
@@ -311,6 +319,18 @@ _ACC = "a as (select source as task, coalesce(avg(case when n_chars % 5 > 0 then
 _STEP = "with s as (select *, row_number() over (partition by user_id order by event_id) as step from events)"
 _PAIRS = f"with {_SYS}, n as (select *, lead(role) over w as nr, lead(text) over w as reply from t window w as (partition by conv_id order by turn)), p as (select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as pair, text as prompt, reply from n where role = 'user' and nr = 'assistant')"
 
+_BLOCKS_OF_TURNS = _PAIRS + """, l as (select conv_id, pair, 0 as b, len(string_split(prompt, ' ')) + 3 as k from p union all
+          select conv_id, pair, i, len(string_split(line, ' ')) + case when i = n then 2 else 1 end from (select conv_id, pair, unnest(string_split(reply, chr(10))) as line, generate_subscripts(string_split(reply, chr(10)), 1) as i, len(string_split(reply, chr(10))) as n from p)),
+        c as (select *, sum(k) over (partition by conv_id, pair order by b) - k as before, count(*) over (partition by conv_id, pair) as nb from l)"""
+
+def _fewshot_sql(k: int) -> str:
+    draw = lambda salt: f"(cast('0x' || substr(md5('1234:{salt}:' || item), 1, 15) as bigint) % m)"
+    return _ITEM + f""", num as (select task, item, row_number() over (partition by task order by item) - 1 as r, count(*) over (partition by task) - 1 as m from it),
+ drawn as (select *, {draw('b')} as b, coalesce(list_filter(list_transform(range(0, 8), lambda i: ({draw('a')} + i) % m), lambda a: a > 0 and gcd(a, m) = 1)[1], 1) as a from num where m >= {k}),
+ walk as (select task, item, r, cast(j as integer) as j, (a * j + b) % m as o from (select *, unnest(range(0, {k})) as j from drawn)),
+ few as (select w.task, w.item, w.j, n.item as shot from walk w join num n on n.task = w.task and n.r = w.o + cast(w.o >= w.r as integer))"""
+
+
 ORACLE_SQL = {
     "f01_assemble": "select conv_id, cast(count(*) as integer) as n, string_agg(role, ',' order by turn) as roles from conversations group by conv_id",
     "f02_merge_system": f"with {_SYS} select conv_id, turn, role, text from t",
@@ -320,9 +340,9 @@ ORACLE_SQL = {
     "f06_for_completion": _CONV + " select conv_id, cast(2 + coalesce(sum(k + 2) filter (where not (back = 1 and role = 'assistant')), 0) as integer) as n from r group by conv_id",
     "f07_turn_pairs": _PAIRS + " select * from p",
     "f08_chat_blocks": "with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as n from conversations where role = 'assistant') select conv_id, turn, string_agg(cast(len(string_split(line, ' ')) + cast(i < n as integer) as varchar), ',' order by i) as sizes from l group by conv_id, turn",
-    "f10_turn_documents": _PAIRS + """, l as (select conv_id, pair, 0 as b, len(string_split(prompt, ' ')) + 3 as k from p union all
-          select conv_id, pair, i, len(string_split(line, ' ')) + case when i = n then 2 else 1 end from (select conv_id, pair, unnest(string_split(reply, chr(10))) as line, generate_subscripts(string_split(reply, chr(10)), 1) as i, len(string_split(reply, chr(10))) as n from p)),
-        c as (select *, sum(k) over (partition by conv_id, pair order by b) - k as before, count(*) over (partition by conv_id, pair) as nb from l),
+    "f09_turn_blocks": _BLOCKS_OF_TURNS + """ select conv_id, pair, cast(b as integer) as block, cast(k as integer) as tokens,
+        case when b < nb - 1 and before <= 16 then 'warmup' when b = nb - 1 then 'tail' else 'middle' end as role from c""",
+    "f10_turn_documents": _BLOCKS_OF_TURNS + """,
         d as (select conv_id, pair, cast(max(nb) as integer) as n_blocks, cast(count(*) filter (where b < nb - 1 and before <= 16) as integer) as n_warm, sum(k) as k from c group by all)
         select conv_id, pair, n_blocks, n_warm, n_blocks - n_warm - 1 as n_middle, true as has_tail, cast(k + n_blocks + 1 as integer) as positions from d""",
     "f11_mask_targets": _POS + " select doc_id, count(*) filter (where token = 5 or (local_step >= 1 and thread = 0)) as masked, count(*) as n from pos group by doc_id",
@@ -337,6 +357,9 @@ ORACLE_SQL = {
     "g06_smooth_curve": _CURVE + " select * from sm",
     "g07_curve_points": _CURVE + " select c.pos, nats / (0.6931471805599453 * total_bytes) as raw_bpb, n_tokens, bpb, ce, ppl from curve c join sm using (pos) where c.pos between 10 and 200",
     "g07_curve_summary": _CURVE + " select sum(nats) / (0.6931471805599453 * sum(total_bytes)) as bpb, sum(nats) / sum(n_tokens) as ce_per_token, cast(sum(n_tokens) as bigint) as n_tokens, cast(sum(total_bytes) as bigint) as total_bytes, max(pos) + 1 as positions from curve",
+    "g08_fewshot": _fewshot_sql(5) + " select task, item, j, shot from few",
+    "g09_render_choices": _fewshot_sql(3) + """, b as (select f.item, string_agg(s.query || ' ' || s.choices[s.gold + 1] || chr(10) || chr(10), '' order by j) as shots from few f join it s on s.item = f.shot group by f.item)
+        select ch.item, choice, shots || query || ' ' || choices[choice + 1] as prompt from ch join b on b.item = ch.item""",
     "g09_render_choices_zero_shot": _ITEM + " select item, choice, query || chr(10) || 'Answer: ' || choices[choice + 1] as prompt from ch",
     "g10_render_schema": _ITEM + ' select item, choice as "option", choices[choice + 1] || \' \' || query as prompt from ch',
     "g11_render_lm": _ITEM + " select item, query as without, query || ' ' || choices[gold + 1] as with_answer from it",
@@ -356,6 +379,7 @@ ORACLE_SQL = {
     "g23_format_ablation": 'select lang as "group", avg(n_chars) filter (where doc_id % 2 = 0) as two_line, avg(n_chars) filter (where doc_id % 2 = 1) as same_line, avg(n_chars) filter (where doc_id % 2 = 1) - avg(n_chars) filter (where doc_id % 2 = 0) as delta from documents group by lang',
     "g24_compare_runs": f"with {_ACC}, f as (select *, case when task <> 'src1' then accuracy + (counted % 3 - 1) * 0.015::double end as fresh from a) select task as run, 'core' as metric, accuracy as ref, fresh, fresh - accuracy as gap, case when fresh is null then '?' when abs(fresh - accuracy) <= 0.01 then 'OK' else 'GAP' end as flag from f",
     "g25_row_records": _POS + " select doc_id, cast(count(*) filter (where row_pos between m - 3 and m - 1) as bigint) as answers, cast(count(*) filter (where row_pos between m - 4 and m - 2) as bigint) as predicting from (select *, max(row_pos) over (partition by doc_id) as m from pos) group by doc_id",
+    "h01_ema": _STEP + " select a.event_id, round(sum(b.value * (1 - 0.9::double) * pow(0.9::double, a.step - b.step)) / (1 - pow(0.9::double, any_value(a.step))), 6) as ema from s a join s b on a.user_id = b.user_id and b.step between a.step - 200 and a.step group by a.event_id",
     "h02_throughput": _STEP + ", t as (select event_id, step, event_id % 7 + 1.0::double as dt, sum(case when step > 10 then event_id % 7 + 1.0::double else 0 end) over (partition by user_id order by step) as total_time from s) select event_id, 1000 / dt as tokens_per_sec, step * 100.0::double / 500 as progress, total_time, case when step > 10 then total_time / (step - 10) * (500 - step) end as eta from t",
     "h03_utilization": "select event_id, case when contains(lower(event_type), 'cli') then 200.0::double when contains(lower(event_type), 'c') then 100 when contains(lower(event_type), 'i') then 50 end as peak, 100 * value / case when contains(lower(event_type), 'cli') then 200.0::double when contains(lower(event_type), 'c') then 100 when contains(lower(event_type), 'i') then 50 end as mfu from events",
     "h04_running_best": _STEP + " select event_id, min(value) over (partition by user_id order by step) as best from s",

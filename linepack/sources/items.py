@@ -47,7 +47,7 @@ def select_tasks(tasks: DataFrame, labels: DataFrame, overrides: DataFrame | Non
 
 def subsample(df: DataFrame, task: str, item: str, most: int, seed: int = 1337) -> DataFrame:
     """At most ``most`` items a task in an order drawn by hash; the draw is deterministic and independent of partitions."""
-    order = Window.partitionBy(task).orderBy(F.xxhash64(F.lit(seed), F.col(item)), F.col(item))
+    order = Window.partitionBy(task).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(item).cast("string")).cast("binary")), F.col(item))
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
