@@ -53,15 +53,28 @@ def roles(warm: int = WARM) -> str:
  thr as (select c.doc_id, d.lang, d.n_blocks, d.has_tail, d.n_warm, d.n_middle, cast(c.b as integer) as thread, c.words, c.len, d.has_tail and c.b = d.n_blocks - 1 as is_tail from cum c join doc d using (doc_id))"""
 
 
-def positions_sql(warm: int = WARM) -> str:
-    """CTE ``pos``: the uncapped token grain, with special ids 1 bos, 2 sot, 3 eot, 5 sot_tail and stride 256."""
-    return roles(warm) + f""",
+def capped(cap: int) -> str:
+    """CTE ``sched`` (doc_id, t, s): the start of each middle thread and of the tail candidate, one thread after the other.
+
+    Needs ``with recursive``. ``f`` has the ``cap`` latest finishes so far, the latest first.
+    """
+    return f""",
+ midl as (select d.doc_id, any_value(d.n_middle) as n_middle, coalesce(list(t.len order by t.thread) filter (where t.thread >= d.n_warm and not t.is_tail), []) as lens from doc d join thr t using (doc_id) group by d.doc_id),
+ sched as (select doc_id, n_middle, lens, 0 as t, 0 as s, [coalesce(lens[1], 0)] as f from midl
+   union all select doc_id, n_middle, lens, t + 1, nxt, list_sort(list_append(f, nxt + cast(coalesce(lens[t + 2], 0) as integer)), 'DESC')[1:{cap}]
+   from (select *, greatest(s + 1, coalesce(f[{cap}] + 1, 0)) as nxt from sched where t < n_middle))"""
+
+
+def positions_sql(warm: int = WARM, cap: int | None = None) -> str:
+    """CTE ``pos``: the token grain, with special ids 1 bos, 2 sot, 3 eot, 5 sot_tail and stride 256."""
+    begin = "thread - n_warm" if cap is None else "(select any_value(s) from sched where sched.doc_id = p1.doc_id and t = p1.thread - p1.n_warm)"
+    return roles(warm) + (capped(cap) if cap else "") + f""",
  p0 as (select *, unnest(range(0, len + 1 + cast(is_tail as integer))) as j from thr),
  p1 as (select doc_id, n_blocks, has_tail, n_warm, n_middle, thread, is_tail, cast(j as integer) as local_step,
    case when j = 0 then (case when thread = 0 then 1 else 2 end) when is_tail and j = 1 then 5
      else {tid("words[j - cast(is_tail as integer)] || case when j - cast(is_tail as integer) = len and thread < n_blocks - 1 then chr(10) else '' end")} end as token,
    case when thread < n_warm then 0 when is_tail and j > 0 then 2 else 1 end as phase from p0),
- p2 as (select *, cast(case phase when 0 then thread when 2 then local_step else thread - n_warm + local_step end as integer) as step,
+ p2 as (select *, cast(case phase when 0 then thread when 2 then local_step else {begin} + local_step end as integer) as step,
    case when thread < n_warm then thread when is_tail and n_middle > 0 then n_warm + 1 else n_warm end as stage, thread * 256 + local_step as rope,
    coalesce(lead(token) over (partition by doc_id, thread order by local_step), case when thread = n_blocks - 1 then 1 else 3 end) as target,
    lead(local_step) over (partition by doc_id, thread order by local_step) as next_step from p1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blocks, token_id, word_blocks
 from ..operators import layout as L
-from ._base import BLOCKS, CAP, documents, positions_sql, roles, tid, token_positions, word_documents
+from ._base import BLOCKS, CAP, capped, documents, positions_sql, roles, tid, token_positions, word_documents
 
 _CHECK = ["count(*) as n", "sum(row_pos * (thread + 1)) as a", "sum((row_pos + 1) * (local_step + 1)) as b", "sum(token % 1009 * (row_pos % 97 + 1)) as c"]
 
@@ -179,6 +179,14 @@ _STEPS = """,
  summary as (select doc_id, lang, n_blocks, has_tail, n_warm, n_middle, tokens_incl, tokens_excl,
    cast(warm_tokens + n_warm + ramp + case when has_tail then tail_tokens + 1 else 0 end as integer) as steps,
    cast(warm_tokens + n_warm + flat_ramp + case when has_tail then tail_tokens + 2 else 0 end as integer) as flat_steps, warm_tokens, middle_tokens, tail_tokens from per)"""
+_YIELD = """ select lang, count(*) as docs, cast(sum(tokens_incl) as bigint) as tokens_incl, cast(sum(tokens_excl) as bigint) as tokens_excl, cast(sum(steps) as bigint) as steps, cast(sum(flat_steps) as bigint) as flat_steps,
+        sum(tokens_incl) / sum(steps) as incl_per_step, sum(tokens_excl) / sum(steps) as excl_per_step, sum(tokens_incl) / sum(flat_steps) as incl_per_flat_step, sum(tokens_excl) / sum(flat_steps) as excl_per_flat_step,
+        cast(sum(n_warm) as bigint) as warm_lines, cast(sum(n_middle) as bigint) as middle_lines, cast(sum(cast(has_tail as integer)) as bigint) as tail_lines, cast(sum(warm_tokens) as bigint) as warm_tokens, cast(sum(middle_tokens) as bigint) as middle_tokens, cast(sum(tail_tokens) as bigint) as tail_tokens from summary group by lang"""
+_CAPPED_STEPS = f""",
+ ends as (select doc_id, greatest(coalesce(max(s + lens[t + 1]) filter (where t < n_middle), -1), coalesce(max(s) filter (where t = n_middle), -1)) as last, coalesce(max(s + lens[t + 1]) filter (where t < n_middle), -1) as alone from sched group by doc_id),
+ batches as (select doc_id, cast(sum(m) as integer) as ramp from (select doc_id, max(len + 1) as m from thr where thread >= n_warm and not is_tail group by doc_id, (thread - n_warm) // {CAP}) group by doc_id),
+ summary as (select u.* replace (cast(u.warm_tokens + u.n_warm + case when u.has_tail then e.last else e.alone end + 1 + case when u.has_tail then u.tail_tokens + 1 else 0 end as integer) as steps,
+   cast(u.warm_tokens + u.n_warm + coalesce(b.ramp, 0) + case when u.has_tail then u.tail_tokens + 2 else 0 end as integer) as flat_steps) from uncapped u join ends e using (doc_id) left join batches b using (doc_id))"""
 _STREAM = "with " + BLOCKS + f""",
  w as (select doc_id, row_number() over (partition by doc_id order by b, i) as pos, words[i] || case when i = len and b < nb - 1 then chr(10) else '' end as w, i = len and b < nb - 1 as is_newline
    from (select *, unnest(range(1, len + 1)) as i from blk)),
@@ -193,6 +201,8 @@ ORACLE_SQL = {
     "d02_roles_no_warmup": "with " + roles(0) + " select doc_id, n_blocks, n_warm, n_middle, has_tail from doc",
     "d03_row_length": _ROLES + " select doc_id, content + n_blocks + cast(has_tail as integer) as n from doc where content + n_blocks + cast(has_tail as integer) <= 512",
     "d04_start_steps": _ROLES + " select doc_id, cast(t as integer) as thread, cast(t as integer) as start from (select doc_id, unnest(range(0, n_middle + 1)) as t from doc where n_middle > 0)",
+    "d04_start_steps_capped": "with recursive " + roles() + capped(CAP) + " select doc_id, cast(t as integer) as thread, cast(s as integer) as start from sched where n_middle > 0",
+    "d05_row_order_capped": "with recursive " + positions_sql(cap=CAP) + f" select doc_id, {_SUM} from pos group by doc_id",
     "d05_row_order": _POS + f" select doc_id, {_SUM} from pos group by doc_id",
     "d05_row_arrays": _POS + " select doc_id, cast(count(*) as integer) as n, md5(string_agg(cast(token as varchar), ',' order by row_pos)) as tokens from pos group by doc_id",
     "d06_anchors": _POS + " select doc_id, thread, local_step, token, row_pos from pos where local_step = 0 or (local_step = 1 and token = 5)",
@@ -204,9 +214,8 @@ ORACLE_SQL = {
     "d12_flat_groups": _ROLES + _STEPS + """, batch as (select doc_id, cast(sum(m) as integer) as ramp from (select doc_id, max(len + 1) as m from thr where thread >= n_warm and not is_tail group by doc_id, (thread - n_warm) // 4) group by doc_id)
         select s.doc_id, s.flat_steps as flat, cast(s.warm_tokens + s.n_warm + coalesce(b.ramp, 0) + case when s.has_tail then s.tail_tokens + 2 else 0 end as integer) as flat_capped from summary s left join batch b using (doc_id)""",
     "d13_yield_summary": _ROLES + _STEPS + " select doc_id, n_blocks, has_tail, n_warm, n_middle, tokens_incl, tokens_excl, steps, flat_steps, warm_tokens, middle_tokens, tail_tokens from summary",
-    "d14_token_yield": _ROLES + _STEPS + """ select lang, count(*) as docs, cast(sum(tokens_incl) as bigint) as tokens_incl, cast(sum(tokens_excl) as bigint) as tokens_excl, cast(sum(steps) as bigint) as steps, cast(sum(flat_steps) as bigint) as flat_steps,
-        sum(tokens_incl) / sum(steps) as incl_per_step, sum(tokens_excl) / sum(steps) as excl_per_step, sum(tokens_incl) / sum(flat_steps) as incl_per_flat_step, sum(tokens_excl) / sum(flat_steps) as excl_per_flat_step,
-        cast(sum(n_warm) as bigint) as warm_lines, cast(sum(n_middle) as bigint) as middle_lines, cast(sum(cast(has_tail as integer)) as bigint) as tail_lines, cast(sum(warm_tokens) as bigint) as warm_tokens, cast(sum(middle_tokens) as bigint) as middle_tokens, cast(sum(tail_tokens) as bigint) as tail_tokens from summary group by lang""",
+    "d14_token_yield": _ROLES + _STEPS + _YIELD,
+    "d14_token_yield_capped": "with recursive " + roles() + capped(CAP) + _STEPS.replace("summary as", "uncapped as") + _CAPPED_STEPS + _YIELD,
     "d15_generation_steps": _POS + ", g as (select *, dense_rank() over (partition by doc_id order by phase, step, case when phase = 1 then 0 else local_step end) as g from pos), f as (select *, min(case when row_pos >= 2 then g end) over (partition by doc_id) as f from g) select doc_id, cast(max(case when row_pos < 2 then 0 else g - f + 1 end) as integer) as steps, cast(sum(case when row_pos < 2 then 0 else g - f + 1 end) as bigint) as total from f group by doc_id",
     "d16_trace": _POS + f", ww as (select words[i] || case when i = len and b < nb - 1 then chr(10) else '' end as w from (select *, unnest(range(1, len + 1)) as i from blk)), vocab as (select {tid('w')} as id, min(w) as w from ww group by 1) select doc_id, case when local_step > 0 then case when token = 5 and local_step = 1 then 'block_open' end when thread = 0 then 'stream_start' else 'thread_start' end as tag, count(*) as n, cast(sum(length(w)) as bigint) as chars from pos left join vocab on token = id group by 1, 2",
     "d17_row_segments": _POS + """, c as (select *, case when lag(thread) over w = thread and lag(stage) over w = stage and lag(local_step) over w + 1 = local_step and lag(rope) over w + 1 = rope then 0 else 1 end as cut from pos window w as (partition by doc_id order by row_pos)),
