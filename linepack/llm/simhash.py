@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,14 @@ def long_words(found: list[bytes], over: int = 4, least: int = 8) -> list[bytes]
     return list(kept if len(kept) >= least else set(found))
 
 
-def fingerprint(features: list[bytes]) -> int:
-    """Bit i is set if it is set in over half of the features' XXH64 (seed 42); zero for no features."""
+def fingerprint(features: list[bytes], seed: int = 42) -> int:
+    """Bit i is set if it is set in over half of the features' XXH64; zero for no features."""
     if not features:
         return 0
     digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, len(features), 1 << 15):
         part = features[at : at + (1 << 15)]
-        h = np.fromiter((digest(x, 42) for x in part), np.uint64, len(part))
+        h = np.fromiter((digest(x, seed) for x in part), np.uint64, len(part))
         total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > len(features)).tobytes(), "big")
 
@@ -62,22 +63,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, features: str = "shingles") -> DataFrame:
-    """(``id_col``, fp): the 64-bit fingerprint of each whole text as a signed long.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, features: str = "shingles", seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(``id_col``, fp, fp1, ...): the 64-bit fingerprints of each whole text as signed longs, one for each of ``seeds``.
 
     ``features`` is ``shingles`` (of ``width`` words, repeats included) or ``long_words`` (distinct words). A null text
     counts as empty; an empty text has fingerprint 0. Ids are carried as they are, null or repeated.
     """
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
+            fps: list[list[int]] = [[] for _ in seeds]
             for text in batch.column(1).to_pylist():
                 found = words(text or b"")
-                fps.append(_signed(fingerprint(shingles(found, width) if features == "shingles" else long_words(found))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+                of = shingles(found, width) if features == "shingles" else long_words(found)
+                for out, seed in zip(fps, seeds, strict=True):
+                    out.append(_signed(fingerprint(of, seed)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in fps)], names=[id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def masks(radius: int) -> list[int]:
@@ -254,20 +259,23 @@ def _alike(least: float):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """One document of each group of copies and near copies stays (the smallest doc_id); all columns are kept.
 
     Candidates come from fingerprints of the distinct long words, of which a near copy changes few, within ``radius``
-    bits; a candidate link holds if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
+    bits for at least one of ``seeds``: the seeds' bits are drawn independently, so three short covers find more pairs
+    than one of a larger radius with as many tables. A candidate link holds if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
     more (sets of 32-bit shingle hashes). Groups are the components of the links. Null texts count as empty, and empty
     texts are copies of each other. Texts are joined by merge joins at every size, so the plan does not change with it.
     Rows with a null doc_id always stay. Of rows that repeat a doc_id and text all stay.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     keyed = own.select(F.struct("doc_id", F.sha2("text", 256).alias("digest")).alias("id"), "text")
-    fps = materialise(fingerprints(keyed, id_col="id", features="long_words").select("id.*", "fp"), "fingerprints")
-    copies = materialise(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "copies")
-    maybe = materialise(links(copies.select("node", "fp"), radius), "maybe")
+    fps = materialise(fingerprints(keyed, id_col="id", features="long_words", seeds=seeds), "fingerprints")
+    names = [n for n in fps.columns if n != "id"]
+    copies = materialise(fps.groupBy("id.digest").agg(F.min("id.doc_id").alias("node"), *[F.first(n).alias(n) for n in names]), "copies")
+    found = [links(copies.select("node", F.col(n).alias("fp")), radius) for n in names]
+    maybe = materialise(reduce(DataFrame.unionByName, found).distinct(), "maybe")
     ends = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
     bodies = own.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(ends.hint("merge"), "node", "left_semi")
     sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary"), "sets")
