@@ -8,9 +8,9 @@ out: the pair has equal masked bits in that table. So 2^(r+1) - 1 tables lose no
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +175,21 @@ def _block_links(radius: int):
     return run
 
 
+def _dealt(hot: DataFrame, bucket: int, *carried: str) -> DataFrame:
+    """(mask, key, i, j, far, node, ...): far rows meet all rows of their bucket (of ``n`` rows), block i against block j."""
+    rest = ["far", "node", *carried]
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    dealt = hot.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int"))
+    busy = dealt.where("far").select("mask", "key", F.col("own").alias("with")).distinct()
+    ours = dealt.join(busy, ["mask", "key"]).where("not far or own <> with")
+    pairs = ours.select("mask", "key", F.when(F.col("far"), F.least("own", "with")).otherwise(F.col("with")).alias("i"),
+                        F.when(F.col("far"), F.greatest("own", "with")).otherwise(F.col("own")).alias("j"), *rest)
+    alone = dealt.where("far").select("mask", "key", F.col("own").alias("i"), F.col("own").alias("j"), *rest)
+    far = dealt.where("far").join(dealt.where("not far").select("mask", "key", F.col("own").alias("j")).distinct(), ["mask", "key"])
+    far = far.where("own <> j").select("mask", "key", F.col("own").alias("i"), "j", *rest)
+    return pairs.unionByName(alone).unionByName(far).distinct()
+
+
 def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``nodes`` (node, fp) within ``radius`` bits.
 
@@ -196,17 +211,7 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     hot = hot.join(sizes.select("mask", "key", "n", F.col("p.fp").alias("pivot"), F.col("p.node").alias("at")), ["mask", "key"])
     hot = materialise(hot.withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) > radius), "large")
     near = hot.where("not far and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    dealt = hot.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(node, 7), blocks)").cast("int"))
-    busy = dealt.where("far").select("mask", "key", F.col("own").alias("with")).distinct()
-    ours = dealt.join(busy, ["mask", "key"]).where("not far or own <> with")
-    pairs = ours.select("mask", "key", F.when(F.col("far"), F.least("own", "with")).otherwise(F.col("with")).alias("i"),
-                        F.when(F.col("far"), F.greatest("own", "with")).otherwise(F.col("own")).alias("j"), "far", "node", "fp")
-    alone = dealt.where("far").select("mask", "key", F.col("own").alias("i"), F.col("own").alias("j"), "far", "node", "fp")
-    far = dealt.where("far").join(dealt.where("not far").select("mask", "key", F.col("own").alias("j")).distinct(), ["mask", "key"])
-    far = far.where("own <> j").select("mask", "key", F.col("own").alias("i"), "j", "far", "node", "fp")
-    met = pairs.unionByName(alone).unionByName(far).distinct()
-    met = met.groupBy("mask", "key", "i", "j").applyInArrow(_block_links(radius), "a bigint, b bigint")
+    met = _dealt(hot, bucket, "fp").groupBy("mask", "key", "i", "j").applyInArrow(_block_links(radius), "a bigint, b bigint")
     return out.unionByName(near).unionByName(met).distinct()
 
 
@@ -232,13 +237,15 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def set_hashes(found: list[bytes], width: int) -> np.ndarray:
+    """The distinct 32-bit hashes of the shingles of ``width`` words, in order."""
+    of = shingles(found, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 1) & 0xFFFFFFFF for x in of), np.uint32, len(of)))
+
+
 def _set_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
     for batch in batches:
-        sets = []
-        for text in batch.column(1).to_pylist():
-            found = shingles(words(text or b""), width)
-            sets.append(np.unique(np.fromiter((digest(x, 1) & 0xFFFFFFFF for x in found), np.uint32, len(found))).tobytes())
+        sets = [set_hashes(words(text or b""), width).tobytes() for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
@@ -250,39 +257,150 @@ def _likeness(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _alike(least: float):
+def alike_tree(nodes: list[int], sets: list[bytes], least: float, far: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs of one bucket whose sets have a Jaccard similarity of ``least`` or more.
+
+    Breadth-first like ``_tree``, but a row is reached by a link that holds only. ``far``: only pairs with a far row are
+    looked at. Sets are not empty.
+    """
+    if len(nodes) < 3:
+        return [(nodes[0], nodes[1])] if len(nodes) == 2 and (far is None or far.any()) and _likeness(*sets) >= least else []
+    sizes = np.fromiter((len(x) // 4 for x in sets), np.int64, len(sets))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    names, flat = np.unique(np.frombuffer(b"".join(sets), np.uint32), return_inverse=True)
+    out, rest, todo = [], np.arange(len(nodes)), []
+    while len(rest):
+        if not todo:
+            todo, rest = [rest[0]], rest[1:]
+        i = todo.pop()
+        of = flat[starts[i] : starts[i] + sizes[i]]
+        mark = np.zeros(len(names), np.int8)
+        mark[of] = 1
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[rest]
+        hit = both / (sizes[rest] + sizes[i] - both) >= least
+        if far is not None:
+            hit &= far[rest] | far[i]
+        if hit.any():
+            found = rest[hit]
+            out += [(nodes[i], nodes[j]) for j in found.tolist()]
+            todo += found.tolist()
+            rest = rest[~hit]
+    return out
+
+
+def _pairs(links: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {name: pa.array([x[k] for x in links], pa.int64()) for k, name in enumerate(("a", "b"))}
+
+
+def _bucket_alike(least: float):
+    """Rows (key, node, set) sorted by key in, links out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
         for batch in batches:
-            keep = [_likeness(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for key, node, of in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if key != at:
+                    found += alike_tree(nodes, sets, least)
+                    at, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(of)
+            yield pa.RecordBatch.from_pydict(_pairs(found))
+        yield pa.RecordBatch.from_pydict(_pairs(alike_tree(nodes, sets, least)))
+
+    return run
+
+
+def _block_alike(least: float):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table(_pairs(alike_tree(t["node"].to_pylist(), t["set"].to_pylist(), least, t["far"].to_numpy(zero_copy_only=False))))
+
+    return run
+
+
+def _near_pivot(least: float):
+    """Whether a row's set is like its pivot's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [_likeness(x, y) < least for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(far, pa.bool_())], names=["key", "node", "n", "at", "far"])
+
+    return run
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """(key, node, n) of the buckets of two nodes or more; of buckets with the same nodes one stays."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    return rows.join(sizes.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "key").select("key", "node", "n")
+
+
+def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 1024) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs with a Jaccard similarity of ``least`` that share a bucket.
+
+    ``rows`` (key, node, n): the nodes of each bucket and their number; ``sets`` (node, set). Every bucket gives a
+    spanning forest of the pairs that hold. A bucket of over ``bucket`` rows is dealt out as in ``links``: rows that are
+    like a pivot are joined to that, the others meet all rows of the bucket, block against block.
+    """
+    cold = rows.where(F.col("n") <= bucket).select("key", "node").join(sets, "node").select("key", "node", "set")
+    cold = cold.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    out = cold.mapInArrow(_bucket_alike(least), "a bigint, b bigint")
+    hot = rows.where(F.col("n") > bucket)
+    if hot.isEmpty():
+        return out.distinct()
+    part = F.expr(f"pmod(xxhash64(node, 9), cast(ceil(n / {bucket}) as bigint))").alias("part")
+    pivots = hot.groupBy("key", "n").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("at")).join(sets.withColumnRenamed("node", "at"), "at")
+    pivots = pivots.select("key", F.explode(F.expr(f"sequence(0L, cast(ceil(n / {bucket}) as bigint) - 1)")).alias("part"), "at", F.col("set").alias("y"))
+    met = hot.select("key", "node", "n", part).join(sets, "node").join(pivots, ["key", "part"]).select("key", "node", "n", "at", "set", "y")
+    hot = materialise(met.mapInArrow(_near_pivot(least), "key bigint, node bigint, n bigint, at bigint, far boolean"), "large")
+    near = hot.where("not far and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
+    dealt = _dealt(hot.withColumn("mask", F.lit(0)), bucket).join(sets, "node").select("key", "i", "j", "node", "far", "set")
+    met = dealt.groupBy("key", "i", "j").applyInArrow(_block_alike(least), "a bigint, b bigint")
+    return out.unionByName(near).unionByName(met).distinct()
+
+
+def cover_keys(found: list[bytes], radius: int, seeds: tuple[int, ...]) -> np.ndarray:
+    """One bucket for each seed's fingerprint of the distinct long words and each mask of the cover of ``radius``."""
+    of, cover = long_words(found), masks(radius)
+    keys = [xxhash.xxh64_intdigest((fp & m).to_bytes(8, "big"), k << 8 | at) for k, seed in enumerate(seeds) for fp in (fingerprint(of, seed),) for at, m in enumerate(cover)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def _signatures(keys_of, width: int):
+    """(doc_id, digest of the set of shingle hashes, bucket keys) of (doc_id, text); an empty set is in no bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, keys = [], []
+            for text in batch.column(1).to_pylist():
+                found = words(text or b"")
+                of = set_hashes(found, width)
+                digests.append(hashlib.sha256(of.tobytes()).digest())
+                keys.append(keys_of(found, of) if len(of) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 5, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), bucket: int = 1024) -> DataFrame:
     """One document of each group of copies and near copies stays (the smallest doc_id); all columns are kept.
 
-    Candidates come from fingerprints of the distinct long words, of which a near copy changes few, within ``radius``
-    bits for at least one of ``seeds``: the seeds' bits are drawn independently, so three short covers find more pairs
-    than one of a larger radius with as many tables. A candidate link holds if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
-    more (sets of 32-bit shingle hashes). Groups are the components of the links. Null texts count as empty, and empty
-    texts are copies of each other. Texts are joined by merge joins at every size, so the plan does not change with it.
-    Rows with a null doc_id always stay. Of rows that repeat a doc_id and text all stay.
+    Candidates share a bucket: fingerprints of the distinct long words, of which a near copy changes few, within
+    ``radius`` bits for at least one of ``seeds`` do. Two documents are linked if the sets of ``width``-word shingles
+    have a Jaccard similarity of ``similarity`` or more (sets of 32-bit shingle hashes); each bucket is searched with
+    that test itself, so no hub that fails it hides a pair. Groups are the components of the links. Equal sets are one
+    node. Null texts count as empty, and empty texts are copies of each other. Texts are joined by merge joins at every
+    size, so the plan does not change with it. Rows with a null doc_id always stay. Of rows that repeat a doc_id and
+    text all stay.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    keyed = own.select(F.struct("doc_id", F.sha2("text", 256).alias("digest")).alias("id"), "text")
-    fps = materialise(fingerprints(keyed, id_col="id", features="long_words", seeds=seeds), "fingerprints")
-    names = [n for n in fps.columns if n != "id"]
-    copies = materialise(fps.groupBy("id.digest").agg(F.min("id.doc_id").alias("node"), *[F.first(n).alias(n) for n in names]), "copies")
-    found = [links(copies.select("node", F.col(n).alias("fp")), radius) for n in names]
-    maybe = materialise(reduce(DataFrame.unionByName, found).distinct(), "maybe")
-    ends = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
-    bodies = own.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(ends.hint("merge"), "node", "left_semi")
-    sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary"), "sets")
-    both = maybe.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    sure = both.mapInArrow(_alike(similarity), "a bigint, b bigint")
-    roots = components(sure)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
+    marks = own.mapInArrow(_signatures(lambda found, of: cover_keys(found, radius, seeds), width), "doc_id bigint, digest binary, keys array<bigint>")
+    copies = materialise(materialise(marks, "signatures").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "copies")
+    rows = materialise(crowded(copies.select("node", F.explode("keys").alias("key")).distinct()), "buckets")
+    bodies = own.withColumnRenamed("doc_id", "node").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary").distinct(), "sets")
+    roots = components(alike_links(rows, sets, similarity, bucket))
     least = roots.groupBy("root").agg(F.min("node").alias("keep"))
     gone = roots.join(least, "root").where("node <> keep").select("node")
     kept = materialise(copies.join(gone, "node", "left_anti").select("node"), "kept")
