@@ -62,3 +62,32 @@ def test_near_copies_behind_a_common_hub_are_found(spark):
             rows.append((10 * g + k, " ".join(t)))
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert kept == 80
+
+
+def test_recall_by_band_on_planted_pairs(spark):
+    """Pairs of similarity 0.8 to 1 by words replaced, passages added and removed, in short and long texts."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10)))
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, bands = [], defaultdict(list)
+    while min((len(bands[k]) for k in (80, 85, 90, 95)), default=0) < 60:
+        text = [word() for _ in range(rnd.choice([40, 100, 400]))]
+        n, edit = len(text), list(text)
+        part, at = max(1, int(n * rnd.uniform(0.01, 0.2))), rnd.randrange(n)
+        match rnd.randrange(3):
+            case 0:
+                for _ in range(max(1, part // 5)):
+                    edit[rnd.randrange(n)] = word()
+            case 1:
+                edit[at:at] = [word() for _ in range(part)]
+            case 2:
+                del edit[at : at + part]
+        x, y = shingles(text), shingles(edit)
+        s = len(x & y) / len(x | y)
+        if 0.8 <= s < 1 and len(bands[k := int(s * 20) * 5]) < 60:
+            bands[k].append(len(rows))
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edit))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    recall = {k: np.mean([i + 1 not in kept for i in v]) for k, v in sorted(bands.items())}
+    print("recall by band:", recall)
+    assert min(recall.values()) >= 0.98 and all(i in kept for v in bands.values() for i in v)
