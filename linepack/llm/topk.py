@@ -48,22 +48,21 @@ def search_block(query: np.ndarray, own: int, ids: np.ndarray, cols: np.ndarray,
     """
     width = len(query)
     left = np.sqrt(np.cumsum((query.astype(np.float64) ** 2)[::-1]))[::-1]
-    live = None  # columns that survive; None: all
-    part = np.zeros(cols.shape[1], np.int64)
+    other = ids != own
+    live = None if other.all() else np.flatnonzero(other)  # columns that survive; None: all
+    part = np.zeros(cols.shape[1] if live is None else len(live), np.int64)
     for step, at in enumerate(range(0, width, dims)):
         block = cols[at : at + dims] if live is None else cols[at : at + dims, live]
         part = part + query[at : at + dims] @ block
-        if at + dims >= width or len(part) <= k + 1:
+        if at + dims >= width or len(part) <= k:
             continue
         tail = tails[step + 1] if live is None else tails[step + 1, live]
         rest = left[at + dims] * tail * (1 + 1e-9) + 1
-        floor_ = np.partition(part - rest, len(part) - k - 1)[len(part) - k - 1]  # k + 1 of them, as the query may be among them
+        floor_ = np.partition(part - rest, len(part) - k)[len(part) - k]
         keep = np.flatnonzero(part + rest >= floor_)
         if len(keep) < len(part):
             live, part = keep if live is None else live[keep], part[keep]
     found = ids if live is None else ids[live]
-    other = found != own
-    found, part = found[other], part[other]
     if len(part) > k:
         kth = np.partition(part, len(part) - k)[len(part) - k]
         at_least = part >= kth
