@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,12 +43,6 @@ def shingles(found: list[bytes], width: int) -> list[bytes]:
     return [line[s:e] for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def long_words(found: list[bytes], over: int = 4, least: int = 8) -> list[bytes]:
-    """The distinct words of more than ``over`` bytes, or all distinct words where fewer than ``least`` are so long."""
-    kept = {w for w in found if len(w) > over}
-    return list(kept if len(kept) >= least else set(found))
-
-
 def fingerprint(features: list[bytes], seed: int = 42) -> int:
     """Bit i is set if it is set in over half of the features' XXH64; zero for no features."""
     if not features:
@@ -64,26 +59,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, features: str = "shingles", seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(``id_col``, fp, fp1, ...): the 64-bit fingerprints of each whole text as signed longs, one for each of ``seeds``.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """(``id_col``, fp): the 64-bit fingerprint of each whole text's shingles as a signed long.
 
-    ``features`` is ``shingles`` (of ``width`` words, repeats included) or ``long_words`` (distinct words). A null text
-    counts as empty; an empty text has fingerprint 0. Ids are carried as they are, null or repeated.
+    A null text counts as empty; an empty text has fingerprint 0. Ids are carried as they are, null or repeated.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps: list[list[int]] = [[] for _ in seeds]
-            for text in batch.column(1).to_pylist():
-                found = words(text or b"")
-                of = shingles(found, width) if features == "shingles" else long_words(found)
-                for out, seed in zip(fps, seeds, strict=True):
-                    out.append(_signed(fingerprint(of, seed)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in fps)], names=[id_col, *names])
+            fps = [_signed(fingerprint(shingles(words(text or b""), width))) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+
+
+@cache
+def _mixers(n: int) -> np.ndarray:
+    rnd = random.Random(7)
+    return np.array([[rnd.getrandbits(64) | 1] for _ in range(n)], np.uint64)
+
+
+def word_fingerprints(found: list[bytes], n: int) -> np.ndarray:
+    """``n`` independent 64-bit fingerprints of the words of a text, each word weighted by 1 + log of its count.
+
+    One rule for all texts. The digest of a word is mixed anew for each fingerprint; a bit is 1 if the weights of the
+    digests with that bit are over half of all weights. No words give zeros.
+    """
+    counts = Counter(found)
+    weight = 1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))
+    digest = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
+    total = np.zeros(n * BITS, np.float32)
+    for at in range(0, len(digest), 2048):
+        h = digest[at : at + 2048] * _mixers(n)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(h.T).view(np.uint8).reshape(h.shape[1], -1), axis=1)
+        total += weight[at : at + 2048] @ bits.astype(np.float32)
+    return np.packbits(2 * total > weight.sum()).view(np.int64)
 
 
 def masks(radius: int) -> list[int]:
@@ -191,28 +203,34 @@ def _dealt(hot: DataFrame, bucket: int, *carried: str) -> DataFrame:
     return pairs.unionByName(alone).unionByName(far).distinct()
 
 
-def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of ``nodes`` (node, fp) within ``radius`` bits.
+def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of ``nodes`` (node, fps) with a fingerprint within ``radius`` bits.
 
-    Every bucket gives a spanning forest of its pairs within the radius, not all of them. A bucket of over ``bucket``
+    ``fps`` is an array of fingerprints; two nodes are compared by the same one each. A pair that differs in more bits
+    shares a bucket by chance only; ``reach`` (from ``radius`` on) links those too if they differ in at most so many bits.
+    Every bucket gives a spanning forest of its pairs, not all of them. A bucket of over ``bucket``
     rows is dealt out: rows near its most common pivot are joined to that; the others meet all rows of the bucket,
     block against block, in a task of their own for each pair of blocks, so that no pair is lost and no task holds
     more than two blocks. Node ids must be distinct and not null.
     """
     spark = nodes.sparkSession
-    cover = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])
-    rows = nodes.select("node", "fp", F.posexplode(cover).alias("mask", "key")).select("mask", "key", "node", "fp")
+    reach = radius if reach is None else reach
+    tables = masks(radius)
+    cover = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])
+    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
+    rows = each.select("node", "fp", "which", F.posexplode(cover).alias("mask", "key"))
+    rows = rows.select((F.col("which") * len(tables) + F.col("mask")).alias("mask"), "key", "node", "fp")
     rows = rows.repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key")
-    found = materialise(rows.mapInArrow(_bucket_links(radius, bucket), "a bigint, b bigint, mask int, key bigint, fp bigint"), "buckets")
+    found = materialise(rows.mapInArrow(_bucket_links(reach, bucket), "a bigint, b bigint, mask int, key bigint, fp bigint"), "buckets")
     out = found.where("mask is null").select("a", "b")
     hot = found.where("mask is not null").select("mask", "key", F.col("a").alias("node"), "fp")
     if hot.isEmpty():
         return out.distinct()
     sizes = hot.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp"), "fp", "node")).alias("p"))
     hot = hot.join(sizes.select("mask", "key", "n", F.col("p.fp").alias("pivot"), F.col("p.node").alias("at")), ["mask", "key"])
-    hot = materialise(hot.withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) > radius), "large")
+    hot = materialise(hot.withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) > reach), "large")
     near = hot.where("not far and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
-    met = _dealt(hot, bucket, "fp").groupBy("mask", "key", "i", "j").applyInArrow(_block_links(radius), "a bigint, b bigint")
+    met = _dealt(hot, bucket, "fp").groupBy("mask", "key", "i", "j").applyInArrow(_block_links(reach), "a bigint, b bigint")
     return out.unionByName(near).unionByName(met).distinct()
 
 
@@ -227,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fps = materialise(fingerprints(own, width=width), "fingerprints")
     nodes = materialise(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(links(nodes.select("node", F.col("node").alias("fp")), radius))
+    joined = components(links(nodes.select("node", F.array("node").alias("fps")), radius))
     roots = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "named")
@@ -330,13 +348,6 @@ def _near_pivot(least: float):
     return run
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """(key, node, n) of the buckets of two nodes or more; of buckets with the same nodes one stays."""
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1")
-    return rows.join(sizes.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "key").select("key", "node", "n")
-
-
 def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 1024) -> DataFrame:
     """Links (a, b) whose components are those of all pairs with a Jaccard similarity of ``least`` that share a bucket.
 
@@ -361,36 +372,21 @@ def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 10
     return out.unionByName(near).unionByName(met).distinct()
 
 
-#: The stage's bands: documents of Jaccard similarity s share one with probability 1 - (1 - s^5)^24: 0.99993 at 0.8.
-BANDS, BAND_ROWS = 24, 5
+#: Fingerprints of the stage, the radius that its masks cover, and the bits up to which a bucket's rows are candidates.
+FINGERPRINTS, RADIUS, REACH = 16, 3, 12
 
 
-@cache
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rnd = random.Random(7)
-    return tuple(np.array([[rnd.getrandbits(64) | odd] for _ in range(n)], np.uint64) for odd in (1, 0))
-
-
-def band_keys(of: np.ndarray, bands: int = BANDS, each: int = BAND_ROWS) -> np.ndarray:
-    """One bucket for each band: the smallest images of the set ``of`` (not empty) under ``each`` hash functions."""
-    a, b = _permutations(bands * each)
-    least = np.full(len(a), np.iinfo(np.uint64).max)
-    for at in range(0, len(of), 2048):
-        np.minimum(least, (a * of[at : at + 2048].astype(np.uint64) + b).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, each))], np.uint64).view(np.int64)
-
-
-def _signatures(width: int):
-    """(doc_id, digest of the set of shingle hashes, bucket keys) of (doc_id, text); an empty set is in no bucket."""
+def _signatures(width: int, count: int):
+    """(doc_id, digest of the set of shingle hashes, fingerprints) of (doc_id, text); a text without words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, fps = [], []
             for text in batch.column(1).to_pylist():
-                of = set_hashes(words(text or b""), width)
-                digests.append(hashlib.sha256(of.tobytes()).digest())
-                keys.append(band_keys(of) if len(of) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+                found = words(text or b"")
+                digests.append(hashlib.sha256(set_hashes(found, width).tobytes()).digest())
+                fps.append(word_fingerprints(found, count) if found else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"])
 
     return run
 
@@ -399,18 +395,21 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """One document of each group of copies and near copies stays (the smallest doc_id); all columns are kept.
 
     Two documents are linked if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more
-    (sets of 32-bit shingle hashes) and a MinHash band of these sets is equal, whose probability follows from that
-    similarity alone (``BANDS``). Fingerprint bits do not serve here: at 0.8 texts differ in some 10 of 64 bits, and a
-    cover of that radius has thousands of masks. Each bucket is searched with
-    that test itself, so no hub that fails it hides a pair. Groups are the components of the links. Equal sets are one
-    node. Null texts count as empty, and empty texts are copies of each other. Texts are joined by merge joins at every
-    size, so the plan does not change with it. Rows with a null doc_id always stay. Of rows that repeat a doc_id and
-    text all stay.
+    (sets of 32-bit shingle hashes) and both are in one candidate group. Candidate groups are the components of a
+    covering search over ``FINGERPRINTS`` fingerprints of their words: every pair within ``RADIUS`` bits in one of them
+    shares a bucket, and so do many pairs beyond; rows of a bucket within ``REACH`` bits are candidates. A candidate
+    group is searched as a whole with the Jaccard test itself, so no hub that fails it hides a pair. The result's
+    groups are the components of the links. Equal sets are one node. Null texts count as empty, and empty texts are
+    copies of each other. Texts are joined by merge joins at every size, so the plan does not change with it. Rows with
+    a null doc_id always stay. Of rows that repeat a doc_id and text all stay.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
-    marks = own.mapInArrow(_signatures(width), "doc_id bigint, digest binary, keys array<bigint>")
-    copies = materialise(materialise(marks, "signatures").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "copies")
-    rows = materialise(crowded(copies.select("node", F.explode("keys").alias("key")).distinct()), "buckets")
+    marks = own.mapInArrow(_signatures(width, FINGERPRINTS), "doc_id bigint, digest binary, fps array<bigint>")
+    copies = materialise(materialise(marks, "signatures").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "copies")
+    # a doc_id that repeats with another text is one node: the links of either text count for it
+    offered = components(links(copies.select("node", "fps"), RADIUS, reach=REACH))
+    sizes = offered.groupBy("root").agg(F.count("*").alias("n"))
+    rows = offered.join(sizes, "root").select(F.col("root").alias("key"), "node", "n")
     bodies = own.withColumnRenamed("doc_id", "node").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
     sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary").distinct(), "sets")
     roots = components(alike_links(rows, sets, similarity, bucket))

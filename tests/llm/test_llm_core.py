@@ -84,7 +84,7 @@ def test_links_keep_components_for_any_bucket_size(spark, bucket):
     rnd = random.Random(3)
     centres = [rnd.getrandbits(64) for _ in range(6)]
     fps = sorted({c ^ sum({1 << rnd.randrange(64) for _ in range(rnd.randrange(6))}) for c in centres for _ in range(25)})
-    nodes = spark.createDataFrame([(i, simhash._signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    nodes = spark.createDataFrame([(i, [simhash._signed(f)]) for i, f in enumerate(fps)], "node long, fps array<long>")
     root = {r.node: r.root for r in graph.components(simhash.links(nodes, 4, bucket)).collect()}
     got, want = defaultdict(set), defaultdict(set)
     for i, r in enumerate(roots(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)):
