@@ -46,5 +46,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drawn(col: str, seed: int, share: Column) -> Column:
+    """Whether a row belongs to a sample of ``share`` (0 to 1) of all values of ``col``, by 62 bits of a hash of it."""
+    return F.expr(f"xxhash64({col}, {seed}) & {(1 << 62) - 1}L") < (share * float(1 << 62))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

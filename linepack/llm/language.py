@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import drawn, materialise
 
 BUCKETS = 1 << 15
 NONE = "und"
@@ -47,16 +47,19 @@ def trigrams(text: str) -> np.ndarray:
     return ((raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(17)
 
 
-def fit_text_model(docs: DataFrame, sample: int = 3000, least: int = 3) -> TextModel:
+def fit_text_model(docs: DataFrame, sample: int = 3000, least: int = 3, most: int = 200) -> TextModel:
     """Fit on about ``sample`` documents of each value of ``lang`` (those with the smallest hashes); languages with fewer
-    than ``least`` documents are left out. ``sample`` bounds the training set alone. Nulls are ignored."""
+    than ``least`` documents are left out. ``sample`` bounds the training set alone. Nulls are ignored. More than ``most``
+    languages are an error, as the driver holds a table of 32 768 counts for each."""
     named = docs.where("lang is not null and text is not null and doc_id is not null").select(F.lower("lang").alias("lang"), "text", "doc_id")
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(200).collect()}
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().where(F.col("count") >= least).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages have {least} or more documents")
     langs = tuple(sorted(sizes))
     if not langs:
         return TextModel((), np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(1e6 * min(1.0, sample / sizes[k])))])
-    part = named.where(F.col("lang").isin(*langs)).where(F.expr("pmod(xxhash64(doc_id, 5), 1000000)") < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))])
+    part = named.where(F.col("lang").isin(*langs)).where(drawn("doc_id", 5, share[F.col("lang")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(BUCKETS, np.int64) for k in langs}
@@ -67,10 +70,10 @@ def fit_text_model(docs: DataFrame, sample: int = 3000, least: int = 3) -> TextM
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(t[at], pa.int64())], names=["lang", "gram", "n"])
 
-    rows = part.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    rows = part.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = rows.select("gram", F.array_position(F.array(*[F.lit(k) for k in langs]), F.col("lang")).alias("at"), "n").toArrow()
     counts = np.zeros((BUCKETS, len(langs)))
-    for r in rows:
-        counts[r["gram"], langs.index(r["lang"])] = r["n"]
+    counts[rows["gram"].to_numpy(), rows["at"].to_numpy() - 1] = rows["n"].to_numpy()
     alpha = 0.1
     table = np.log((counts + alpha) / (counts.sum(0) + alpha * BUCKETS))
     return TextModel(langs, np.hstack((table, np.full((BUCKETS, 1), -np.log(BUCKETS)))).astype(np.float32))

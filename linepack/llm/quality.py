@@ -12,6 +12,7 @@ finds worse than nearly all lines of good documents (the worst one always does),
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import drawn
+
 #: Features of one line; the last is 1 for a line that exists.
 WIDTH = 16
 BINS = 3 * WIDTH
@@ -171,22 +174,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: int = 512) -> Model:
     """Fit on about ``sample`` labelled documents that are not held out, those with the smallest hashes of their id.
 
-    ``sample`` bounds the training set alone: what reaches the driver is its lines' features. Labels that are null, not
+    ``sample`` and ``most_lines`` bound the training set alone: of a document of more lines, so many neighbouring ones
+    from a place drawn by its id count. What reaches the driver is these lines' features. Labels that are null, not
     0 or 1, or without a document are ignored.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     n = usable.count()
-    part = usable.where(F.expr(f"pmod(xxhash64(doc_id, 17), 1000000) < {int(1e6 * min(1.0, sample / max(1, n)))}"))
+    part = usable.where(drawn("doc_id", 17, F.lit(min(1.0, sample / max(1, n)))))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(part), "doc_id")  # about ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [lines_of(t) for t in batch.column(2).to_pylist()]
-            feats = [line_features(x).astype(np.float32).tobytes() for x in lines]
-            lens = [np.array([len(y) for y in x], np.float32).tobytes() for x in lines]
+            feats, lens = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines = lines_of(text)
+                at = random.Random(doc_id).randrange(max(1, len(lines) - most_lines + 1))
+                feats.append(line_features(lines)[at : at + most_lines].astype(np.float32).tobytes())
+                lens.append(np.array([len(x) for x in lines[at : at + most_lines]], np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary()), pa.array(lens, pa.binary())], names=["doc_id", "quality", "f", "n"])
 
     got = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id bigint, quality int, f binary, n binary").collect()

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linepack.llm import language, quality, queries, warc
+from linepack.llm._common import drawn
 
 PAGES = "page_id long, url string, html string, digest string, top long, value string"
 
@@ -208,3 +209,25 @@ def test_pipeline(spark):
         before = left
     rows = cp.STAGES[-1][1](spark, step, sf).collect()
     assert {r.doc_id for r in rows} == set(before)
+
+
+def test_samples_of_very_large_tables_are_not_empty(spark):
+    share = F.lit(4000 / 1e10)
+    n = spark.range(50_000_000).where(drawn("id", 17, share)).count()
+    assert 3 <= n <= 60  # 20 are expected
+    assert spark.range(1000).where(drawn("id", 17, F.lit(1.0))).count() == 1000 and spark.range(1000).where(drawn("id", 17, F.lit(0.0))).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(3 * k + j, "some words of a text", f"l{k}") for k in range(4) for j in range(3)], "doc_id long, text string, lang string")
+    assert len(language.fit_text_model(docs).langs) == 4
+    with pytest.raises(ValueError, match="more than 3"):
+        language.fit_text_model(docs, most=3)
+
+
+def test_training_lines_of_a_document_are_bounded(spark):
+    docs = spark.createDataFrame([(k, "\n".join([f"A plain line number {j}." if k % 2 else "BUY NOW!!! $$$ | | |" for j in range(300)])) for k in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    model = quality.fit(docs, labels, most_lines=20)
+    rows = quality.score_documents(docs, model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
