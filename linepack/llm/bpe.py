@@ -182,16 +182,21 @@ class WordBpe:
         """Put the ids of normalised words between white space into ``known``."""
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        split, marks = {}, _MARKS
+        known, marks = self.known, _MARKS
+        plain, marked, other, wanted = [], [], {}, set()
         for w in words:
             if w.isalpha():
-                split[w] = (w,)
+                plain.append(w)
             elif w[-1] in marks and w[:-1].isalpha():
-                split[w] = (w[:-1], w[-1])
+                marked.append(w)
+                if w[:-1] not in known:
+                    wanted.add(w[:-1])
             else:
-                split[w] = self.pieces(w)
-        ids = self.merge_many(list({p for x in split.values() for p in x}))
-        self.known.update((w, ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])) for w, x in split.items())
+                other[w] = self.pieces(w)
+        ids = self.merge_many(list(wanted.union(plain, marks, *other.values())))
+        known.update(zip(plain, map(ids.__getitem__, plain)))
+        known.update([(w, (ids.get(w[:-1]) or known[w[:-1]]) + ids[w[-1]]) for w in marked])
+        known.update([(w, b"".join([ids[p] for p in x])) for w, x in other.items()])
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -216,9 +221,9 @@ class WordBpe:
                     self.known.clear()
                     new = wanted
                 self.learn(new)
-            known = self.known
+            known = self.known.__getitem__
             for parts in held:
-                yield b"".join([b"".join([known[w] for w in p]) if isinstance(p, list) else array("I", [p]).tobytes() for p in parts])
+                yield b"".join([b"".join(map(known, p)) if isinstance(p, list) else array("I", [p]).tobytes() for p in parts])
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

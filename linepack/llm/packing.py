@@ -1,29 +1,41 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces as long as a sequence fill one alone. The others are dealt at random into blocks of about ``BLOCK`` pieces. Each
-block has several islands: every island starts from best-fit packings of its own orders, and its generations cross two
-packings by whole bins: the well-filled bins of one parent enter the other, bins that hold one of their pieces again go,
-and the pieces displaced by that are put back best fit. After each epoch every island hands its best packing to the next
-one. Blocks and islands are rows, so Spark deals out the work; a block's best packing over its islands counts.
+Pieces as long as a sequence fill one alone. The others are dealt at random into blocks of about ``BLOCK`` pieces, each
+packed best fit by falling length. Where that takes the fewest bins that any packing can, only loosely filled bins are
+touched again, elsewhere all bins that are not full; these, with some of the others to move pieces with, are pooled over
+all blocks, dealt into blocks of about ``POOL`` pieces, and evolved: every block has several
+islands, each with a population of packings that starts from best-fit packings of its own orders. A generation crosses
+two packings by whole bins: the well-filled bins of one parent enter the other, bins that hold one of their pieces again
+go, and the pieces displaced by that are put back best fit. After each epoch every island hands its best packing to the
+next one. An island ends at the number of bins that no packing can beat, or when it has not improved for long. The best
+packing over the islands counts; its loose bins are pooled again, until no more than one block of them is left. Blocks
+and islands are rows, so Spark deals out the work.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import materialise, partitions
+from ._common import drawn, materialise, partitions
 
 BLOCK = 4096
+POOL = 512
 ISLANDS = 3
-EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 3
+EPOCHS = 3
+#: Generations of an epoch at most, and those without a better packing after which an island stops for the epoch.
+GENERATIONS, STALE = 60, 20
+POPULATION = 8
+#: Pools after the first packing at most; each leaves about half an open bin a block, so few are needed.
+ROUNDS = 3
+#: A bin is loosely filled if this share of it or more is free.
+LOOSE = 1 / 16
 
 Bins = list[list[int]]
 
@@ -98,68 +110,152 @@ def _as_list(bins: Bins, n: int) -> list[int]:
     return out
 
 
-def evolve(sizes: list[int], capacity: int, population: list[Bins], seed: int, generations: int) -> list[Bins]:
-    """One epoch of one island: best packing first. Stops early at the least number of bins that the sizes allow."""
-    rnd, least = random.Random(seed), -(-sum(sizes) // capacity)
-    while len(population) < POPULATION:
-        noise = 0.0 if not population and seed % ISLANDS == 0 else 0.15
-        order = sorted(range(len(sizes)), key=lambda i: sizes[i] * (1 + noise * rnd.random()), reverse=True)
+def fewest(sizes: list[int], capacity: int) -> int:
+    """A number of bins that no packing can go below: by the total, and as pieces over half a bin need one each."""
+    return max(-(-sum(sizes) // capacity), sum([2 * x > capacity for x in sizes]))
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> Bins:
+    return best_fit(sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), sizes, capacity)
+
+
+def evolve(sizes: list[int], capacity: int, population: list[Bins], seed: int, generations: int = GENERATIONS, stale: int = STALE) -> list[Bins]:
+    """One epoch of one island; the population, best packing first. It stops early at the fewest bins possible."""
+    rnd, least = random.Random(seed), fewest(sizes, capacity)
+    population = list(population) or [best_fit_decreasing(sizes, capacity)]
+    while len(population) < POPULATION and min(map(len, population)) > least:
+        order = sorted(range(len(sizes)), key=lambda i: sizes[i] * (1 + 0.3 * rnd.random()), reverse=True)
         population.append(best_fit(order, sizes, capacity))
-        if len(population[-1]) == least:
-            break
-    rated = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), reverse=True)
-    born = len(rated)
+    rated = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
+    born, since = len(rated), 0
     for _ in range(generations):
-        if -rated[0][0][0] <= least or len(rated) < 2:
+        if len(rated[0][2]) <= least or since >= stale or len(rated) < 2:
             break
-        other = rnd.randrange(1, len(rated))
-        for a, b in ((0, other), (other, 0)):
+        top = rated[0][0]
+        i, j = (min(rnd.sample(range(len(rated)), 2)) for _ in range(2))
+        i, j = (i, j) if i != j else (i, (i + 1) % len(rated))
+        for a, b in ((i, j), (j, i)):
             child = cross(rated[a][2], rated[b][2], sizes, capacity, rnd)
-            born += 1
-            rated.append((fitness(child, sizes, capacity), born, child))
-        rated = sorted(rated, reverse=True)[:POPULATION]
+            fit = fitness(child, sizes, capacity)
+            if all(fit != x[0] for x in rated):  # another like it is there
+                born += 1
+                rated.append((fit, born, child))
+        rated = sorted(rated, key=lambda x: x[:2], reverse=True)[:POPULATION]
+        since = 0 if rated[0][0] > top else since + 1
     return [p for _, _, p in rated]
 
 
-def _epoch(capacity: int, first: bool, seed: int):
+def _epoch(capacity: int, epoch: int):
+    """Rows (block, island, sizes, population, migrant) in, the island's population after an epoch out."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            best, count, square = [], [], []
+            kept, count, square, done = [], [], [], []
             for row in frame.itertuples():
                 sizes = row.sizes.tolist()
-                population = [] if first else [_as_bins(x.tolist()) for x in (row.best, row.migrant)]
-                done = evolve(sizes, capacity, population, seed + int(row.block) * ISLANDS + int(row.island), GENERATIONS)[0]
-                best.append(_as_list(done, len(sizes)))
-                rating = fitness(done, sizes, capacity)
+                held = [] if row.population is None else [_as_bins(x.tolist()) for x in row.population]
+                held += [] if row.migrant is None else [_as_bins(row.migrant.tolist())]
+                if epoch == 0 and row.island:  # the first island starts with best fit by falling length, the others with orders of their own
+                    rnd = random.Random(row.block * ISLANDS + row.island)
+                    held = [best_fit(sorted(range(len(sizes)), key=lambda i: sizes[i] * (1 + 0.15 * rnd.random()), reverse=True), sizes, capacity)]  # noqa: B023
+                found = evolve(sizes, capacity, held, 1_000_003 * epoch + int(row.block) * ISLANDS + int(row.island))
+                kept.append([_as_list(x, len(sizes)) for x in found])
+                rating = fitness(found[0], sizes, capacity)
                 count.append(-rating[0])
                 square.append(rating[1])
-            yield pd.DataFrame({"block": frame["block"], "island": frame["island"], "sizes": frame["sizes"], "best": best, "bins": count, "square": square})
+                done.append(len(found[0]) <= fewest(sizes, capacity))
+            yield pd.DataFrame({"block": frame["block"], "island": frame["island"], "sizes": frame["sizes"], "population": kept, "best": [x[0] for x in kept], "bins": count, "square": square, "done": done})
 
     return run
 
 
-def pack(items: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
+def _dealt(items: DataFrame, per_block: int, salt: int) -> DataFrame:
+    """(block, items, sizes): ``items`` (item, length, part) dealt at random into blocks of about ``per_block`` pieces.
+
+    Pieces of one ``part`` (a bin so far) stay together.
+    """
+    blocks = max(1, -(-items.count() // per_block))
+    x = F.sort_array(F.collect_list(F.struct("item", F.col("length").cast("int").alias("length"))))
+    grouped = items.groupBy(F.expr(f"pmod(xxhash64(part, {salt}), {blocks})").alias("block")).agg(x.alias("x"))
+    return materialise(grouped.select("block", F.col("x.item").alias("items"), F.col("x.length").alias("sizes")), "blocks")
+
+
+def _placed(grouped: DataFrame, best: DataFrame) -> DataFrame:
+    """(item, length, bin, again) of ``grouped`` (block, items, sizes) by ``best`` (block, best, again)."""
+    rows = grouped.join(best, "block").select("block", "again", F.explode(F.arrays_zip("items", "sizes", "best")).alias("x"))
+    part = (F.col("block") * (1 << 24) + F.col("x.best")).alias("part")
+    return rows.select(F.col("x.items").alias("item"), F.col("x.sizes").cast("long").alias("length"), part, F.get("again", F.col("x.best")).alias("again"))
+
+
+def _loose(sizes: list[int], assigned: list[int], capacity: int) -> list[bool]:
+    """Whether each bin is to be packed again."""
+    room = [capacity] * (max(assigned, default=-1) + 1)
+    for size, k in zip(sizes, assigned, strict=True):
+        room[k] -= size
+    free = 1 if len(room) > fewest(sizes, capacity) else max(1, LOOSE * capacity)
+    return [x >= free for x in room]
+
+
+def _first(capacity: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            best = [_as_list(best_fit_decreasing(x.tolist(), capacity), len(x)) for x in frame["sizes"]]
+            yield pd.DataFrame({"block": frame["block"], "best": best, "again": [_loose(x.tolist(), b, capacity) for x, b in zip(frame["sizes"], best, strict=True)]})
+
+    return run
+
+
+def _evolved(grouped: DataFrame, capacity: int) -> DataFrame:
+    """(block, best, again): the best packing of each block over its islands and their epochs."""
+    spark = grouped.sparkSession
+    schema = "block bigint, island int, sizes array<int>, population array<array<int>>, best array<int>, bins int, square double, done boolean"
+    none = F.lit(None)
+    state = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", none.cast("array<array<int>>").alias("population"), none.cast("array<int>").alias("migrant"))
+    state = materialise(state.repartition(partitions(spark), "block", "island").mapInPandas(_epoch(capacity, 0), schema), "epoch")
+    over = state
+    for epoch in range(1, EPOCHS):
+        ended = over.groupBy("block").agg(F.bool_or("done").alias("ended"))
+        over = over.join(ended.where("not ended").select("block"), "block")
+        guests = over.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
+        met = over.select("block", "island", "sizes", "population").join(guests, ["block", "island"])
+        over = materialise(met.mapInPandas(_epoch(capacity, epoch), schema), "epoch")
+        if over.isEmpty():
+            break
+        state = state.unionByName(over)
+    won = state.groupBy("block").agg(F.max_by(F.struct("sizes", "best"), F.struct(-F.col("bins"), "square", "island")).alias("x"))
+
+    def loose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            again = [_loose(x.tolist(), b.tolist(), capacity) for x, b in zip(frame["sizes"], frame["best"], strict=True)]
+            yield pd.DataFrame({"block": frame["block"], "best": frame["best"], "again": again})
+
+    return won.select("block", "x.sizes", "x.best").mapInPandas(loose, "block bigint, best array<int>, again array<boolean>")
+
+
+def pack(items: DataFrame, capacity: int, block: int = BLOCK, pool: int = POOL) -> DataFrame:
     """(item, sequence_id, offset) for ``items`` (item: distinct long, length: 1 to ``capacity``), in few sequences.
 
     Offsets in a sequence are gapless from 0; sequence numbers are unique but have gaps. An empty table gives no row.
     """
-    spark = items.sparkSession
     whole = items.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = items.where(F.col("length") < capacity)
-    blocks = max(1, -(-rest.count() // block))
-    grouped = rest.groupBy(F.expr(f"pmod(xxhash64(item), {blocks})").alias("block")).agg(F.sort_array(F.collect_list(F.struct("item", F.col("length").cast("int").alias("length")))).alias("x"))
-    grouped = materialise(grouped.select("block", F.col("x.item").alias("items"), F.col("x.length").alias("sizes")), "blocks")
-    islands = grouped.select("block", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    schema = "block bigint, island int, sizes array<int>, best array<int>, bins int, square double"
-    n = partitions(spark)
-    state = materialise(islands.repartition(n, "block", "island").mapInPandas(_epoch(capacity, True, 0), schema), "epoch")
-    for epoch in range(1, EPOCHS):
-        guests = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
-        met = state.select("block", "island", "sizes", "best").join(guests, ["block", "island"])
-        state = materialise(met.mapInPandas(_epoch(capacity, False, 1_000_003 * epoch), schema), "epoch")
-    won = state.groupBy("block").agg(F.max_by("best", F.struct(-F.col("bins"), "square", "island")).alias("best"))
-    rows = grouped.join(won, "block").select("block", F.explode(F.arrays_zip("items", "sizes", "best")).alias("x"))
-    rows = rows.select("block", F.col("x.items").alias("item"), F.col("x.sizes").cast("long").alias("length"), (F.col("block") * (1 << 24) + F.col("x.best")).alias("sequence_id"))
+    rest = items.where(F.col("length") < capacity).select("item", "length", F.col("item").alias("part"))
+    grouped = _dealt(rest, block, 0)
+    best = grouped.select("block", "sizes").repartition(partitions(items.sparkSession), "block").mapInPandas(_first(capacity), "block bigint, best array<int>, again array<boolean>")
+    kept, last = [], None
+    for turn in range(ROUNDS + 1):
+        placed = materialise(_placed(grouped, best), "placed")
+        bins = placed.groupBy("part").agg(F.bool_or("again").alias("again"))
+        open_, full = (r or 0 for r in bins.agg(F.count_if("again"), F.count_if(~F.col("again"))).first())
+        number = (F.col("part") * (ROUNDS + 1) + turn).alias("sequence_id")
+        if turn == ROUNDS or open_ < 2 or last == 1:
+            kept.append(placed.select("item", "length", number))
+            break
+        again = F.col("again") | drawn("part", 31 + turn, F.lit(min(1.0, 2 * open_ / max(1, full))))  # two others for each
+        kept.append(placed.where(~again).select("item", "length", number))
+        grouped = _dealt(placed.where(again).select("item", "length", "part"), pool, turn + 1)
+        last = grouped.count()
+        best = _evolved(grouped, capacity)
+    rows = reduce(DataFrame.unionByName, kept)
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "item"))
     return rows.select("item", "sequence_id", (before - F.col("length")).alias("offset")).unionByName(whole)
 

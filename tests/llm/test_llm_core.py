@@ -309,7 +309,7 @@ def test_op10_packs_whole_documents(spark, sf, texts, odd, nothing):
 
 def test_packing_blocks_and_islands(spark):
     rnd = random.Random(6)
-    sizes = [rnd.randrange(300, 900) for _ in range(900)]
+    sizes = [rnd.randrange(20, 600) for _ in range(900)]
     items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "item long, length long")
     rows = packing.pack(items, 1000, block=100).join(items, "item").collect()
     assert len(rows) == len(sizes)
@@ -317,5 +317,40 @@ def test_packing_blocks_and_islands(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1000
-    p = packing.evolve(sizes, 1000, [], 0, 0)[0]
-    assert len(packing.evolve(sizes, 1000, [], 0, 6)[0]) <= len(p)
+    alone = [sizes[k : k + 100] for k in range(0, 900, 100)]
+    assert len(fill) <= packing.fewest(sizes, 1000) + 1 < sum(packing.fewest(x, 1000) for x in alone)
+
+
+def triplets(seed, n):
+    """Pieces that fill ``n`` bins of 1000 to the last place, three in each: best fit by falling length does badly."""
+    rnd, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randrange(380, 490)
+        b = rnd.randrange(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    rnd.shuffle(sizes)
+    return sizes
+
+
+def test_generations_beat_best_fit_decreasing_on_hard_pieces(spark):
+    sizes = triplets(0, 80)
+    greedy = len(packing.best_fit_decreasing(sizes, 1000))
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    rows = packing.pack(items, 1000).join(items, "item").collect()
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    print("hard pieces: fewest", 80, "greedy", greedy, "evolved", len(fill))
+    assert sum(fill.values()) == sum(sizes) and max(fill.values()) <= 1000 and len(fill) < greedy
+
+
+def test_evolution_never_worsens_and_keeps_every_piece():
+    sizes = triplets(1, 30)
+    population, best = [], None
+    for epoch in range(3):
+        population = packing.evolve(sizes, 1000, population, epoch)
+        assert all(sorted(i for b in p for i in b) == list(range(90)) and max(sum(sizes[i] for i in b) for b in p) <= 1000 for p in population)
+        rating = packing.fitness(population[0], sizes, 1000)
+        assert best is None or rating >= best
+        best = rating
+    assert packing.fewest([600, 600, 600], 1000) == 3 and packing.fewest([], 1000) == 0
