@@ -1,7 +1,8 @@
 """WARC archives: one gzip member per record, written through Spark and read back in sequence.
 
-Archives are files of gzip members and nothing else. Spark's text writer puts them into any file system it knows, with
-its usual commit: a member's last byte (the top byte of its length) is zero, so rows carry members without it and the
+Archives are files of gzip members and nothing else, of bounded size: a task gathers members until they reach
+``ARCHIVE`` bytes and hands them on as one row, which Spark's text writer makes a file of, in any file system it knows and
+with its usual commit: a member's last byte (the top byte of its length) is zero, so rows carry archives without it and the
 line separator is that byte. A record of 16 MB or more, whose last byte may differ, is followed by an empty member.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
-#: Records of an archive at most.
-RECORDS = 20_000
+#: Bytes from which on an archive is closed: what one row, and a task that reads it, holds besides one record.
+ARCHIVE = 32 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,30 +52,42 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for page_id, url, html, top, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            html = html or b""
-            data = _member(record(page_id, url, html, top, revisit, base32_sha1(html)))
-            out.append((data if data[-1] == 0 else data + _member(b""))[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+def _archives(archive: int):
+    """Rows (page_id, url, html, top, revisit) in, archives without their last byte out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                page_id, url, html, top, revisit = (c[row].as_py() for c in batch.columns)
+                html = html or b""
+                data = _member(record(page_id, url, html, top, revisit, base32_sha1(html)))
+                held.append(data if data[-1] == 0 else data + _member(b""))
+                size += len(held[-1])
+                if size >= archive:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records: int = RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive: int = ARCHIVE) -> None:
     """Write each row of ``pages`` (page_id, url, html) as a record into archives at ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest page_id is a response and the
     others are revisits of it; rows that repeat that page_id are responses too, and so are all rows of a payload whose
-    page_ids are all null. Smaller payloads are always responses. Null html is an empty payload.
+    page_ids are all null. Smaller payloads are always responses. Null html is an empty payload. An archive is closed when
+    it has ``archive`` bytes or its task ends. An empty table gives a folder without archives.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html")).withColumn("digest", F.sha1("html"))
     tops = own.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("top"))
     met = own.join(tops, "digest", "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    rows = met.select("page_id", "url", "html", "top", revisit.alias("revisit")).mapInArrow(_members, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+    rows = met.select("page_id", "url", "html", "top", revisit.alias("revisit")).mapInArrow(_archives(archive), "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 class WarcError(ValueError):
@@ -190,7 +203,8 @@ def _read(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each record of the archives at ``path``.
 
-    A revisit's length and digest are those of the full payload; its own payload is empty.
+    A revisit's length and digest are those of the full payload; its own payload is empty. A folder without archives gives
+    no row. A task holds one archive at a time, and its records one by one.
     """
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else "")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)

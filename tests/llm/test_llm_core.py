@@ -250,7 +250,7 @@ def test_op6_odd_rows(spark):
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [None] + [0.5] * 19), (402, [float("nan")] * 20), (None, [1.0] * 20), (450, [0.0] * 20), (500, [1.0] * 3), (501, [float("inf")] * 20), (550, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("width", F.lit("x"))
     for block in (16, 4096):
-        assert {tuple(r) for r in topk.top_k(df, 5, 50, candidates=block).collect()} == {x for x in slow_top([x for x in rows if x[1] != []], 5, 50)}
+        assert {tuple(r) for r in topk.top_k(df, 5, 50, candidates=block, query_bytes=block).collect()} == {x for x in slow_top([x for x in rows if x[1] != []], 5, 50)}
     assert topk.top_k(df.limit(0)).collect() == []
 
 

@@ -144,7 +144,7 @@ def test_op9_odd_rows_and_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, "same"), (4, "u", None), (5, "u", ""), (None, "u", "alone"), (None, "u", "same"), (6, "u", big), (7, "u", "ÿ" * 3000), (3, None, "same")]
     df = spark.createDataFrame([(*r, "d", 1, "v") for r in rows], PAGES)
     path = f"file://{tmp_path}/w"
-    warc.write_archives(df, path, records=3)
+    warc.write_archives(df, path, archive=600)
     got = warc.read_archives(spark, path, with_payload=True).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(1, "revisit", 3), (2, "revisit", 3), (3, "response", None), (3, "response", None), (4, "revisit", 5), (5, "response", None), (None, "response", None), (None, "revisit", 3), (6, "response", None), (7, "response", None)])
     html = {r[0]: (r[2] or "").encode() for r in rows if r[0]}
@@ -231,3 +231,14 @@ def test_training_lines_of_a_document_are_bounded(spark):
     model = quality.fit(docs, labels, most_lines=20)
     rows = quality.score_documents(docs, model).collect()
     assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_archives_are_closed_by_bytes(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(k, "http://a/", rnd.randbytes(rnd.choice([100, 3000, 40_000])).hex()) for k in range(120)]
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path, archive=100_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 100_000 + 90_000
+    got = warc.read_archives(spark, path, with_payload=True).collect()
+    assert {r.page_id: r.payload.decode() for r in got} == {k: h for k, _, h in rows}
