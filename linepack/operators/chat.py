@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Special tokens by name; ids are the caller's.
-MARKS = ("bos", "user_start", "user_end", "assistant_start", "assistant_end")
+MARKS = ("bos", "user_start", "user_end", "assistant_start", "assistant_end", "python_start", "python_end", "output_start", "output_end")
 
 
 def assemble(turns: DataFrame) -> DataFrame:
@@ -33,14 +33,29 @@ def validate(turns: DataFrame) -> DataFrame:
     return bad.groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("__bad", F.when(F.col("__bad").isNotNull(), F.col("turn"))).alias("reason"))
 
 
-def render(messages: Column, tokens, ids: dict[str, int], most: int | None = 2048) -> Column:
-    """Array of (id, mask): user turns and marks that open have mask 0, assistant text and its end 1; cut to ``most``."""
+def render(messages: Column, tokens, ids: dict[str, int], most: int | None = 2048, parts: bool = False) -> Column:
+    """Array of (id, mask): user turns and marks that open have mask 0, assistant text and its end 1; cut to ``most``.
+
+    With ``parts`` a message has an array ``parts`` of (type, text) besides its text; where it is not null it is an
+    assistant turn's content. Code (``python``) is supervised with its marks, its output (``python_output``) is not; another
+    type is an error.
+    """
     one = lambda i, m: F.array(F.struct(F.lit(i).alias("id"), F.lit(m).alias("mask")))
 
     def turn(m: Column) -> Column:
         body = lambda k: F.transform(tokens(m["text"]), lambda t: F.struct(t.alias("id"), F.lit(k).alias("mask")))
         user = F.concat(one(ids["user_start"], 0), body(0), one(ids["user_end"], 0))
-        return F.when(m["role"] == "user", user).otherwise(F.concat(one(ids["assistant_start"], 0), body(1), one(ids["assistant_end"], 1)))
+        said = body(1)
+        if parts:
+            said = F.coalesce(F.flatten(F.transform(m["parts"], part)), said)
+        return F.when(m["role"] == "user", user).otherwise(F.concat(one(ids["assistant_start"], 0), said, one(ids["assistant_end"], 1)))
+
+    def part(p: Column) -> Column:
+        of = lambda k: F.transform(tokens(p["text"]), lambda t: F.struct(t.alias("id"), F.lit(k).alias("mask")))
+        code = F.concat(one(ids["python_start"], 1), of(1), one(ids["python_end"], 1))
+        output = F.concat(one(ids["output_start"], 0), of(0), one(ids["output_end"], 0))
+        unknown = F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(p["type"], F.lit("null")))).cast("array<struct<id:int,mask:int>>")
+        return F.when(p["type"] == "text", of(1)).when(p["type"] == "python", code).when(p["type"] == "python_output", output).otherwise(unknown)
 
     out = F.concat(one(ids["bos"], 0), F.flatten(F.transform(messages, turn)))
     return out if most is None else F.slice(out, 1, most)
@@ -60,6 +75,14 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     return met.select("conv_id", (F.row_number().over(w) - 1).alias("pair"), F.col("text").alias("prompt"), "reply")
 
 
+def unpaired_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, reason): the turns that ``turn_pairs`` leaves out."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    met = turns.withColumn("__next", F.lead("role").over(w)).withColumn("__last", F.lag("role").over(w))
+    reason = F.when(F.col("role") == "user", F.when(~F.col("__next").eqNullSafe("assistant"), "no reply")).when(F.col("role") == "assistant", F.when(~F.col("__last").eqNullSafe("user"), "no prompt")).otherwise("another role")
+    return met.withColumn("reason", reason).where("reason is not null").select("conv_id", "turn", "role", "reason")
+
+
 def chat_blocks(text: Column, tokens) -> Column:
     """An assistant turn's blocks of (id, mask): a block ends at every newline token, also at each of a run.
 

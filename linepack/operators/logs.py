@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ema(df: DataFrame, run: str, order: str, value: str, beta: float = 0.9, reach: int = 200) -> DataFrame:
-    """Add ema: the debiased moving average from 0; terms further back than ``reach`` weigh less than a billionth."""
-    w = Window.partitionBy(run).orderBy(order)
-    n = F.row_number().over(w)
-    terms = df.withColumn("__n", n)
-    past = F.collect_list(value).over(w.rowsBetween(-reach, 0))
-    total = F.aggregate(F.col("__p"), F.lit(0.0), lambda a, x: a * beta + x * (1 - beta))
-    return terms.withColumn("__p", past).withColumn("ema", total / (1 - F.pow(F.lit(beta), F.col("__n")))).drop("__n", "__p")
+def ema(df: DataFrame, run: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
+    """Add ema: the debiased moving average from 0 over all rows so far, for any ``beta`` between 0 and 1.
+
+    A run's rows are summed in blocks with the weights beta^-k, in which the largest is e^200. What a block gets from
+    before is its predecessor's sum; older blocks weigh less than e^-200, which no double keeps.
+    """
+    long = max(1, int(-200 / math.log(beta)))
+    n = F.row_number().over(Window.partitionBy(run).orderBy(order))
+    terms = df.withColumn("__n", n).withColumn("__b", F.floor((F.col("__n") - 1) / long)).withColumn("__k", (F.col("__n") - 1) % long)
+    weigh = lambda k: F.pow(F.lit(beta), k)
+    ends = terms.groupBy(run, (F.col("__b") + 1).alias("__b")).agg(F.sum(F.col(value) * weigh(long - 1 - F.col("__k"))).alias("__end"))
+    own = F.sum(F.col(value) * weigh(-F.col("__k"))).over(Window.partitionBy(run, "__b").orderBy("__n")) * weigh(F.col("__k"))
+    met = terms.withColumn("__own", own).join(ends, [run, "__b"], "left")
+    total = F.col("__own") + F.coalesce("__end", F.lit(0.0)) * weigh(F.col("__k") + 1)
+    return met.withColumn("ema", (1 - beta) * total / (1 - weigh(F.col("__n")))).select(*df.columns, "ema")
 
 
 def throughput(df: DataFrame, run: str, step: str, dt: str, tokens: int, steps: int, skip: int = 10) -> DataFrame:

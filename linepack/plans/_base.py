@@ -10,6 +10,8 @@ from ..operators import layout
 from ..sources.corpus import prepare_docs
 
 WARM = 16
+#: Bytes of a full split.
+SPLIT = 128 << 20
 CAP = 4
 
 
@@ -17,8 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out over all cores.
+
+    A file of few row groups is read by as few tasks, and array functions on its texts run where it is read. Inputs that
+    fill the cores with full splits are left alone, so nothing of size is shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPLIT * cores
+    return df.repartition(cores) if small else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_docs(table(spark, sf_dir, "documents"))
+    return prepare_docs(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")))
 
 
 def word_documents(spark: SparkSession, sf_dir: str, warm: int = WARM, ids: bool = False) -> DataFrame:

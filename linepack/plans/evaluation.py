@@ -54,6 +54,16 @@ def f04_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(spark, sf_dir, None).select("conv_id", F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda a, x: a + x["mask"]).alias("supervised"))
 
 
+def f04_render_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assistant turn's lines as parts: text, code, output, in turn."""
+    kinds = F.array(*[F.lit(x) for x in ("text", "python", "python_output")])
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.get(kinds, i % 3).alias("type"), x.alias("text")))
+    t = H.merge_system(_turns(spark, sf_dir)).withColumn("parts", F.when(F.col("role") == "assistant", lines))
+    m = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "parts"))).alias("messages"))
+    r = m.select("conv_id", H.render(F.col("messages"), _ids, IDS, None, parts=True).alias("r"))
+    return r.select("conv_id", F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda a, x: a + x["mask"]).alias("supervised"))
+
+
 def f05_render_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(spark, sf_dir, 128).select("conv_id", F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda a, x: a + x["mask"]).alias("supervised"))
 
@@ -66,6 +76,10 @@ def f07_turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.turn_pairs(H.merge_system(_turns(spark, sf_dir)))
 
 
+def f07_unpaired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.unpaired_turns(H.merge_system(_turns(spark, sf_dir)))
+
+
 def f08_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir).where("role = 'assistant'")
     return t.select("conv_id", "turn", F.array_join(F.transform(H.chat_blocks(F.col("text"), _words), lambda b: F.size(b)), ",").alias("sizes"))
@@ -223,13 +237,13 @@ def g17_layout_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g18_filter_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.substring("text", 1, 40), F.substring("text", 1, 400)).alias("choices"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.substring_index("text", "\n", 1), F.col("text")).alias("choices"))
     kept, dropped = P.filter_multiline(docs, "choices")
     return kept.agg(F.count("*").alias("kept"), F.sum("doc_id").alias("ids")).crossJoin(dropped)  # one row each
 
 
 def g19_score_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("choice", "line"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.posexplode(F.split("text", "\n")).alias("choice", "line"))
     w = lines.select("item", "choice", F.split("line", " ").alias("w"))
     return G.score_choices(w.select("item", "choice", F.lit(2).alias("start"), F.size("w").alias("end")), w.select("item", "choice", F.posexplode("w").alias("pos", "t")).select("item", "choice", "pos", (token_id(F.col("t")) % 1000 / 100).alias("nats")))
 
@@ -336,6 +350,11 @@ ORACLE_SQL = {
     "f02_merge_system": f"with {_SYS} select conv_id, turn, role, text from t",
     "f03_validate": f"with {_SYS}, n as (select *, row_number() over (partition by conv_id order by turn) as n from t), b as (select *, case when text is null then 'no text' when role <> case when n % 2 = 1 then 'user' else 'assistant' end then 'roles do not alternate' end as bad from n) select conv_id, count(*) as n, min(bad) as reason from b group by conv_id",
     "f04_render": _CONV + " select conv_id, cast(1 + sum(k + 2) as integer) as n, cast(coalesce(sum(k + 1) filter (where role <> 'user'), 0) as integer) as supervised from r group by conv_id",
+    "f04_render_parts": _CONV + """, l as (select conv_id, turn, role, unnest(case when role = 'user' then [text] else string_split(text, chr(10)) end) as line, generate_subscripts(case when role = 'user' then [text] else string_split(text, chr(10)) end, 1) as i from t),
+        p as (select *, len(string_split(line, ' ')) as k, case when role = 'user' then 3 else (i - 1) % 3 end as kind from l),
+        s as (select conv_id, turn, role, sum(k + case when kind in (1, 2) then 2 else 0 end) as n, sum(case kind when 0 then k when 1 then k + 2 else 0 end) as y from p group by all)
+        select conv_id, cast(1 + sum(n + 2) as integer) as n, cast(sum(y + cast(role <> 'user' as integer)) as integer) as supervised from s group by conv_id""",
+    "f07_unpaired_turns": f"with {_SYS}, n as (select *, lead(role) over w as nr, lag(role) over w as lr from t window w as (partition by conv_id order by turn)), r as (select *, case when role = 'user' then case when coalesce(nr, '') <> 'assistant' then 'no reply' end when role = 'assistant' then case when coalesce(lr, '') <> 'user' then 'no prompt' end else 'another role' end as reason from n) select conv_id, turn, role, reason from r where reason is not null",
     "f05_render_truncated": _CONV + ", o as (select *, 1 + coalesce(sum(k + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as off from r) select conv_id, cast(least(128, 1 + sum(k + 2)) as integer) as n, cast(sum(case when role = 'user' then 0 else greatest(0, least(128, off + k + 2) - off - 1) end) as integer) as supervised from o group by conv_id",
     "f06_for_completion": _CONV + " select conv_id, cast(2 + coalesce(sum(k + 2) filter (where not (back = 1 and role = 'assistant')), 0) as integer) as n from r group by conv_id",
     "f07_turn_pairs": _PAIRS + " select * from p",
@@ -371,15 +390,15 @@ ORACLE_SQL = {
     "g15_truncate_left": "with w as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, array_to_string(w[greatest(len(w) - 15, 1):], ' ') as kept, cast(least(len(w), 16) - 1 as integer) as start, cast(least(len(w), 16) as integer) as \"end\" from w",
     "g16_pad_to_longest": _ITEM + ", n as (select item, choice, len(string_split(query || ' ' || choices[choice + 1], ' ')) as n from ch) select item, choice, cast(max(n) over (partition by item) as integer) as n from n",
     "g17_layout_spans": _POS + ", c as (select doc_id, row_pos, thread = n_blocks - 1 as l, row_number() over (partition by doc_id order by thread desc, local_step desc) as k from pos where local_step >= case when is_tail then 2 else 1 end), s as (select doc_id, min(row_pos) as start, max(row_pos) + 1 as e, bool_and(l) as inside from c where k <= greatest(doc_id % 5, 1) group by doc_id) select doc_id, start, e as \"end\" from s where inside",
-    "g18_filter_multiline": "with k as (select doc_id, contains(substr(text, 1, 400), chr(10)) as m from documents) select count(*) filter (where not m) as kept, cast(sum(doc_id) filter (where not m) as bigint) as ids, count(*) filter (where m) as dropped from k",
-    "g19_score_choices": "with l as (select doc_id as item, unnest(string_split(text, chr(10))[1:4]) as line, generate_subscripts(string_split(text, chr(10))[1:4], 1) - 1 as choice from documents), w as (select item, cast(choice as integer) as choice, unnest(string_split(line, ' ')) as t, generate_subscripts(string_split(line, ' '), 1) - 1 as pos, len(string_split(line, ' ')) as n from l), m as (select item, choice, avg(cast(('0x' || substr(md5(t), 1, 7)) as integer) % 1000 / 100) as loss from w where pos between 1 and n - 2 group by all) select item, arg_min(choice, (loss, choice)) as choice from m group by item",
+    "g18_filter_multiline": "with k as (select doc_id, contains(text, chr(10)) as m from documents) select count(*) filter (where not m) as kept, cast(sum(doc_id) filter (where not m) as bigint) as ids, count(*) filter (where m) as dropped from k",
+    "g19_score_choices": "with l as (select doc_id as item, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as choice from documents), w as (select item, cast(choice as integer) as choice, unnest(string_split(line, ' ')) as t, generate_subscripts(string_split(line, ' '), 1) - 1 as pos, len(string_split(line, ' ')) as n from l), m as (select item, choice, avg(cast(('0x' || substr(md5(t), 1, 7)) as integer) % 1000 / 100) as loss from w where pos between 1 and n - 2 group by all) select item, arg_min(choice, (loss, choice)) as choice from m group by item",
     "g20_score_exact": _STREAM + ", s as (select doc_id, least(max(pos), 8) as e from s1 group by doc_id) select doc_id as item, bool_and(case when token % 7 > 0 then target else 0 end = target) as correct from s1 join s using (doc_id) where pos between 2 and e - 2 group by doc_id",
     "g21_task_accuracy": f"with {_ACC} select * from a",
     "g22_core_metric": f"with {_ACC}, b as (select source as task, min(doc_id) % 50 as rb from documents group by source) select avg((accuracy - 0.01::double * rb) / (1 - 0.01::double * rb)) as core, count(*) as n_tasks, count(*) < 22 as partial from a join b using (task)",
     "g23_format_ablation": 'select lang as "group", avg(n_chars) filter (where doc_id % 2 = 0) as two_line, avg(n_chars) filter (where doc_id % 2 = 1) as same_line, avg(n_chars) filter (where doc_id % 2 = 1) - avg(n_chars) filter (where doc_id % 2 = 0) as delta from documents group by lang',
     "g24_compare_runs": f"with {_ACC}, f as (select *, case when task <> 'src1' then accuracy + (counted % 3 - 1) * 0.015::double end as fresh from a) select task as run, 'core' as metric, accuracy as ref, fresh, fresh - accuracy as gap, case when fresh is null then '?' when abs(fresh - accuracy) <= 0.01 then 'OK' else 'GAP' end as flag from f",
     "g25_row_records": _POS + " select doc_id, cast(count(*) filter (where row_pos between m - 3 and m - 1) as bigint) as answers, cast(count(*) filter (where row_pos between m - 4 and m - 2) as bigint) as predicting from (select *, max(row_pos) over (partition by doc_id) as m from pos) group by doc_id",
-    "h01_ema": _STEP + " select a.event_id, round(sum(b.value * (1 - 0.9::double) * pow(0.9::double, a.step - b.step)) / (1 - pow(0.9::double, any_value(a.step))), 6) as ema from s a join s b on a.user_id = b.user_id and b.step between a.step - 200 and a.step group by a.event_id",
+    "h01_ema": _STEP + " select a.event_id, round(sum(b.value * (1 - 0.9::double) * pow(0.9::double, a.step - b.step)) / (1 - pow(0.9::double, any_value(a.step))), 6) as ema from s a join s b on a.user_id = b.user_id and b.step <= a.step group by a.event_id",
     "h02_throughput": _STEP + ", t as (select event_id, step, event_id % 7 + 1.0::double as dt, sum(case when step > 10 then event_id % 7 + 1.0::double else 0 end) over (partition by user_id order by step) as total_time from s) select event_id, 1000 / dt as tokens_per_sec, step * 100.0::double / 500 as progress, total_time, case when step > 10 then total_time / (step - 10) * (500 - step) end as eta from t",
     "h03_utilization": "select event_id, case when contains(lower(event_type), 'cli') then 200.0::double when contains(lower(event_type), 'c') then 100 when contains(lower(event_type), 'i') then 50 end as peak, 100 * value / case when contains(lower(event_type), 'cli') then 200.0::double when contains(lower(event_type), 'c') then 100 when contains(lower(event_type), 'i') then 50 end as mfu from events",
     "h04_running_best": _STEP + " select event_id, min(value) over (partition by user_id order by step) as best from s",

@@ -115,9 +115,13 @@ def e03_rebase_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e04_shift_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = documents(spark, sf_dir).select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 33)
+    """Whole documents in rows of 32 inputs; the last one is filled up."""
+    w = documents(spark, sf_dir).select("doc_id", F.split("text", " ").alias("w"))
+    w = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - 1) / 32).cast("int") - 1))).alias("row"))
+    part = F.slice("w", F.col("row") * 32 + 1, F.lit(33))
+    w = w.select("doc_id", "row", F.concat(part, F.array_repeat(F.lit("<pad>"), 33 - F.size(part))).alias("w"))
     a, b = E.shift_io(F.col("w"), 32)
-    return w.select("doc_id", F.array_join(a, " ").alias("inputs"), F.array_join(b, " ").alias("targets"))
+    return w.select("doc_id", "row", F.array_join(a, " ").alias("inputs"), F.array_join(b, " ").alias("targets"))
 
 
 def e05_drop_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +176,7 @@ ORACLE_SQL = {
     "c13_newline_class": _W + " select case when not contains(word, chr(10)) then 'NO' when word = chr(10) then 'PURE' else 'TRAIL' end as nl_class, count(*) as tokens, cast(sum(n) as bigint) as n from wc group by 1",
     "c14_check_vocab": _W + " select cast(0 as bigint) as invalid, count(*) filter (where contains(word, chr(10))) > 0 as has_newlines from wc",
     "e03_rebase_offsets": _LEN + ", s as (select doc_id, doc_id // 5 as row, length * 3 // 256 + 1 as step from d) select row, doc_id, cast(256 * (sum(step) over (partition by row order by doc_id) - step) as bigint) as rope_offset from s",
-    "e04_shift_io": "with " + BLOCKS + ", w as (select doc_id, string_split(text, ' ') as w from docs) select doc_id, array_to_string(w[1:32], ' ') as inputs, array_to_string(w[2:33], ' ') as targets from w where len(w) >= 33",
+    "e04_shift_io": "with " + BLOCKS + """, w0 as (select doc_id, string_split(text, ' ') as w from docs), w1 as (select *, cast(unnest(range(0, greatest(1, cast(ceil((len(w) - 1) / 32) as bigint)))) as integer) as row from w0),
+        w as (select doc_id, row, list_resize(w[row * 32 + 1 : row * 32 + 33], 33, '<pad>') as w from w1) select doc_id, row, array_to_string(w[1:32], ' ') as inputs, array_to_string(w[2:33], ' ') as targets from w""",
     "e05_drop_overflow": _LEN + " select doc_id, source, length, doc_id // 8 as batch from d where doc_id // 8 not in (select doc_id // 8 from d group by 1 having max(length) >= 2000)",
 }

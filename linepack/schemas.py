@@ -11,4 +11,4 @@ TASK = T.StructType([T.StructField("label", T.StringType()), T.StructField("task
 BASELINE = T.StructType([T.StructField("label", T.StringType()), T.StructField("random_baseline", T.DoubleType())])
 METRIC = T.StructType([T.StructField("run", T.StringType()), T.StructField("slice", T.StringType()), T.StructField("label", T.StringType()), T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
 #: Names of the special tokens of a vocabulary, in id order.
-SPECIALS = ["<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>", "<|sot|>", "<|eot|>", "<|sot_tail|>"]
+SPECIALS = ["<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>", "<|sot|>", *[f"<|bot_{k}|>" for k in range(1, 17)], "<|eot|>", "<|sot_tail|>"]

@@ -65,7 +65,8 @@ def replay(df: DataFrame, epochs: int) -> DataFrame:
 
 def after_cursor(df: DataFrame, shard: str, ordinal: str, cursor: tuple[str, int]) -> DataFrame:
     """Rows strictly after a (shard, ordinal) cursor."""
-    return df.where(F.struct(F.col(shard), F.col(ordinal)) > F.struct(F.lit(cursor[0]), F.lit(cursor[1]).cast("bigint")))
+    at, done = cursor
+    return df.where((F.col(shard) >= at) & ((F.col(shard) > at) | (F.col(ordinal) > F.lit(done).cast("bigint"))))
 
 
 def prepare_docs(df: DataFrame, col: str = "text") -> DataFrame:

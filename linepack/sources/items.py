@@ -36,11 +36,11 @@ def read_tasks(spark: SparkSession, tasks: list[dict]) -> DataFrame:
 
 def select_tasks(tasks: DataFrame, labels: DataFrame, overrides: DataFrame | None = None, shots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen tasks, labels that name no task). A task's own override of num_fewshot wins over the global one."""
-    chosen = tasks.join(F.broadcast(labels), "label", "left_semi")
+    chosen = tasks.join(labels, "label", "left_semi")
     missing = labels.join(tasks, "label", "left_anti")
     every = F.lit(shots).cast("int")
     if overrides is not None:
-        chosen = chosen.join(F.broadcast(overrides.select("label", F.col("num_fewshot").alias("__own"))), "label", "left")
+        chosen = chosen.join(overrides.select("label", F.col("num_fewshot").alias("__own")), "label", "left")
         return chosen.withColumn("num_fewshot", F.coalesce("__own", every, "num_fewshot")).drop("__own"), missing
     return chosen.withColumn("num_fewshot", F.coalesce(every, "num_fewshot")), missing
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linepack.operators import longlines, logs, packing, prompts, tokens
+from linepack.operators import chat, longlines, logs, packing, prompts, tokens
 from linepack.sources import corpus, items
 from linepack.streaming.ingest import ingest, stream_corpus
 
@@ -133,14 +133,23 @@ def test_prompts_with_shots(spark):
     assert r.l == ["q1 x\n\nq2\nz y\n\nc", "q1 x\n\nq2\nz y\n\nc d"]
 
 
-def test_ema(spark):
+@pytest.mark.parametrize(("beta", "n"), [(0.9, 300), (0.5, 900), (0.1, 400), (0.999, 3000)])
+def test_ema(spark, beta, n):
     rnd = random.Random(4)
-    v = [rnd.random() for _ in range(300)]
-    got = [r.ema for r in logs.ema(spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "run int, step int, x double"), "run", "step", "x").orderBy("step").collect()]
+    v = [rnd.random() for _ in range(n)]
+    got = [r.ema for r in logs.ema(spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "run int, step int, x double"), "run", "step", "x", beta).orderBy("step").collect()]
     m = 0.0
     for i, x in enumerate(v):
-        m = 0.9 * m + 0.1 * x
-        assert got[i] == pytest.approx(m / (1 - 0.9 ** (i + 1)), rel=1e-6)
+        m = beta * m + (1 - beta) * x
+        assert got[i] == pytest.approx(m / (1 - beta ** (i + 1)), rel=1e-9)
+
+
+def test_parts_of_unknown_type_are_an_error(spark):
+    one = "array(named_struct('role', 'assistant', 'text', 'x', 'parts', array(named_struct('type', 'image', 'text', 'y'))))"
+    ids = {k: i for i, k in enumerate(chat.MARKS)}
+    df = spark.sql(f"select {one} as m").select(chat.render(F.col("m"), lambda c: F.transform(F.split(c, " "), lambda x: F.length(x)), ids, None, parts=True).alias("r"))
+    with pytest.raises(Exception, match="unknown part type: image"):
+        df.collect()
 
 
 def test_corpus_files(spark, tmp_path):
