@@ -1,13 +1,15 @@
 """Splitting of over-long lines at sentence ends near their middle.
 
-Levels of the recursion are array transforms of one row, a few at a time until no piece is over the budget, so no text
-is shuffled for them. Only lines over the budget go through them.
+The recursion runs where the text is, one Arrow batch of texts at a time: no shuffle, no key, and all other columns stay
+in the JVM.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,7 @@ from ..functions.text import cap_newline_runs, strip_leading_newlines
 MOST = 254
 STOPS = ".!?;。！？；…"
 WINDOW = 0.25
-#: Levels between two looks at whether any piece is still too long.
-LEVELS = 4
+_SEGMENT = re.compile(r"([^\n\r]+)([\n\r]*)|[\n\r]+")
 
 Measure = Callable[[Column], Column]
 
@@ -40,61 +41,50 @@ def over_budget(content: Column, sep: Column, most: int, measure: Measure) -> Co
     return F.when(F.octet_length(content) + F.octet_length(sep) <= most, False).otherwise(measure(content) + F.length(sep) > most)
 
 
-def _cut(piece: Column) -> Column:
-    """Where to cut a piece: after the last stop within a quarter of its middle, else in the middle."""
-    n = F.length(piece)
-    mid = F.floor(n / 2).cast("int")
-    half = F.greatest(F.lit(1), F.floor(n * WINDOW).cast("int"))
-    low = F.greatest(F.lit(0), mid - half)
-    near = F.substring(piece, low + 1, F.least(n, mid + half) - low)
-    last = F.length(F.regexp_extract(near, rf"(?s)^(.*[{STOPS}])", 1))
-    at = low + last
-    return F.when((last == 0) | (at == 0) | (at == n), mid).otherwise(at)
-
-
-def _fits(p: Column, most: int, measure: Measure) -> Column:
-    return (F.octet_length(p["text"]) + p["budget"] <= most) | (measure(p["text"]) + p["budget"] <= most) | (F.length(p["text"]) < 2)
-
-
-def _level(pieces: Column, most: int, measure: Measure) -> Column:
-    def step(p: Column) -> Column:
-        text, budget, fits = p["text"], p["budget"], _fits(p, most, measure)
-        cut = _cut(text)
-        left = F.struct(F.substring(text, F.lit(1), cut).alias("text"), F.lit(1).alias("budget"))
-        right = F.struct(F.substring(text, cut + 1, F.length(text)).alias("text"), budget.alias("budget"))
-        return F.when(fits, F.array(F.struct(text.alias("text"), budget.alias("budget")))).otherwise(F.array(left, right))
+def count_words(text: str) -> int:
+    """``n_words`` for text at hand."""
+    return text.count(" ") + 1
 
-    return F.flatten(F.transform(pieces, step))
 
-
-def split_long_lines(df: DataFrame, most: int = MOST, measure: Measure = n_words, run: int = 16, col: str = "text", key: str = "doc_id") -> DataFrame:
+def _cut(text: str) -> int:
+    """Where to cut a piece: after the last stop within a quarter of its middle, else in the middle."""
+    n = len(text)
+    mid, half = n // 2, max(1, int(n * WINDOW))
+    low, high = max(0, mid - half), min(n, mid + half)
+    at = max(text.rfind(stop, low, high) for stop in STOPS) + 1
+    return at if 0 < at < n else mid
+
+
+def cut_line(line: str, room: int, most: int, count: Callable[[str], int]) -> list[str]:
+    """The pieces of a line that fit: each leaves room for one newline, the last one for ``room`` of them."""
+    out, todo = [], [(line, room)]
+    while todo:
+        text, budget = todo.pop()
+        if len(text) < 2 or len(text.encode("utf-8", "replace")) + budget <= most or count(text) + budget <= most:
+            out.append(text)
+        else:
+            at = _cut(text)
+            todo += [(text[at:], budget), (text[:at], 1)]
+    return out
+
+
+def split_long_lines(df: DataFrame, most: int = MOST, count: Callable[[str], int] = count_words, run: int = 16, col: str = "text") -> DataFrame:
     """``col`` with leading newlines stripped, newline runs capped at ``run`` and every over-long line cut into lines that fit.
 
     Cuts add one newline each and change nothing else. A left piece leaves room for its newline, the last piece for the
-    line's own separator. Documents without an over-long line are passed on without further work; ``key`` must tell
-    rows apart. Null texts stay null.
+    line's own separator. A line has as many tokens as ``count`` says and at most one a byte. Null texts stay null.
     """
-    clean = df.withColumn(col, cap_newline_runs(strip_leading_newlines(F.col(col)), run))
-    parts = F.regexp_extract_all(F.col(col), F.lit(r"[^\n\r]+[\n\r]*|[\n\r]+"), F.lit(0))
-    body = lambda x: F.regexp_replace(x, r"[\n\r]+$", "")
-    sep = lambda x: F.regexp_extract(x, r"[\n\r]+$", 0)
-    marked = clean.withColumn("__long", F.coalesce(F.exists(parts, lambda x: over_budget(body(x), sep(x), most, measure)), F.lit(False)))
-    long = split_segments(marked.where("__long").select(key, col), col)
-    long = long.withColumn("over", (F.col("content") != "") & over_budget(F.col("content"), F.col("sep"), most, measure))
-    start = F.array(F.struct(F.col("content").alias("text"), F.greatest(F.lit(1), F.length("sep")).alias("budget")))
-    todo = long.where("over").withColumn("pieces", start)
-    todo = todo.withColumn("open", F.lit(True)).persist()
-    while not todo.where("open").isEmpty():
-        step = todo
-        for _ in range(LEVELS):  # a piece that fits is passed on
-            step = step.withColumn("pieces", _level(F.col("pieces"), most, measure))
-        todo = step.withColumn("open", F.exists("pieces", lambda p: ~_fits(p, most, measure))).persist()
-    todo = todo.drop("open")
-    whole = long.where(~F.col("over")).withColumn("line", F.col("content")).unionByName(todo.withColumn("line", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n")).drop("pieces"))
-    joined = rejoin(whole, key, col)
-    same = marked.where(~F.col("__long")).drop("__long")
-    changed = marked.where("__long").drop("__long", col).join(joined, key).select(*df.columns)
-    return same.select(*df.columns).unionByName(changed)
+    def line(m: re.Match) -> str:
+        content, sep = m.group(1) or "", m.group(2) or ""
+        if not content or len(content.encode("utf-8", "replace")) + len(sep) <= most or count(content) + len(sep) <= most:
+            return m.group()
+        return "\n".join(cut_line(content, max(1, len(sep)), most, count)) + sep
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or len(t) * 4 <= most else _SEGMENT.sub(line, t))
+
+    return df.withColumn(col, cut(cap_newline_runs(strip_leading_newlines(F.col(col)), run)))
 
 
 def rejoin(lines: DataFrame, key: str, col: str) -> DataFrame:
