@@ -1,13 +1,17 @@
 """Block layout: a document's lines as warm-up, parallel threads and tail, in one re-ordered row.
 
 A block is a line with its newline run, and a thread. Lengths, roles, schedules and step counts need a document's array
-of lengths alone and no shuffle; the token grain has a row for each position, numbered within its document.
+of lengths alone and no shuffle; the token grain has a row for each position, sorted within its document where that is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,30 +87,80 @@ def starts(middle: Column, cap: int | None) -> Column:
     return F.aggregate(F.concat(middle, F.array(F.lit(0))), none, step, lambda a: a["s"])
 
 
+#: Positions that a task lays out at once, besides those of one document.
+AT_ONCE = 200_000
+
+
+def _lay_out(batch: pa.RecordBatch, keys: tuple[str, ...], ids: Ids) -> pa.RecordBatch:
+    """The positions of some documents (keys, n_warm, n_middle, has_tail, starts, blocks), in row order."""
+    number = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_warm, n_middle, has_tail = number("n_warm"), number("n_middle"), number("has_tail")
+    blocks = batch.column("blocks")
+    n, of = lengths(blocks), blocks.flatten()
+    size, words = lengths(of), of.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts_, n_starts = batch.column("starts").flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths(batch.column("starts"))
+    # one row for each thread
+    doc = np.repeat(np.arange(len(n)), n)
+    thread = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    last, warm = thread == n[doc] - 1, thread < n_warm[doc]
+    tail = last & (has_tail[doc] > 0)
+    stage = np.where(warm, thread, n_warm[doc] + (tail & (n_middle[doc] > 0)))
+    begin = starts_[(np.cumsum(n_starts) - n_starts)[doc] + np.maximum(thread - n_warm[doc], 0)]
+    lead = 1 + tail.astype(np.int64)
+    # one for each position
+    long = size + lead
+    at = np.repeat(np.arange(len(doc)), long)
+    local = np.arange(len(at)) - np.repeat(np.cumsum(long) - long, long)
+    word = (np.cumsum(size) - size)[at] + local - lead[at]
+    token = np.where(local == 0, np.where(thread[at] == 0, ids.bos, ids.sot), ids.sot_tail)
+    inside = local >= lead[at]
+    token[inside] = words[word[inside]]
+    target = np.append(token[1:], 0)
+    ends = np.cumsum(long) - 1
+    target[ends] = np.where(last, ids.bos, ids.eot)
+    phase = np.where(warm[at], 0, np.where(tail[at] & (local > 0), 2, 1))
+    step = np.where(phase == 0, thread[at], np.where(phase == 2, local, begin[at] + local))
+    order = np.lexsort((np.where(phase == 0, local, thread[at]), step, phase, doc[at]))
+    whose = doc[at][order]
+    each = np.bincount(whose, minlength=len(n))
+    row_pos = np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each)
+    rope = thread[at] * ids.stride + local
+    carried = [batch.column(k).take(pa.array(whose)) for k in (*keys, "n_warm", "n_middle", "has_tail")]
+    found = [row_pos, *(x[order] for x in (phase, step, token, thread[at], local, stage[at], rope, target))]
+    return pa.RecordBatch.from_arrays([*carried, *(pa.array(x.astype(np.int32)) for x in found)], names=[*keys, "n_warm", "n_middle", "has_tail", *_PLACES])
+
+
+_PLACES = ("row_pos", "phase", "step", "token", "thread", "local_step", "stage", "rope", "target")
+
+
 def positions(df: DataFrame, *keys: str, ids: Ids = IDS, cap: int | None = None, blocks: str = "blocks") -> DataFrame:
     """Token grain of the rows of ``df``: (keys, n_warm, n_middle, has_tail, row_pos, phase, step, token, thread, local_step, stage, rope, target).
 
-    ``blocks`` is an array of token arrays with its roles assigned; the first of ``keys`` tells documents apart. Phase 0
-    is the warm-up in block order; phase 1 has the middle threads and the tail candidate, by step and thread; phase 2
-    is the tail. A target is the next token of the thread; a thread's last target is ``eot``, and ``bos`` for the last
-    line. Start steps are folded once a document; what is left is one explode and one numbering a document.
+    ``blocks`` is an array of token arrays with its roles assigned. Phase 0 is the warm-up in block order; phase 1 has
+    the middle threads and the tail candidate, by step and thread; phase 2 is the tail. A target is the next token of
+    the thread; a thread's last target is ``eot``, and ``bos`` for the last line. Start steps are folded once a document;
+    a document is sorted where it is, in Arrow batches of bounded size, so no token is shuffled. Rows of a null or empty
+    ``blocks`` have no position.
     """
     middle = F.transform(F.slice(F.col(blocks), F.col("n_warm") + 1, F.col("n_middle")), lambda b: F.size(b))
-    roles_ = ("n_warm", "n_middle", "has_tail")
-    threads = df.select(*keys, *roles_, F.size(blocks).alias("__n"), starts(middle, cap).alias("__starts"), F.posexplode(blocks).alias("thread", "__t"))
-    last = F.col("thread") == F.col("__n") - 1
-    tail, warm = F.col("has_tail") & last, F.col("thread") < F.col("n_warm")
-    lead = F.when(F.col("thread") == 0, F.array(F.lit(ids.bos))).when(tail, F.array(F.lit(ids.sot), F.lit(ids.sot_tail))).otherwise(F.array(F.lit(ids.sot)))
-    stage = F.when(warm, F.col("thread")).when(tail & (F.col("n_middle") > 0), F.col("n_warm") + 1).otherwise(F.col("n_warm"))
-    threads = threads.select(*keys, *roles_, "thread", tail.alias("__tail"), warm.alias("__warm"), stage.alias("stage"), F.get("__starts", F.greatest(F.col("thread") - F.col("n_warm"), F.lit(0))).alias("__start"),
-                             F.concat(lead, "__t").alias("__k"), F.when(last, ids.bos).otherwise(ids.eot).alias("__end"))
-    pairs = F.arrays_zip(F.col("__k"), F.concat(F.slice("__k", F.lit(2), F.size("__k")), F.array("__end")).alias("__g"))
-    each = threads.select(*keys, *roles_, "thread", "__tail", "__warm", "stage", "__start", F.posexplode(pairs).alias("local_step", "__p"))
-    phase = F.when(F.col("__warm"), 0).when(F.col("__tail") & (F.col("local_step") > 0), 2).otherwise(1)
-    each = each.withColumn("phase", phase).withColumn("step", F.when(phase == 0, F.col("thread")).when(phase == 2, F.col("local_step")).otherwise(F.col("__start") + F.col("local_step")))
-    order = Window.partitionBy(keys[0]).orderBy("phase", "step", F.when(F.col("phase") == 0, F.col("local_step")).otherwise(F.col("thread")))
-    return each.select(*keys, *roles_, (F.row_number().over(order) - 1).alias("row_pos"), "phase", "step", F.col("__p").getField("__k").alias("token"), "thread", "local_step", "stage",
-                       (F.col("thread") * ids.stride + F.col("local_step")).alias("rope"), F.col("__p").getField("__g").alias("target"))
+    docs = df.where(F.size(blocks) > 0).select(*keys, "n_warm", "n_middle", "has_tail", starts(middle, cap).alias("starts"), F.col(blocks).alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("blocks")
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(of.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 2)))
+            n = np.cumsum(pc.list_value_length(of).to_numpy(zero_copy_only=False))
+            count = np.diff(np.concatenate(([0], ends[n])))  # positions of each document at most
+            at = 0
+            while at < len(count):
+                end = max(at + 1, at + int(np.searchsorted(np.cumsum(count[at:]), AT_ONCE, side="right")))
+                yield _lay_out(batch.slice(at, end - at), keys, ids)
+                at = end
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in (*keys, "n_warm", "n_middle", "has_tail")] + [f"{k} int" for k in _PLACES])
+    return docs.mapInArrow(run, schema)
 
 
 def rows_as_arrays(pos: DataFrame, key: str = "doc_id") -> DataFrame:
