@@ -375,7 +375,7 @@ def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 10
 #: The stage's fingerprints: their number and bits, the radius that the masks cover, the bits in one of them up to which a
 #: bucket's rows are linked, and the share of bits in all of them up to which a link stands. Sets of Jaccard similarity 0.8
 #: differ in 0.15 of the bits, unlike ones in 0.5.
-FINGERPRINTS, STAGE_BITS, RADIUS, REACH, APART = 14, 48, 3, 8, 0.2
+FINGERPRINTS, STAGE_BITS, RADIUS, REACH, APART = 16, 48, 3, 8, 0.2
 
 
 def _signatures(width: int):
