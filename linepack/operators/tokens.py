@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,42 +26,74 @@ def word_counts(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _pairs(words: DataFrame) -> DataFrame:
-    both = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.struct(F.element_at("s", i).alias("l"), F.element_at("s", i + 1).alias("r")))
-    each = words.where(F.size("s") > 1).select("n", F.explode(both).alias("p"))
-    return each.groupBy("p.l", "p.r").agg(F.sum("n").alias("n"))
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of (n, s) rows, the rows' sizes, and whether a place and its next one are in one row."""
+    flat, sizes = batch.column(1).flatten().to_numpy().astype(np.int64), pc.list_value_length(batch.column(1)).to_numpy()
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    return flat, sizes, inside
 
 
-def _rewrite(col: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Apply merges that share no symbol in one fold, left to right."""
-    def step(acc: Column, x: Column) -> Column:
-        prev, out = F.try_element_at(acc, F.lit(-1)), F.concat(acc, F.array(x))
-        for a, b, new in merges:
-            out = F.when((prev == a) & (x == b), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(new)))).otherwise(out)
-        return out
+def _keys(flat: np.ndarray) -> np.ndarray:
+    return flat << 32 | np.append(flat[1:], 0)
 
-    return F.aggregate(col, F.array().cast("array<int>"), step)
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(l, r, n) of adjacent symbols, summed within a batch; rows hold two symbols or more."""
+    for batch in batches:
+        flat, sizes, inside = _flat(batch)
+        keys, at = np.unique(_keys(flat)[inside], return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.repeat(batch.column(0).to_numpy(), sizes)[inside])
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
+
+
+def _rewrite(merges: list[tuple[int, int, int]]):
+    """Apply merges left to right at once; no symbol begins one of them and ends another."""
+    table = sorted((a << 32 | b, new) for a, b, new in merges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, made = (np.array(x, np.int64) for x in zip(*table))  # noqa: B905
+        for batch in batches:
+            flat, sizes, inside = _flat(batch)
+            keys = _keys(flat)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hits = np.flatnonzero(inside & (known[at] == keys))
+            begins = np.append(True, np.diff(hits) != 1)[: len(hits)]  # hits overlap in runs of one symbol only: every second counts
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(hits)), 0))
+            hits = hits[(np.arange(len(hits)) - first) % 2 == 0]
+            flat[hits] = made[at[hits]]
+            stay = np.ones(len(flat), bool)
+            stay[hits + 1] = False
+            sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hits], minlength=len(sizes))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), flat[stay].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["n", "s"]).filter(pa.array(sizes > 1))
+
+    return run
 
 
 def train_bpe(words: DataFrame, n_merges: int, candidates: int = 64, cut_every: int = 10) -> list[tuple[int, int, int]]:
     """The merges (left, right, new id from 256 on) of the most frequent pairs, ties to the smaller pair, in order.
 
-    Works on the distinct words (word, n). A round takes the top pair and then the next ones in order while none shares
-    a symbol with those taken and each is more frequent than any pair the taken merges can create; the result equals
-    one merge at a time. The driver sees the top pairs and one maximum a symbol.
+    Works on the distinct words (word, n). A round takes the top pair and then the next ones in order while none begins
+    with a symbol that a taken one ends with, or the other way round (only such pairs lose places to it), and each is
+    more frequent than any pair the taken merges can create; the result equals one merge at a time. A run of one symbol
+    gives at most half as many new pairs as it had. The driver sees the top pairs and two maxima a symbol.
     """
     spark = words.sparkSession
-    state = words.select("n", F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.encode("word", "utf-8"), i, F.lit(1))), 16, 10).cast("int")).alias("s")).where(F.size("s") > 1).persist()
+    symbols = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.encode("word", "utf-8"), i, F.lit(1))), 16, 10).cast("int"))
+    state = words.where(F.octet_length("word") > 1).select(F.col("n").cast("bigint").alias("n"), symbols.alias("s")).persist()
     merges: list[tuple[int, int, int]] = []
     rounds, last = 0, None
     while len(merges) < n_merges:
-        pairs = _pairs(state).cache()
+        pairs = state.mapInArrow(_count, "l int, r int, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")).cache()
         # one job a round: the top pairs and, for each symbol, its most frequent pair on either side
         kinds = [F.lit(None).cast("int").alias("at"), F.lit("t").alias("kind")]
         found = pairs.orderBy(F.desc("n"), "l", "r").limit(candidates).select("l", "r", "n", *kinds)
         for side in ("l", "r"):
-            most = pairs.groupBy(F.col(side).alias("at")).agg(F.max("n").alias("n"))
+            most = pairs.where("l <> r").groupBy(F.col(side).alias("at")).agg(F.max("n").alias("n"))
             found = found.unionByName(most.select("at", "n", F.lit(side).alias("kind")), allowMissingColumns=True)
+        found = found.unionByName(pairs.where("l = r").select(F.col("l").alias("at"), "n", F.lit("own").alias("kind")), allowMissingColumns=True)
         rows = found.collect()
         pairs.unpersist()
         if last is not None:  # the state has been filled from it by now
@@ -67,21 +101,23 @@ def train_bpe(words: DataFrame, n_merges: int, candidates: int = 64, cut_every:
         top = sorted((r for r in rows if r["kind"] == "t"), key=lambda r: (-r["n"], r["l"], r["r"]))
         if not top:
             break
-        after, before = ({r["at"]: r["n"] for r in rows if r["kind"] == side} for side in ("l", "r"))
-        taken, used, bound = [], set(), 0
+        after, before, own = ({r["at"]: r["n"] for r in rows if r["kind"] == kind} for kind in ("l", "r", "own"))
+        taken, lefts, rights, bound = [], set(), set(), 0
         for r in top:
             a, b, n = r["l"], r["r"], r["n"]
-            if taken and (a == b or a in used or b in used or n <= bound):
+            if taken and (a in rights or b in lefts or n <= bound):
                 break
             taken.append((a, b, 256 + len(merges) + len(taken)))
-            used |= {a, b}
-            bound = max(bound, min(n, max(after.get(b, 0), before.get(a, 0))))
-            if a == b or len(merges) + len(taken) == n_merges:
+            lefts.add(a)
+            rights.add(b)
+            new = max(after.get(b, 0), before.get(a, 0), n // 2 if a == b else max(own.get(a, 0), own.get(b, 0)))
+            bound = max(bound, min(n, new))
+            if len(merges) + len(taken) == n_merges:
                 break
         merges += taken
         rounds += 1
-        last, state = state, state.select("n", _rewrite(F.col("s"), taken).alias("s")).where(F.size("s") > 1)
-        if rounds % cut_every == 0:
+        last, state = state, state.mapInArrow(_rewrite(taken), "n bigint, s array<int>")
+        if (rounds - 1) % cut_every == 0:
             if spark.sparkContext.getCheckpointDir() is None:
                 spark.sparkContext.setCheckpointDir(shared_path(spark, "bpe"))
             state = state.checkpoint()

@@ -11,8 +11,10 @@ from ..operators import tokens as C
 from ..schemas import SPECIALS
 from ._base import BLOCKS, documents, table, word_documents
 
-MERGES = 12
+MERGES = 256
 LEAST = 20
+#: Keys a packing shard spans: a hot source is many shards.
+SPAN = 1 << 14
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +103,17 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _n_words(spark, sf_dir).select("doc_id", "source", (F.col("n") + 1).alias("length"))
 
 
+def _shard(df: DataFrame) -> DataFrame:
+    """Add the packing shard: a source's documents in ranges of ``SPAN`` ids."""
+    return df.withColumn("shard", F.concat_ws("/", "source", F.floor(F.col("doc_id") / SPAN).cast("string")))
+
+
 def e01_pack_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.pack_crop(_lengths(spark, sf_dir), 512, "source")
+    return E.pack_crop(_shard(_lengths(spark, sf_dir)), 512, "shard")
 
 
 def e02_pack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.pack_whole(_lengths(spark, sf_dir), 512, "source")
+    return E.pack_whole(_shard(_lengths(spark, sf_dir)), 512, "shard")
 
 
 def e03_rebase_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,19 +137,19 @@ def e05_drop_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e06_pack_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.size(F.split("text", " ")) + 2).cast("int").alias("length"))
-    return E.pack_whole(t.withColumn("shard", F.col("conv_id") % 8), 1024, "shard", "conv_id", order="conv_id", buffer=200)
+    return E.pack_whole(t.withColumn("shard", F.floor(F.col("conv_id") / SPAN)), 1024, "shard", "conv_id", order="conv_id", buffer=200)
 
 
 def e07_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _lengths(spark, sf_dir)
-    return E.packing_stats(E.pack_crop(docs, 512, "source"), docs, 513, "doc_id", "length", "source")
+    docs = _shard(_lengths(spark, sf_dir))
+    return E.packing_stats(E.pack_crop(docs, 512, "shard"), docs, 513, "doc_id", "length", "shard")
 
 
 def e08_pack_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = word_documents(spark, sf_dir)
     n = docs.select("doc_id", "source", F.aggregate("lens", F.lit(1), lambda a, x: a + x).alias("length"))
-    packed = E.attach(E.pack_whole(n, 512, "source"), docs.select("doc_id", "n_warm", "n_middle", "has_tail"), "doc_id")
-    return packed.groupBy("source", "row").agg(F.sum("used").alias("tokens"), F.sum("n_warm").alias("warm"), F.sum("n_middle").alias("middle"), F.count_if("has_tail").alias("tails"))
+    packed = E.attach(E.pack_whole(_shard(n), 512, "shard"), docs.select("doc_id", "n_warm", "n_middle", "has_tail"), "doc_id")
+    return packed.groupBy("shard", "row").agg(F.sum("used").alias("tokens"), F.sum("n_warm").alias("warm"), F.sum("n_middle").alias("middle"), F.count_if("has_tail").alias("tails"))
 
 
 QUERIES = {f.__name__: f for f in (
