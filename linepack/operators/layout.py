@@ -91,10 +91,19 @@ def starts(middle: Column, cap: int | None) -> Column:
 AT_ONCE = 200_000
 
 
-def _lay_out(batch: pa.RecordBatch, keys: tuple[str, ...], ids: Ids) -> pa.RecordBatch:
-    """The positions of some documents (keys, n_warm, n_middle, has_tail, starts, blocks), in row order."""
+def _bucket(depth: np.ndarray) -> np.ndarray:
+    """``depth_bucket`` of an array."""
+    return np.searchsorted([1, 2, 3, 5, 9, 17], depth, side="right") - 1
+
+
+def _lay_out(batch: pa.RecordBatch, payloads: tuple[str, ...], more: tuple[str, ...], ids: Ids) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+    """The positions of some documents (n_warm, n_middle, has_tail, starts, blocks, payloads), in row order.
+
+    Gives each position's document, the positions of each document, and the columns by name.
+    """
     number = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = lambda n: np.cumsum(n) - n
     n_warm, n_middle, has_tail = number("n_warm"), number("n_middle"), number("has_tail")
     blocks = batch.column("blocks")
     n, of = lengths(blocks), blocks.flatten()
@@ -102,17 +111,17 @@ def _lay_out(batch: pa.RecordBatch, keys: tuple[str, ...], ids: Ids) -> pa.Recor
     starts_, n_starts = batch.column("starts").flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths(batch.column("starts"))
     # one row for each thread
     doc = np.repeat(np.arange(len(n)), n)
-    thread = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    thread = np.arange(len(doc)) - np.repeat(before(n), n)
     last, warm = thread == n[doc] - 1, thread < n_warm[doc]
     tail = last & (has_tail[doc] > 0)
     stage = np.where(warm, thread, n_warm[doc] + (tail & (n_middle[doc] > 0)))
-    begin = starts_[(np.cumsum(n_starts) - n_starts)[doc] + np.maximum(thread - n_warm[doc], 0)]
+    begin = starts_[before(n_starts)[doc] + np.maximum(thread - n_warm[doc], 0)]
     lead = 1 + tail.astype(np.int64)
-    # one for each position
+    # one for each position, in source order
     long = size + lead
     at = np.repeat(np.arange(len(doc)), long)
-    local = np.arange(len(at)) - np.repeat(np.cumsum(long) - long, long)
-    word = (np.cumsum(size) - size)[at] + local - lead[at]
+    local = np.arange(len(at)) - np.repeat(before(long), long)
+    word = before(size)[at] + local - lead[at]
     token = np.where(local == 0, np.where(thread[at] == 0, ids.bos, ids.sot), ids.sot_tail)
     inside = local >= lead[at]
     token[inside] = words[word[inside]]
@@ -124,27 +133,72 @@ def _lay_out(batch: pa.RecordBatch, keys: tuple[str, ...], ids: Ids) -> pa.Recor
     order = np.lexsort((np.where(phase == 0, local, thread[at]), step, phase, doc[at]))
     whose = doc[at][order]
     each = np.bincount(whose, minlength=len(n))
-    row_pos = np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each)
-    rope = thread[at] * ids.stride + local
-    carried = [batch.column(k).take(pa.array(whose)) for k in (*keys, "n_warm", "n_middle", "has_tail")]
-    found = [row_pos, *(x[order] for x in (phase, step, token, thread[at], local, stage[at], rope, target))]
-    return pa.RecordBatch.from_arrays([*carried, *(pa.array(x.astype(np.int32)) for x in found)], names=[*keys, "n_warm", "n_middle", "has_tail", *_PLACES])
+    row_pos = np.arange(len(order)) - np.repeat(before(each), each)
+    own = {"row_pos": row_pos, "phase": phase[order], "step": step[order], "token": token[order], "thread": thread[at][order], "local_step": local[order],
+           "stage": stage[at][order], "rope": (thread[at] * ids.stride + local)[order], "target": target[order]}
+    out = {k: pa.array(x.astype(np.int32)) for k, x in own.items()}
+    for name in payloads:  # a token's own value; anchors have none
+        values = batch.column(name).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        full = np.zeros(len(at), np.int32)
+        full[inside] = values[word[inside]]
+        out[name] = pa.array(full[order], mask=~inside[order])
+    if not more:
+        return whose, each, out
+    place = np.empty(len(order), np.int64)
+    place[order] = row_pos
+    end = np.zeros(len(at), bool)
+    end[ends] = True
+    ahead = lambda x: np.append(x[1:], x[:1])
+    content = ~end & ahead(inside)  # the next of the thread is a token of the text
+    found: dict[str, np.ndarray] = {}
+    if "next_pos" in more:
+        out["next_pos"] = pa.array(ahead(place)[order].astype(np.int32), mask=end[order])
+    if "source_index" in more or "target_row" in more:
+        index = np.cumsum(inside) - 1 - np.repeat(before(np.bincount(doc, weights=size, minlength=len(n)).astype(np.int64)), each)
+        found["source_index"] = np.where(content, ahead(index), -1)[order]
+        found["target_row"] = np.where(content, ahead(place), -1)[order]
+    if {*LABELS} & {*more}:
+        role = np.where(warm, 0, np.where(thread < (n_warm + n_middle)[doc], 1, 2))[at]
+        anchor = np.isin(target, (ids.bos, ids.sot, ids.eot, ids.sot_tail))
+        found["line_role"], found["is_anchor_target"] = role[order], anchor[order]
+        found["depth_in_line"] = np.where(end, -1, _bucket(local + 1))[order]
+        found["line_start"] = (~end & ~anchor & (local + 1 == np.where(role == 2, 2, 1)))[order]
+        width = np.ones(len(at), np.int64)
+        wave = np.flatnonzero(role == 1)
+        _, which, count = np.unique(doc[at][wave] << 32 | step[wave], return_inverse=True, return_counts=True)
+        width[wave] = count[which]
+        found["wave_width"] = width[order]
+    first = np.zeros(len(order), bool)
+    first[before(each)[each > 0]] = True
+    if "gen_step" in more:
+        sub = np.where(own["phase"] == 1, 0, own["local_step"])
+        opens = first.copy()
+        opens[1:] |= (np.diff(own["phase"]) != 0) | (np.diff(own["step"]) != 0) | (np.diff(sub) != 0)
+        group = np.cumsum(opens)
+        third = group[np.minimum(before(each) + 2, len(order) - 1)][whose]
+        found["gen_step"] = np.where(row_pos < 2, 0, group - third + 1)
+    if "segment" in more:
+        cut = first.copy()
+        cut[1:] |= (np.diff(own["thread"]) != 0) | (np.diff(own["stage"]) != 0) | (np.diff(own["local_step"]) != 1) | (np.diff(own["rope"]) != 1)
+        run = np.cumsum(cut)
+        found["segment"] = run - run[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return whose, each, out | {k: pa.array(x.astype(np.int32)) for k, x in found.items() if k in more}
 
 
 _PLACES = ("row_pos", "phase", "step", "token", "thread", "local_step", "stage", "rope", "target")
+#: Slice labels of a position: see ``slice_labels``.
+LABELS = ("line_role", "depth_in_line", "line_start", "is_anchor_target", "wave_width")
+#: What the layout can tell of a position besides its place.
+MORE = ("next_pos", "source_index", "target_row", *LABELS, "gen_step", "segment")
 
 
-def positions(df: DataFrame, *keys: str, ids: Ids = IDS, cap: int | None = None, blocks: str = "blocks") -> DataFrame:
-    """Token grain of the rows of ``df``: (keys, n_warm, n_middle, has_tail, row_pos, phase, step, token, thread, local_step, stage, rope, target).
-
-    ``blocks`` is an array of token arrays with its roles assigned. Phase 0 is the warm-up in block order; phase 1 has
-    the middle threads and the tail candidate, by step and thread; phase 2 is the tail. A target is the next token of
-    the thread; a thread's last target is ``eot``, and ``bos`` for the last line. Start steps are folded once a document;
-    a document is sorted where it is, in Arrow batches of bounded size, so no token is shuffled. Rows of a null or empty
-    ``blocks`` have no position.
-    """
+def _laid_out(df: DataFrame, keys: tuple[str, ...], ids: Ids, cap: int | None, blocks: str, payloads: tuple[str, ...], more: tuple[str, ...], arrays: bool) -> DataFrame:
+    if unknown := {*more} - {*MORE}:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
     middle = F.transform(F.slice(F.col(blocks), F.col("n_warm") + 1, F.col("n_middle")), lambda b: F.size(b))
-    docs = df.where(F.size(blocks) > 0).select(*keys, "n_warm", "n_middle", "has_tail", starts(middle, cap).alias("starts"), F.col(blocks).alias("blocks"))
+    kept = (*keys, "n_warm", "n_middle", "has_tail")
+    docs = df.where(F.size(blocks) > 0).select(*kept, starts(middle, cap).alias("starts"), F.col(blocks).alias("blocks"), *payloads)
+    names = [*_PLACES, *payloads, *(k for k in MORE if k in more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,18 +209,41 @@ def positions(df: DataFrame, *keys: str, ids: Ids = IDS, cap: int | None = None,
             at = 0
             while at < len(count):
                 end = max(at + 1, at + int(np.searchsorted(np.cumsum(count[at:]), AT_ONCE, side="right")))
-                yield _lay_out(batch.slice(at, end - at), keys, ids)
+                some = batch.slice(at, end - at)
+                whose, each, cols = _lay_out(some, payloads, more, ids)
+                if arrays:
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
+                    made = [*(some.column(k) for k in kept), *(pa.ListArray.from_arrays(offsets, cols[k]) for k in names)]
+                else:
+                    of_doc = pa.array(whose)
+                    made = [*(some.column(k).take(of_doc) for k in kept), *(cols[k] for k in names)]
+                yield pa.RecordBatch.from_arrays(made, names=[*kept, *names])
                 at = end
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in (*keys, "n_warm", "n_middle", "has_tail")] + [f"{k} int" for k in _PLACES])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in kept] + [f"{k} {'array<int>' if arrays else 'int'}" for k in names])
     return docs.mapInArrow(run, schema)
 
 
-def rows_as_arrays(pos: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Array grain: (key, row), a document's positions in order as structs of token, target, rope and thread."""
-    each = F.struct("row_pos", "token", "target", "rope", "thread")
-    return pos.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("row"))
+def positions(df: DataFrame, *keys: str, ids: Ids = IDS, cap: int | None = None, blocks: str = "blocks", payloads: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """Token grain of the rows of ``df``: (keys, n_warm, n_middle, has_tail, row_pos, phase, step, token, thread, local_step, stage, rope, target).
+
+    ``blocks`` is an array of token arrays with its roles assigned. Phase 0 is the warm-up in block order; phase 1 has
+    the middle threads and the tail candidate, by step and thread; phase 2 is the tail. A target is the next token of
+    the thread; a thread's last target is ``eot``, and ``bos`` for the last line. Start steps are folded once a document;
+    a document is sorted where it is, in Arrow batches of bounded size, so no token is shuffled. Rows of a null or empty
+    ``blocks`` have no position.
+
+    ``payloads`` are columns of the shape of ``blocks``: each value goes with its token, and anchors have none (null).
+    ``more`` asks for columns of ``MORE``, which hold what ``next_in_thread``, ``position_labels``, ``slice_labels``,
+    ``generation_steps`` and ``row_segments`` say of stored positions; here they cost no window.
+    """
+    return _laid_out(df, keys, ids, cap, blocks, payloads, more, False)
+
+
+def rows(df: DataFrame, *keys: str, ids: Ids = IDS, cap: int | None = None, blocks: str = "blocks", payloads: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """Array grain of ``positions``: a row for each document, each of its columns as an array in row order."""
+    return _laid_out(df, keys, ids, cap, blocks, payloads, more, True)
 
 
 def next_in_thread(pos: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -42,8 +42,8 @@ def word_documents(spark: SparkSession, sf_dir: str, warm: int = WARM, ids: bool
     return layout.assign_roles(out, warm)
 
 
-def token_positions(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
-    return layout.positions(word_documents(spark, sf_dir, ids=True), "doc_id", cap=cap)
+def token_positions(spark: SparkSession, sf_dir: str, cap: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    return layout.positions(word_documents(spark, sf_dir, ids=True), "doc_id", cap=cap, more=more)
 
 
 def tid(word: str) -> str:

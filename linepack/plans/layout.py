@@ -54,8 +54,8 @@ def d05_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d05_row_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.rows_as_arrays(token_positions(spark, sf_dir))
-    return rows.select("doc_id", F.size("row").alias("n"), F.md5(F.array_join(F.transform("row", lambda x: x["token"].cast("string")), ",").cast("binary")).alias("tokens"))
+    rows = L.rows(word_documents(spark, sf_dir, ids=True), "doc_id")
+    return rows.select("doc_id", F.size("token").alias("n"), F.md5(F.array_join(F.col("token").cast("array<string>"), ",").cast("binary")).alias("tokens"))
 
 
 def d05_row_order_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def d07_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d08_next_in_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.next_in_thread(token_positions(spark, sf_dir))
+    p = token_positions(spark, sf_dir, more=("next_pos",))
     return p.groupBy("doc_id").agg(_big("sum(next_pos - row_pos)", "jump"), _big("count(next_pos)", "linked"), F.max(F.col("next_pos") - F.col("row_pos")).alias("furthest"))
 
 
@@ -105,7 +105,7 @@ def d14_token_yield_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d15_generation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.generation_steps(token_positions(spark, sf_dir))
+    p = token_positions(spark, sf_dir, more=("gen_step",))
     return p.groupBy("doc_id").agg(F.max("gen_step").alias("steps"), _big("sum(gen_step)", "total"))
 
 
@@ -117,7 +117,9 @@ def d16_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d17_row_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.row_segments(token_positions(spark, sf_dir)).drop("segment")
+    p = token_positions(spark, sf_dir, more=("segment",))
+    ends = [F.min("thread").alias("thread"), F.min("stage").alias("stage"), F.min("row_pos").alias("first_pos"), F.max("row_pos").alias("last_pos"), F.min("local_step").alias("first_step"), F.max("local_step").alias("last_step")]
+    return p.groupBy("doc_id", "segment").agg(*ends).drop("segment")
 
 
 def d18_logical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +134,12 @@ def d19_row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d20_slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.slice_labels(token_positions(spark, sf_dir))
+    p = token_positions(spark, sf_dir, more=L.LABELS)
     return p.groupBy("doc_id", "line_role", "depth_in_line", "line_start", "is_anchor_target").agg(_big("count(*)", "n"), _big("sum(wave_width)", "width"))
 
 
 def d21_position_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.position_labels(token_positions(spark, sf_dir))
+    p = token_positions(spark, sf_dir, more=("source_index", "target_row"))
     return p.groupBy("doc_id").agg(_big("sum(source_index * (row_pos % 97 + 1))", "a"), _big("sum(target_row * (row_pos % 89 + 1))", "b"), _big("count_if(source_index >= 0)", "n"))
 
 
