@@ -1,7 +1,8 @@
-"""Packing of documents into rows of fixed length, in the order of each shard.
+"""Packing of documents into rows of fixed length, in the order of each shard, and assembly of the rows.
 
 Packing is greedy and follows the order of its input, so it runs shard by shard, shards in parallel. Lengths alone
-decide, so (key, length) is packed and payloads are joined later. A task holds one buffer of documents.
+decide, so (key, length) is packed and payloads are joined later. A task holds one buffer of documents. Payloads meet
+their places in one join, are dealt out by row and written into rows of arrays batch by batch; no row is collected.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,7 @@ class _Shard:
 
 
 def _pack(df: DataFrame, capacity: int, shard: str, key: str, length: str, order: str, buffer: int, crop: bool) -> DataFrame:
+    """Places of documents of some length; shards and orders are not null, keys of a shard have distinct orders."""
     names = [shard, "row", "part", key, "offset", "used", "lost"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,17 +119,6 @@ def drop_overflow(rows: DataFrame, row: str, max_pos: str, limit: int, batch: in
     return numbered.join(bad, "batch", "left_anti")
 
 
-def pad_row(tokens: Column, length: int, fill: int) -> Column:
-    return F.concat(tokens, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(tokens))))
-
-
-def pad_positions(pos: Column, length: int, start: Column) -> Column:
-    """Positions continued from ``start`` through the pad of a chat row."""
-    missing = length - F.size(pos)
-    more = F.when(missing > 0, F.transform(F.sequence(F.lit(0), F.greatest(missing - 1, F.lit(0))), lambda k: (start + k).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(pos, more)
-
-
 def packing_stats(packed: DataFrame, docs: DataFrame, capacity: int, key: str, length: str, *groups: str) -> DataFrame:
     """(groups, rows, kept, cropped, padded, utilization, dropped documents)."""
     per = packed.groupBy(*groups, "row").agg(F.sum("used").alias("kept"), F.sum("lost").alias("cropped"))
@@ -135,6 +128,62 @@ def packing_stats(packed: DataFrame, docs: DataFrame, capacity: int, key: str, l
     return out.withColumn("dropped", F.coalesce("dropped", F.lit(0)))
 
 
-def attach(packed: DataFrame, payload: DataFrame, key: str) -> DataFrame:
-    """Payload columns (tokens, targets, labels) joined to their place in a row."""
-    return packed.join(payload, key)
+def _fill(t: pa.Table, shard: str, capacity: int, fills: dict[str, int], rope: str | None, stride: int, count_on: bool) -> pa.RecordBatch:
+    """Whole rows from their documents (shard, row, offset, arrays), ordered by row and offset."""
+    group, row, offset = (t[c].combine_chunks() for c in (shard, "row", "offset"))
+    at, place = row.to_numpy().astype(np.int64), offset.to_numpy().astype(np.int64)
+    first = np.flatnonzero(place == 0)  # rows begin at 0
+    of = np.cumsum(place == 0) - 1
+    lists = {name: t[name].combine_chunks() for name in fills}
+    size = next(iter(lists.values())).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    to = of[doc] * capacity + place[doc] + inner
+    used = np.bincount(of, weights=size, minlength=len(first)).astype(np.int64)
+    cols = [group.take(pa.array(first)), pa.array(at[first].astype(np.int32)), pa.array(np.bincount(of, minlength=len(first)).astype(np.int32)), pa.array(used.astype(np.int32))]
+    for name, fill in fills.items():
+        values = lists[name].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        full = np.full(len(first) * capacity, fill, np.int64)
+        if name == rope:  # each document starts at the next multiple of the stride
+            step = (np.maximum.reduceat(values, np.cumsum(size) - size) // stride + 1) * stride
+            base = np.cumsum(step) - step
+            values = values + (base - base[first][of])[doc]
+            if count_on:
+                ends = np.bincount(of, weights=step, minlength=len(first)).astype(np.int64)
+                grid = np.arange(capacity)[None, :] - used[:, None] + ends[:, None]
+                full = np.where(np.arange(capacity)[None, :] >= used[:, None], grid, 0).ravel()
+        full[to] = values
+        cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * capacity), pa.array(full.astype(np.int32))))
+    return pa.RecordBatch.from_arrays(cols, names=[shard, "row", "docs", "used", *fills])
+
+
+def assemble_rows(packed: DataFrame, payload: DataFrame, capacity: int, shard: str, key: str, fills: dict[str, int], rope: str | None = "rope", stride: int = 256, count_on: bool = False) -> DataFrame:
+    """(shard, row, docs, used, ``fills``...): rows of ``capacity`` from the places of ``pack_whole`` and the documents' arrays.
+
+    ``payload`` has a row for each ``key`` with the array columns that ``fills`` names, all as long as the document; the
+    rest of a row holds the column's fill. Positions in ``rope`` are re-based: a document starts at the next multiple of
+    ``stride`` after the one before it, and with ``count_on`` the rest of the row counts on from there. Any column of
+    labels goes along in the same way. Documents of a row meet in one partition in the order of their offsets; a task
+    holds one row besides an Arrow batch. Nothing packed gives no rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    placed = packed.select(shard, "row", "offset", key).join(payload.select(key, *fills), key).select(shard, "row", "offset", *fills)
+    placed = placed.repartition(shard, "row").sortWithinPartitions(shard, "row", "offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not t.num_rows:
+                continue
+            t = t if held is None else pa.concat_tables([held, t])
+            begins = np.flatnonzero(t["offset"].to_numpy() == 0)
+            last = int(begins[-1])  # the last row may go on in the next batch
+            if last:
+                yield _fill(t.slice(0, last), shard, capacity, fills, rope, stride, count_on)
+            held = t.slice(last)
+        if held is not None:
+            yield _fill(held, shard, capacity, fills, rope, stride, count_on)
+
+    schema = f"{shard} {kinds[shard]}, row int, docs int, used int, " + ", ".join(f"{name} array<int>" for name in fills)
+    return placed.mapInArrow(run, schema)

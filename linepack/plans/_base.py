@@ -57,13 +57,13 @@ BLOCKS = DOCS + """,
  blk as (select *, string_split(line, ' ') as words, len(string_split(line, ' ')) as len from lines)"""
 
 
-def roles(warm: int = WARM) -> str:
-    return BLOCKS + f""",
+def roles(warm: int = WARM, blocks: str = BLOCKS, carried: str = "") -> str:
+    return blocks + f""",
  cum as (select *, sum(len) over (partition by doc_id order by b) - len as before from blk),
  doc as (select doc_id, any_value(lang) as lang, any_value(source) as source, cast(max(nb) as integer) as n_blocks, max(nb) >= 2 as has_tail, cast(sum(len) as integer) as content,
    cast(count(*) filter (where (nb = 1 or b < nb - 1) and before <= {warm}) as integer) as n_warm,
    cast(max(nb) - count(*) filter (where (nb = 1 or b < nb - 1) and before <= {warm}) - cast(max(nb) >= 2 as integer) as integer) as n_middle from cum group by doc_id),
- thr as (select c.doc_id, d.lang, d.n_blocks, d.has_tail, d.n_warm, d.n_middle, cast(c.b as integer) as thread, c.words, c.len, d.has_tail and c.b = d.n_blocks - 1 as is_tail from cum c join doc d using (doc_id))"""
+ thr as (select c.doc_id, d.lang, d.n_blocks, d.has_tail, d.n_warm, d.n_middle, cast(c.b as integer) as thread, c.words, c.len{carried}, d.has_tail and c.b = d.n_blocks - 1 as is_tail from cum c join doc d using (doc_id))"""
 
 
 def capped(cap: int) -> str:
@@ -78,17 +78,40 @@ def capped(cap: int) -> str:
    from (select *, greatest(s + 1, coalesce(f[{cap}] + 1, 0)) as nxt from sched where t < n_middle))"""
 
 
-def positions_sql(warm: int = WARM, cap: int | None = None) -> str:
-    """CTE ``pos``: the token grain, with special ids 1 bos, 2 sot, 3 eot, 5 sot_tail and stride 256."""
+def positions_sql(warm: int = WARM, cap: int | None = None, blocks: str = BLOCKS, ids: tuple[int, int, int, int] = (1, 2, 3, 5), token: str | None = None, carried: str = "", shown: str = "") -> str:
+    """CTE ``pos``: the token grain, with the ids of bos, sot, eot, sot_tail and stride 256.
+
+    ``blocks`` defines ``blk`` (doc_id, lang, source, b, nb, words, len); ``token`` is the id of word ``k`` of ``words``, by
+    default that of the word as a string with the newline of its block. Columns of ``blk`` that are ``carried`` along can be
+    ``shown`` by expressions over ``k``, which is null at anchors.
+    """
+    bos, sot, eot, sot_tail = ids
+    token = token or tid("words[k] || case when k = len and thread < n_blocks - 1 then chr(10) else '' end")
     begin = "thread - n_warm" if cap is None else "(select any_value(s) from sched where sched.doc_id = p1.doc_id and t = p1.thread - p1.n_warm)"
-    return roles(warm) + (capped(cap) if cap else "") + f""",
- p0 as (select *, unnest(range(0, len + 1 + cast(is_tail as integer))) as j from thr),
+    return roles(warm, blocks, carried) + (capped(cap) if cap else "") + f""",
+ p0 as (select *, case when j > cast(is_tail as integer) then j - cast(is_tail as integer) end as k from (select *, unnest(range(0, len + 1 + cast(is_tail as integer))) as j from thr)),
  p1 as (select doc_id, n_blocks, has_tail, n_warm, n_middle, thread, is_tail, cast(j as integer) as local_step,
-   case when j = 0 then (case when thread = 0 then 1 else 2 end) when is_tail and j = 1 then 5
-     else {tid("words[j - cast(is_tail as integer)] || case when j - cast(is_tail as integer) = len and thread < n_blocks - 1 then chr(10) else '' end")} end as token,
+   case when j = 0 then (case when thread = 0 then {bos} else {sot} end) when is_tail and j = 1 then {sot_tail} else {token} end as token{shown},
    case when thread < n_warm then 0 when is_tail and j > 0 then 2 else 1 end as phase from p0),
  p2 as (select *, cast(case phase when 0 then thread when 2 then local_step else {begin} + local_step end as integer) as step,
    case when thread < n_warm then thread when is_tail and n_middle > 0 then n_warm + 1 else n_warm end as stage, thread * 256 + local_step as rope,
-   coalesce(lead(token) over (partition by doc_id, thread order by local_step), case when thread = n_blocks - 1 then 1 else 3 end) as target,
+   coalesce(lead(token) over (partition by doc_id, thread order by local_step), case when thread = n_blocks - 1 then {bos} else {eot} end) as target,
    lead(local_step) over (partition by doc_id, thread order by local_step) as next_step from p1),
  pos as (select *, cast(row_number() over (partition by doc_id order by phase, step, case phase when 0 then local_step else thread end) - 1 as integer) as row_pos from p2)"""
+
+
+def packer_sql(capacity: int, buffer: int, crop: bool = False) -> str:
+    """CTE ``packed`` (shard, row, id, off, used, lost): best fit of ``item`` (shard, ord, id, n), one pick after the other.
+
+    Needs ``with recursive``. The buffer is the first ``buffer`` items of a shard that have no place yet. Where none of them
+    fits the row ends, or with ``crop`` the shortest one is cropped to fill it.
+    """
+    shortest = f"list_sort([struct_pack(n := -x.n, o := -x.ord, id := x.id) for x in rem[1:{buffer}]], 'DESC')[1]"
+    pick = f"case when f is null then struct_pack(n := -s.n, o := s.o, id := s.id) else f end from (select *, {shortest} as s from fit)" if crop else "f from fit"
+    return f""",
+ pk as (select shard, list(struct_pack(n := n, ord := ord, id := id) order by ord) as rem, 0 as row, {capacity} as room, cast(null as bigint) as id, 0 as was, 0 as off, 0 as used, 0 as lost from item where n > 0 {"" if crop else f"and n <= {capacity}"} group by shard
+   union all select * from (with fit as (select *, list_sort([struct_pack(n := x.n, o := -x.ord, id := x.id) for x in rem[1:{buffer}] if x.n <= room], 'DESC')[1] as f from pk where len(rem) > 0),
+     best as (select shard, rem, row, room, {pick.replace("from", "as b from", 1)})
+     select shard, case when b is null then rem else list_filter(rem, lambda x: x.ord <> -b.o) end, case when b is null or least(b.n, room) = room then row + 1 else row end,
+     case when b is null or least(b.n, room) = room then {capacity} else room - b.n end, case when b is null then null else b.id end, row, {capacity} - room, least(b.n, room), b.n - least(b.n, room) from best)),
+ packed as (select shard, dense_rank() over (partition by shard order by was) - 1 as row, id, off, used, lost from pk where id is not null)"""

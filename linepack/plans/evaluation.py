@@ -14,7 +14,8 @@ from ..operators import layout as L
 from ..operators import logs as O
 from ..operators import metrics as G
 from ..operators import prompts as P
-from ._base import table, token_positions
+from ._base import positions_sql, table, tid, token_positions
+from .chat import CHAT_BLOCKS, CHAT_IDS, MARKS, NEWLINE, chat_documents
 from .layout import _BUCKET, _POS, _STREAM, _stream
 
 IDS = {k: i for i, k in enumerate(H.MARKS)}
@@ -45,8 +46,31 @@ def f03_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.validate(H.merge_system(_turns(spark, sf_dir)))
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a variant content: replies as parts by line, here and there of a type or kind that no renderer knows."""
+    kinds = F.array(*[F.lit(x) for x in ("text", "python", "python_output", "image")])
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.get(kinds, F.when(F.col("conv_id") % 7 == 0, i % 4).otherwise(i % 3)).alias("type"), x.alias("text")))
+    count = F.to_variant_object(F.struct(F.length("text").alias("chars")))
+    t = H.merge_system(_turns(spark, sf_dir))
+    said = F.when(F.col("role") == "assistant", F.to_variant_object(lines)).otherwise(F.col("text").cast("variant"))
+    return H.read_content(t.select("conv_id", "turn", "role", F.when((F.col("conv_id") + F.col("turn")) % 23 == 5, count).otherwise(said).alias("content")))
+
+
+def f03_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = H.quarantine(_contents(spark, sf_dir))[1]
+    return bad.select("conv_id", "turn", "role", "kind", F.coalesce(F.size("parts"), F.lit(-1)).alias("parts"), "reason")
+
+
+def f03_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that are left, rendered."""
+    good = H.quarantine(_contents(spark, sf_dir))[0]
+    m = good.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "parts"))).alias("messages"))
+    r = m.select("conv_id", H.render(F.col("messages"), _ids, IDS, None, parts=True).alias("r"))
+    return r.select("conv_id", F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda a, x: a + x["mask"]).alias("supervised"))
+
+
 def _rendered(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
-    m = H.assemble(H.merge_system(_turns(spark, sf_dir)))
+    m = H.assemble(H.quarantine(H.merge_system(_turns(spark, sf_dir)))[0])
     return m.select("conv_id", "messages", H.render(F.col("messages"), _ids, IDS, most).alias("r"))
 
 
@@ -58,7 +82,7 @@ def f04_render_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An assistant turn's lines as parts: text, code, output, in turn."""
     kinds = F.array(*[F.lit(x) for x in ("text", "python", "python_output")])
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.get(kinds, i % 3).alias("type"), x.alias("text")))
-    t = H.merge_system(_turns(spark, sf_dir)).withColumn("parts", F.when(F.col("role") == "assistant", lines))
+    t = H.quarantine(H.merge_system(_turns(spark, sf_dir)))[0].withColumn("parts", F.when(F.col("role") == "assistant", lines))
     m = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "parts"))).alias("messages"))
     r = m.select("conv_id", H.render(F.col("messages"), _ids, IDS, None, parts=True).alias("r"))
     return r.select("conv_id", F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda a, x: a + x["mask"]).alias("supervised"))
@@ -81,35 +105,34 @@ def f07_unpaired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f08_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reply's blocks as ``id:mask`` pairs."""
     t = _turns(spark, sf_dir).where("role = 'assistant'")
-    return t.select("conv_id", "turn", F.array_join(F.transform(H.chat_blocks(F.col("text"), _words), lambda b: F.size(b)), ",").alias("sizes"))
+    blocks = t.select("conv_id", "turn", F.posexplode(H.chat_blocks(F.col("text"), _ids, MARKS, NEWLINE)).alias("block", "b"))
+    return blocks.select("conv_id", "turn", "block", F.array_join(F.transform("b", lambda x: F.concat_ws(":", x["id"], x["mask"])), " ").alias("tokens"))
 
 
 def f09_turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn document's blocks: the prompt as the first warm-up block, reply lines, the last one as tail."""
-    pairs = H.turn_lengths(H.turn_pairs(H.merge_system(_turns(spark, sf_dir))), _words)
-    d = L.assign_roles(pairs, 16).select("conv_id", "pair", "n_blocks", "n_warm", F.posexplode("lens").alias("block", "tokens"))
+    d = chat_documents(spark, sf_dir).select("conv_id", "pair", "n_blocks", "n_warm", F.posexplode(F.arrays_zip("blocks", "mask")).alias("block", "x"))
     role = F.when(F.col("block") < F.col("n_warm"), "warmup").when(F.col("block") == F.col("n_blocks") - 1, "tail").otherwise("middle")
-    return d.select("conv_id", "pair", "block", "tokens", role.alias("role"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return d.select("conv_id", "pair", "block", F.size("x.blocks").alias("tokens"), role.alias("role"), text("x.blocks").alias("ids"), text("x.mask").alias("mask"))
 
 
 def f10_turn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = H.turn_lengths(H.turn_pairs(H.merge_system(_turns(spark, sf_dir))), _words)
-    return L.assign_roles(pairs, 16).select("conv_id", "pair", "n_blocks", "n_warm", "n_middle", "has_tail", L.row_length().alias("positions"))
+    return chat_documents(spark, sf_dir).select("conv_id", "pair", "n_blocks", "n_warm", "n_middle", "has_tail", L.row_length().alias("positions"))
 
 
-def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pos = token_positions(spark, sf_dir)
-    return pos, pos.where("local_step > 0").select("doc_id", "thread", "local_step", (F.col("thread") > 0).cast("int").alias("mask"))
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.positions(chat_documents(spark, sf_dir), "conv_id", "pair", ids=CHAT_IDS, payloads=("mask",))
 
 
 def f11_mask_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = H.mask_targets(*_masked(spark, sf_dir), "doc_id", 5)
-    return p.groupBy("doc_id").agg(F.count_if(F.col("target") == -1).alias("masked"), F.count("*").alias("n"))
+    return H.mask_targets(_masked(spark, sf_dir)).select("conv_id", "pair", "row_pos", "token", "target")
 
 
 def f12_forced_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.forced_flags(*_masked(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count_if("forced").alias("forced"))
+    return H.forced_flags(_masked(spark, sf_dir)).select("conv_id", "pair", "row_pos", "forced")
 
 
 def f13_answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,14 +351,19 @@ _ITEM = r"""with w as (select item_id % 4 as task, item_id as item, string_split
  it as (select task, item, array_to_string(w[1:6], ' ') as query, [array_to_string(w[7:9], ' '), array_to_string(w[10:11], ' ')] as choices, item % 2 as gold from w), ch as (select *, cast(unnest([0, 1]) as integer) as choice from it)"""
 _SYS = """t0 as (select *, row_number() over w as n, lag(role) over w as pr, lag(text) over w as pt, lead(role) over w as nx from conversations window w as (partition by conv_id order by turn)),
  t as (select conv_id, turn, role, case when n = 2 and pr = 'system' and role = 'user' then pt || chr(10) || chr(10) || text else text end as text from t0 where not (n = 1 and role = 'system' and coalesce(nx, '') = 'user'))"""
-_CONV = f"with {_SYS}, r as (select *, row_number() over (partition by conv_id order by turn desc) as back, len(string_split(text, ' ')) as k from t)"
+_GOOD = f"with {_SYS}, og as (select *, row_number() over (partition by conv_id order by turn) as i from t), good as (select conv_id from og group by conv_id having bool_and(text is not null and role = case when i % 2 = 1 then 'user' else 'assistant' end))"
+_CONV = _GOOD + ", r as (select *, row_number() over (partition by conv_id order by turn desc) as back, len(string_split(text, ' ')) as k from t where conv_id in (select conv_id from good))"
 _ACC = "a as (select source as task, coalesce(avg(case when n_chars % 5 > 0 then cast(n_chars % 2 = 0 as integer) end), 0)::double as accuracy, count(*) filter (where n_chars % 5 > 0) as counted from documents group by source)"
 _STEP = "with s as (select *, row_number() over (partition by user_id order by event_id) as step from events)"
 _PAIRS = f"with {_SYS}, n as (select *, lead(role) over w as nr, lead(text) over w as reply from t window w as (partition by conv_id order by turn)), p as (select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as pair, text as prompt, reply from n where role = 'user' and nr = 'assistant')"
 
-_BLOCKS_OF_TURNS = _PAIRS + """, l as (select conv_id, pair, 0 as b, len(string_split(prompt, ' ')) + 3 as k from p union all
-          select conv_id, pair, i, len(string_split(line, ' ')) + case when i = n then 2 else 1 end from (select conv_id, pair, unnest(string_split(reply, chr(10))) as line, generate_subscripts(string_split(reply, chr(10)), 1) as i, len(string_split(reply, chr(10))) as n from p)),
-        c as (select *, sum(k) over (partition by conv_id, pair order by b) - k as before, count(*) over (partition by conv_id, pair) as nb from l)"""
+_TURN_POS = "with " + positions_sql(blocks=CHAT_BLOCKS, ids=(CHAT_IDS.bos, CHAT_IDS.sot, CHAT_IDS.eot, CHAT_IDS.sot_tail), token="words[k]", carried=", c.masks", shown=", masks[k] as mask")
+_CONTENT = f"""with {_SYS}, o as (select *, row_number() over (partition by conv_id order by turn) as i from t),
+ k as (select *, case when (conv_id + turn) % 23 = 5 then 'other' when role = 'assistant' then 'parts' else 'text' end as kind, len(string_split(text, chr(10))) as parts from o),
+ j as (select *, case when role <> case when i % 2 = 1 then 'user' else 'assistant' end then 'roles do not alternate' when kind = 'other' then 'content of another kind'
+   when kind = 'parts' and conv_id % 7 = 0 and parts > 3 then 'unknown part type' end as bad from k),
+ r as (select conv_id, arg_min(bad, i) filter (where bad is not null) as reason from j group by conv_id)"""
+
 
 def _fewshot_sql(k: int) -> str:
     draw = lambda salt: f"(cast('0x' || substr(md5('1234:{salt}:' || item), 1, 15) as bigint) % m)"
@@ -348,7 +376,12 @@ def _fewshot_sql(k: int) -> str:
 ORACLE_SQL = {
     "f01_assemble": "select conv_id, cast(count(*) as integer) as n, string_agg(role, ',' order by turn) as roles from conversations group by conv_id",
     "f02_merge_system": f"with {_SYS} select conv_id, turn, role, text from t",
-    "f03_validate": f"with {_SYS}, n as (select *, row_number() over (partition by conv_id order by turn) as n from t), b as (select *, case when text is null then 'no text' when role <> case when n % 2 = 1 then 'user' else 'assistant' end then 'roles do not alternate' end as bad from n) select conv_id, count(*) as n, min(bad) as reason from b group by conv_id",
+    "f03_validate": f"with {_SYS}, n as (select *, row_number() over (partition by conv_id order by turn) as n from t), b as (select *, case when role <> case when n % 2 = 1 then 'user' else 'assistant' end then 'roles do not alternate' when text is null then 'no content' end as bad from n) select conv_id, count(*) as n, arg_min(bad, n) filter (where bad is not null) as reason from b group by conv_id",
+    "f03_quarantined": _CONTENT + " select j.conv_id, turn, role, kind, cast(case when kind = 'parts' then parts else -1 end as integer) as parts, reason from j join r on r.conv_id = j.conv_id where reason is not null",
+    "f03_accepted": _CONTENT + """, l as (select conv_id, turn, role, unnest(case when role = 'user' then [text] else string_split(text, chr(10)) end) as line, generate_subscripts(case when role = 'user' then [text] else string_split(text, chr(10)) end, 1) as i from j where conv_id in (select conv_id from r where reason is null)),
+        q as (select *, len(string_split(line, ' ')) as k, case when role = 'user' then 3 else (i - 1) % 3 end as part from l),
+        s as (select conv_id, turn, role, sum(k + case when part in (1, 2) then 2 else 0 end) as n, sum(case part when 0 then k when 1 then k + 2 else 0 end) as y from q group by all)
+        select conv_id, cast(1 + sum(n + 2) as integer) as n, cast(sum(y + cast(role <> 'user' as integer)) as integer) as supervised from s group by conv_id""",
     "f04_render": _CONV + " select conv_id, cast(1 + sum(k + 2) as integer) as n, cast(coalesce(sum(k + 1) filter (where role <> 'user'), 0) as integer) as supervised from r group by conv_id",
     "f04_render_parts": _CONV + """, l as (select conv_id, turn, role, unnest(case when role = 'user' then [text] else string_split(text, chr(10)) end) as line, generate_subscripts(case when role = 'user' then [text] else string_split(text, chr(10)) end, 1) as i from t),
         p as (select *, len(string_split(line, ' ')) as k, case when role = 'user' then 3 else (i - 1) % 3 end as kind from l),
@@ -358,14 +391,14 @@ ORACLE_SQL = {
     "f05_render_truncated": _CONV + ", o as (select *, 1 + coalesce(sum(k + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as off from r) select conv_id, cast(least(128, 1 + sum(k + 2)) as integer) as n, cast(sum(case when role = 'user' then 0 else greatest(0, least(128, off + k + 2) - off - 1) end) as integer) as supervised from o group by conv_id",
     "f06_for_completion": _CONV + " select conv_id, cast(2 + coalesce(sum(k + 2) filter (where not (back = 1 and role = 'assistant')), 0) as integer) as n from r group by conv_id",
     "f07_turn_pairs": _PAIRS + " select * from p",
-    "f08_chat_blocks": "with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as n from conversations where role = 'assistant') select conv_id, turn, string_agg(cast(len(string_split(line, ' ')) + cast(i < n as integer) as varchar), ',' order by i) as sizes from l group by conv_id, turn",
-    "f09_turn_blocks": _BLOCKS_OF_TURNS + """ select conv_id, pair, cast(b as integer) as block, cast(k as integer) as tokens,
-        case when b < nb - 1 and before <= 16 then 'warmup' when b = nb - 1 then 'tail' else 'middle' end as role from c""",
-    "f10_turn_documents": _BLOCKS_OF_TURNS + """,
-        d as (select conv_id, pair, cast(max(nb) as integer) as n_blocks, cast(count(*) filter (where b < nb - 1 and before <= 16) as integer) as n_warm, sum(k) as k from c group by all)
-        select conv_id, pair, n_blocks, n_warm, n_blocks - n_warm - 1 as n_middle, true as has_tail, cast(k + n_blocks + 1 as integer) as positions from d""",
-    "f11_mask_targets": _POS + " select doc_id, count(*) filter (where token = 5 or (local_step >= 1 and thread = 0)) as masked, count(*) as n from pos group by doc_id",
-    "f12_forced_flags": _POS + " select doc_id, count(*) filter (where local_step = 0 or thread = 0) as forced from pos group by doc_id",
+    "f08_chat_blocks": f"""with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as n from conversations where role = 'assistant')
+        select conv_id, turn, cast(i - 1 as integer) as block, case when i = 1 then '{MARKS["assistant_start"]}:0 ' else '' end || array_to_string([{tid('w')} || ':1' for w in string_split(line, ' ')], ' ') || ' ' || case when i < n then '{NEWLINE}:1' else '{MARKS["assistant_end"]}:1 {NEWLINE}:0' end as tokens from l""",
+    "f09_turn_blocks": "with " + CHAT_BLOCKS + """, c as (select *, sum(len) over (partition by doc_id order by b) - len as before from blk)
+        select doc_id >> 20 as conv_id, cast(doc_id % 1048576 as integer) as pair, cast(b as integer) as block, cast(len as integer) as tokens, case when b < nb - 1 and before <= 16 then 'warmup' when b = nb - 1 then 'tail' else 'middle' end as role,
+          array_to_string(words, ' ') as ids, array_to_string(masks, ' ') as mask from c""",
+    "f10_turn_documents": _TURN_POS + " select doc_id >> 20 as conv_id, cast(doc_id % 1048576 as integer) as pair, n_blocks, n_warm, n_middle, has_tail, cast(content + n_blocks + cast(has_tail as integer) as integer) as positions from doc",
+    "f11_mask_targets": _TURN_POS + " select doc_id >> 20 as conv_id, cast(doc_id % 1048576 as integer) as pair, row_pos, token, case when local_step >= 1 and coalesce(mask, 0) = 0 then -1 else target end as target from pos",
+    "f12_forced_flags": _TURN_POS + " select doc_id >> 20 as conv_id, cast(doc_id % 1048576 as integer) as pair, row_pos, local_step = 0 or coalesce(mask, 0) = 0 as forced from pos",
     "f13_answer_blocks": "select conv_id, turn, turn % 2 = 0 or starts_with(ltrim(text), '####') as answer from conversations",
     "f14_consumption": "select conv_id, turn, cast(conv_id % 4 as integer) as worker, conv_id // 37 + 1 as epoch, (conv_id % 37 + 1) / 37 as progress from conversations",
     "g01_bpb": _LOSS + f" select doc_id % 8 as part, {_M}, avg(nats) as ce_all, {_N} from loss group by 1",

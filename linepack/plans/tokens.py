@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_blocks
+from ..operators import chat as H
+from ..operators import layout as L
 from ..operators import packing as E
 from ..operators import tokens as C
 from ..schemas import SPECIALS
-from ._base import BLOCKS, documents, table, word_documents
+from ._base import BLOCKS, documents, packer_sql, positions_sql, spread, table, word_documents
+from .chat import CHAT_BLOCKS, CHAT_IDS, chat_documents
 
 MERGES = 256
 LEAST = 20
@@ -112,13 +115,33 @@ def e01_pack_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pack_crop(_shard(_lengths(spark, sf_dir)), 512, "shard")
 
 
+#: Positions of a packed row, of documents and of conversations.
+ROW, CHAT_ROW = 512, 1024
+
+
+def _packed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as blocks of token ids, and their places in rows by the lengths of their layouts."""
+    docs = word_documents(spark, sf_dir, ids=True)
+    lengths = _shard(L.fits(docs, ROW).select("doc_id", "source", L.row_length().alias("length")))
+    return docs, E.pack_whole(lengths, ROW, "shard")
+
+
+def _text(*names: str):
+    return [F.array_join(F.col(n).cast("array<string>"), " ").alias(n) for n in names]
+
+
 def e02_pack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.pack_whole(_shard(_lengths(spark, sf_dir)), 512, "shard")
+    docs, packed = _packed_documents(spark, sf_dir)
+    rows = E.assemble_rows(packed, L.rows(L.fits(docs, ROW), "doc_id"), ROW, "shard", "doc_id", {"token": 0, "target": -1, "rope": 0})
+    return rows.select("shard", "row", "docs", "used", *_text("token", "target", "rope"))
 
 
 def e03_rebase_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _lengths(spark, sf_dir).withColumn("row", F.floor(F.col("doc_id") / 5))
-    return E.rebase_offsets(docs, ["row"], "doc_id", F.col("length") * 3, 256).select("row", "doc_id", "rope_offset")
+    """Position offsets of the documents of packed rows: a document's last position is its last thread's deepest one."""
+    docs, packed = _packed_documents(spark, sf_dir)
+    furthest = F.array_max(F.transform("lens", lambda n, t: t * 256 + n + F.when((t == F.col("n_blocks") - 1) & F.col("has_tail"), 1).otherwise(0)))
+    placed = packed.join(docs.select("doc_id", furthest.alias("furthest")), "doc_id")
+    return E.rebase_offsets(placed, ["shard", "row"], "offset", F.col("furthest"), 256).select("shard", "row", "doc_id", "rope_offset")
 
 
 def e04_shift_io(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +159,13 @@ def e05_drop_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e06_pack_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.size(F.split("text", " ")) + 2).cast("int").alias("length"))
-    return E.pack_whole(t.withColumn("shard", F.floor(F.col("conv_id") / SPAN)), 1024, "shard", "conv_id", order="conv_id", buffer=200)
+    """Turn documents with masked targets; pads are bos, and positions count on through them."""
+    docs = chat_documents(spark, sf_dir)
+    lengths = L.fits(docs, CHAT_ROW).select("doc_id", F.floor(F.col("conv_id") / SPAN).alias("shard"), L.row_length().alias("length"))
+    packed = E.pack_whole(lengths, CHAT_ROW, "shard", buffer=200)
+    rows = H.masked_rows(L.rows(L.fits(docs, CHAT_ROW), "doc_id", ids=CHAT_IDS, payloads=("mask",)))
+    made = E.assemble_rows(packed, rows, CHAT_ROW, "shard", "doc_id", {"token": CHAT_IDS.bos, "target": -1, "rope": 0}, count_on=True)
+    return made.select("shard", "row", "docs", "used", *_text("token", "target", "rope"))
 
 
 def e07_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +174,10 @@ def e07_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e08_pack_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = word_documents(spark, sf_dir)
-    n = docs.select("doc_id", "source", F.aggregate("lens", F.lit(1), lambda a, x: a + x).alias("length"))
-    packed = E.attach(E.pack_whole(_shard(n), 512, "shard"), docs.select("doc_id", "n_warm", "n_middle", "has_tail"), "doc_id")
-    return packed.groupBy("shard", "row").agg(F.sum("used").alias("tokens"), F.sum("n_warm").alias("warm"), F.sum("n_middle").alias("middle"), F.count_if("has_tail").alias("tails"))
+    """Slice labels in packed rows, each at the position that predicts."""
+    docs, packed = _packed_documents(spark, sf_dir)
+    rows = E.assemble_rows(packed, L.rows(L.fits(docs, ROW), "doc_id", more=L.LABELS), ROW, "shard", "doc_id", {"token": 0, **{n: -1 for n in L.LABELS}})
+    return rows.select("shard", "row", *_text("token", *L.LABELS))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -169,6 +197,25 @@ def _vocab_sql(specials: list[str]) -> str:
 
 _V = _vocab_sql(SPECIALS[:8])
 _LEN = _W + ", d as (select doc_id, any_value(source) as source, cast(count(*) + 1 as integer) as length from w group by doc_id)"
+_CROPPED = "with recursive " + BLOCKS + f""",
+ item as (select any_value(source) || '/' || cast(doc_id // {SPAN} as varchar) as shard, doc_id as ord, doc_id as id, cast(sum(len) + 1 as integer) as n from blk group by doc_id)""" + packer_sql(513, 1000, True)
+_PLACED = """,
+ placed as (select p.shard, cast(p.row as integer) as row, p.id as doc_id, p.off, cast(sum(f.step) over (partition by p.shard, p.row order by p.off) - f.step as bigint) as rope_offset, f.step as width
+   from packed p join (select doc_id, (max(rope) // 256 + 1) * 256 as step from pos group by doc_id) f on f.doc_id = p.id)"""
+_ITEM = ", item as (select {shard} as shard, d.doc_id as ord, d.doc_id as id, cast(content + n_blocks + cast(has_tail as integer) as integer) as n from doc d)"
+_ROWS = "with recursive " + positions_sql() + _ITEM.format(shard="(select any_value(source) from docs where docs.doc_id = d.doc_id) || '/' || cast(d.doc_id // %d as varchar)" % SPAN) + packer_sql(ROW, 1000) + _PLACED
+_MADE = """,
+ made as (select shard, row, cast(count(*) filter (where row_pos = 0) as integer) as docs, cast(count(*) as integer) as used, list(token order by off + row_pos) as token, list(target order by off + row_pos) as target,
+   list(cast(rope + rope_offset as integer) order by off + row_pos) as rope, max(rope_offset + width) as ends from placed join pos using (doc_id) group by shard, row)"""
+_CHAT_ROWS = ("with recursive " + positions_sql(blocks=CHAT_BLOCKS, ids=(CHAT_IDS.bos, CHAT_IDS.sot, CHAT_IDS.eot, CHAT_IDS.sot_tail), token="words[k]", carried=", c.masks", shown=", masks[k] as mask").replace("pos as (", "pos0 as (")
+    + ", pos as (select * replace (case when local_step >= 1 and coalesce(mask, 0) = 0 then -1 else target end as target) from pos0)"
+    + _ITEM.format(shard="(d.doc_id >> 20) // %d" % SPAN) + packer_sql(CHAT_ROW, 200) + _PLACED)
+
+
+def _grid(name: str, fill: int, length: int = ROW) -> str:
+    return f"array_to_string(list_resize({name}, {length}, {fill}), ' ') as {name}"
+
+
 ORACLE_SQL = {
     "c02_word_counts": _W + " select word, n from wc",
     "c04_build_vocab": _V + " select * from vocab",
@@ -182,7 +229,18 @@ ORACLE_SQL = {
         select source, c as base_tokens, o as our_tokens, (c - o) * 100.0::double / c as relative, case when c > o then 'ours' when c < o then 'base' else 'tie' end as winner from t join b using (source)""",
     "c13_newline_class": _W + " select case when not contains(word, chr(10)) then 'NO' when word = chr(10) then 'PURE' else 'TRAIL' end as nl_class, count(*) as tokens, cast(sum(n) as bigint) as n from wc group by 1",
     "c14_check_vocab": _W + " select cast(0 as bigint) as invalid, count(*) filter (where contains(word, chr(10))) > 0 as has_newlines from wc",
-    "e03_rebase_offsets": _LEN + ", s as (select doc_id, doc_id // 5 as row, length * 3 // 256 + 1 as step from d) select row, doc_id, cast(256 * (sum(step) over (partition by row order by doc_id) - step) as bigint) as rope_offset from s",
+    "e01_pack_crop": _CROPPED + " select shard, cast(row as integer) as row, cast(row_number() over (partition by shard, row order by off) - 1 as integer) as part, id as doc_id, cast(off as integer) as \"offset\", cast(used as integer) as used, cast(lost as integer) as lost from packed",
+    "e07_packing_stats": _CROPPED + """, r as (select shard, row, sum(used) as kept, sum(lost) as cropped from packed group by all)
+        select shard, count(*) as rows, cast(sum(kept) as bigint) as kept, cast(sum(cropped) as bigint) as cropped, cast(sum(513 - kept) as bigint) as padded, sum(kept) / (count(*) * 513) as utilization, cast(0 as bigint) as dropped from r group by shard""",
+    "e02_pack_whole": _ROWS + _MADE + f" select shard, row, docs, used, {_grid('token', 0)}, {_grid('target', -1)}, {_grid('rope', 0)} from made",
+    "e03_rebase_offsets": _ROWS + " select shard, row, doc_id, rope_offset from placed",
+    "e06_pack_chat": _CHAT_ROWS + _MADE + f", more as (select *, list_concat(rope, [cast(m.ends + k as integer) for k in range(0, {CHAT_ROW} - used)]) as whole from made m) select shard, row, docs, used, {_grid('token', 0, CHAT_ROW)}, {_grid('target', -1, CHAT_ROW)}, array_to_string(whole, ' ') as rope from more",
+    "e08_pack_with_labels": _ROWS + f""", l as (select * from (select *, case when thread < n_warm then 0 when thread < n_warm + n_middle then 1 else 2 end as line_role, cast(target in (1, 2, 3, 5) as integer) as is_anchor_target from pos)),
+        m as (select *, case when next_step is null then -1 when next_step = 1 then 0 when next_step = 2 then 1 when next_step <= 4 then 2 when next_step <= 8 then 3 when next_step <= 16 then 4 else 5 end as depth_in_line,
+          coalesce(cast(is_anchor_target = 0 and next_step = case when line_role = 2 then 2 else 1 end as integer), 0) as line_start,
+          case when line_role = 1 then count(*) filter (where line_role = 1) over (partition by doc_id, phase, step) else 1 end as wave_width from l),
+        labelled as (select shard, row, {", ".join(f"list({n} order by off + row_pos) as {n}" for n in ("token", *L.LABELS))} from placed join m using (doc_id) group by shard, row)
+        select shard, row, {_grid('token', 0)}, {", ".join(_grid(n, -1) for n in L.LABELS)} from labelled""",
     "e04_shift_io": "with " + BLOCKS + """, w0 as (select doc_id, string_split(text, ' ') as w from docs), w1 as (select *, cast(unnest(range(0, greatest(1, cast(ceil((len(w) - 1) / 32) as bigint)))) as integer) as row from w0),
         w as (select doc_id, row, list_resize(w[row * 32 + 1 : row * 32 + 33], 33, '<pad>') as w from w1) select doc_id, row, array_to_string(w[1:32], ' ') as inputs, array_to_string(w[2:33], ' ') as targets from w""",
     "e05_drop_overflow": _LEN + " select doc_id, source, length, doc_id // 8 as batch from d where doc_id // 8 not in (select doc_id // 8 from d group by 1 having max(length) >= 2000)",

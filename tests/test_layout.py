@@ -83,3 +83,31 @@ def test_blocks_by_class_and_odd_texts(spark):
     cls = spark.createDataFrame([(["A", "N", "N", "B", "T", "N", "C", "T", "T", "D"], ["NO", "PURE", "PURE", "NO", "TRAIL", "PURE", "NO", "TRAIL", "TRAIL", "NO"])], "t array<string>, c array<string>")
     ids = cls.select(L.split_blocks_by_class(F.transform("t", lambda x: F.ascii(x)), F.col("c")).alias("b")).first().b
     assert ["".join(map(chr, b)) for b in ids] == ["ANN", "BTN", "CT", "T", "D"]
+
+
+@pytest.mark.parametrize("cap", [2, None])
+def test_labels_in_the_batch_equal_windows_over_positions(spark, cap):
+    rnd = random.Random(12)
+    made = [(i, [[rnd.randrange(50, 90) for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(1, 9))], 0) for i in range(40)] + [(40, [[7]], 0), (41, [], 0)]
+    df = L.assign_roles(docs(spark, made).drop("n_warm", "n_middle", "has_tail", "n_blocks"), 3).repartition(3)
+    p = L.positions(df, "doc_id", cap=cap, more=L.MORE).cache()
+    plain = L.positions(df, "doc_id", cap=cap)
+    keys = ["doc_id", "row_pos"]
+    for names, made_by in ((("next_pos",), L.next_in_thread(plain)), (L.LABELS, L.slice_labels(plain)), (("source_index", "target_row"), L.position_labels(plain)), (("gen_step",), L.generation_steps(plain))):
+        rows = [sorted(map(tuple, x.select(*keys, *names).collect())) for x in (p, made_by)]
+        assert rows[0] == rows[1] and rows[0]
+    spans = p.groupBy("doc_id", "segment").agg(F.min("row_pos").alias("first_pos"), F.max("row_pos").alias("last_pos")).select("doc_id", "segment", "first_pos", "last_pos")
+    assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, L.row_segments(plain).select("doc_id", "segment", "first_pos", "last_pos").collect()))
+    with pytest.raises(ValueError):
+        L.positions(df, "doc_id", more=("nothing",))
+
+
+def test_payloads_go_with_their_tokens_and_arrays_equal_rows(spark):
+    made = [(0, WARM + MIDDLE + [TAIL], 1), (1, [[5, 6]], 1), (2, [[1], [2]], 1)]
+    df = docs(spark, made).withColumn("twice", F.transform("blocks", lambda b: F.transform(b, lambda x: x * 2)))
+    rows = L.positions(df, "doc_id", payloads=("twice",)).collect()
+    anchors = [r for r in rows if r.local_step == 0 or r.token == 5 and r.local_step == 1 and r.doc_id != 1]
+    assert all(r.twice is None for r in anchors) and all(r.twice == 2 * r.token for r in rows if r not in anchors)
+    for r in L.rows(df, "doc_id", payloads=("twice",)).collect():
+        own = sorted((x for x in rows if x.doc_id == r.doc_id), key=lambda x: x.row_pos)
+        assert all(list(r[c]) == [x[c] for x in own] for c in ("row_pos", "token", "target", "rope", "thread", "twice"))
