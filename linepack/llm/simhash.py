@@ -9,6 +9,7 @@ out: the pair has equal masked bits in that table. So 2^(r+1) - 1 tables lose no
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections.abc import Iterator
 from functools import cache
@@ -79,7 +80,7 @@ def _mixers(n: int) -> np.ndarray:
 
 
 def set_fingerprints(digests: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """``n`` independent fingerprints of ``bits`` bits of a set of 64-bit digests (not empty), as signed longs.
+    """``n`` independent fingerprints of ``bits`` bits (up to 64) of a set of 64-bit digests (not empty), as signed longs.
 
     The digests are mixed anew for each fingerprint; a bit is 1 if it is set in over half of them.
     """
@@ -90,7 +91,7 @@ def set_fingerprints(digests: np.ndarray, n: int, bits: int) -> np.ndarray:
         h ^= h >> np.uint64(32)
         each = np.unpackbits(np.ascontiguousarray(h.T).view(np.uint8), axis=1)
         total += np.ones(len(each), np.float32) @ each.astype(np.float32)
-    return np.packbits(2 * total > len(digests)).view(np.uint64).astype(np.int64) & ((1 << bits) - 1)
+    return (np.packbits(2 * total > len(digests)).view(np.uint64) & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -100,17 +101,18 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 2 << radius)]
 
 
-def _tree(ids: np.ndarray, fps: np.ndarray, radius: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _tree(ids: np.ndarray, fps: np.ndarray, most: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of one bucket: breadth-first over those not yet reached, so at most one link a row.
 
-    ``far``: only pairs with a far row are looked at.
+    ``fps`` has the words of a row's bits; rows are linked if they differ in at most ``most`` of all of them. ``far``:
+    only pairs with a far row are looked at.
     """
     out, rest, todo = [], np.arange(len(ids)), []
     while len(rest) or todo:
         if not todo:
             todo, rest = [rest[0]], rest[1:]
         i = todo.pop()
-        hit = np.bitwise_count(fps[rest] ^ fps[i]) <= radius
+        hit = np.bitwise_count(fps[rest] ^ fps[i]).sum(1, dtype=np.int64) <= most
         if far is not None:
             hit &= far[rest] | far[i]
         if hit.any():
@@ -121,27 +123,39 @@ def _tree(ids: np.ndarray, fps: np.ndarray, radius: int, far: np.ndarray | None
     return out
 
 
-def _bucket_links(radius: int, bucket: int):
-    """Rows sorted by (mask, key) in; links out, and the rows of buckets that are too large for one task, marked."""
+def _words(column: pa.Array) -> np.ndarray:
+    """Rows of the words of an array column whose rows are equally long."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
+
+
+def _bucket_links(most: int, bucket: int, bits: list[int]):
+    """Rows (mask, node, fp) sorted by bucket in; links out, and the rows of buckets that are too large for one task, marked.
+
+    ``bits`` are the masks by number modulo their count; a row's key is the masked first word of ``fp``.
+    """
     names = ["a", "b", "mask", "key", "fp"]
+    kind = pa.list_(pa.int64())
+    cover = np.array(bits, np.uint64)
 
     def done(links: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
-        none = pa.nulls(len(links), pa.int64())
-        return pa.RecordBatch.from_arrays([a, b, pa.nulls(len(links), pa.int32()), none, none], names=names)
+        return pa.RecordBatch.from_arrays([a, b, pa.nulls(len(links), pa.int32()), pa.nulls(len(links), pa.int64()), pa.nulls(len(links), kind)], names=names)
 
     def large(mask: np.ndarray, key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(mask, pa.int32()), pa.array(key), pa.array(fp)], names=names)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * fp.shape[1]), pa.array(fp.view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(mask, pa.int32()), pa.array(key.view(np.int64)), lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, marked = None, None  # the rows of the last bucket so far; the (mask, key) found to be large
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            if not batch.num_rows:
+                continue
+            mask, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            fp = _words(batch.column(2))
+            cols = [mask, fp[:, 0] & cover[mask % len(cover)], node, fp]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             held = None
-            if not len(cols[0]):
-                continue
             mask, key, node, fp = cols
             cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(mask)]))
@@ -157,27 +171,26 @@ def _bucket_links(radius: int, bucket: int):
             else:
                 held = [x[last] for x in cols]
             starts, ends, links = starts[:-1], ends[:-1], []
-            bits = fp.view(np.uint64)
             two = starts[ends - starts == 2]
-            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= most]
             links += list(zip(node[two].tolist(), node[two + 1].tolist(), strict=True))
             for k in np.flatnonzero(ends - starts > 2):
                 s, e = starts[k], ends[k]
                 if e - s > bucket:
                     yield large(mask[s:e], key[s:e], node[s:e], fp[s:e])
                 else:
-                    links += _tree(node[s:e], bits[s:e], radius)
+                    links += _tree(node[s:e], fp[s:e], most)
             if links:
                 yield done(links)
-        if held is not None and (links := _tree(held[2], held[3].view(np.uint64), radius)):
+        if held is not None and (links := _tree(held[2], held[3], most)):
             yield done(links)
 
     return run
 
 
-def _block_links(radius: int):
+def _block_links(most: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        links = _tree(t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), radius, t["far"].to_numpy(zero_copy_only=False))
+        links = _tree(t["node"].to_numpy(), _words(t["fp"].combine_chunks()), most, t["far"].to_numpy(zero_copy_only=False))
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
@@ -198,34 +211,40 @@ def _dealt(hot: DataFrame, bucket: int, *carried: str) -> DataFrame:
     return pairs.unionByName(alone).unionByName(far).distinct()
 
 
-def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, reach: int | None = None, bits: int = BITS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of ``nodes`` (node, fps) with a fingerprint within ``radius`` bits.
+def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, bits: int = BITS, most: int | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of ``nodes`` that share a bucket and stand.
+
+    ``fps`` is an array of fingerprints of ``bits`` bits; two nodes share a bucket wherever one of them has equal bits under
+    a mask of the cover, so in any case where they differ in at most ``radius`` bits of one. ``check`` (an array of more
+    words, where there is such a column) goes with a row into its buckets: a pair stands if it differs in at most ``most``
+    bits (``radius`` if not given) of that fingerprint and all check words together. The test is the last one: no link is
+    dropped later, so a row that is left aside, because it hangs on another already, hangs on it by a link that stands.
 
-    ``fps`` is an array of fingerprints; two nodes are compared by the same one each. A pair that differs in more bits
-    shares a bucket by chance only; ``reach`` (from ``radius`` on) links those too if they differ in at most so many bits.
-    Every bucket gives a spanning forest of its pairs, not all of them. A bucket of over ``bucket``
-    rows is dealt out: rows near its most common pivot are joined to that; the others meet all rows of the bucket,
-    block against block, in a task of their own for each pair of blocks, so that no pair is lost and no task holds
-    more than two blocks. Node ids must be distinct and not null.
+    Every bucket gives a spanning forest of its pairs, not all of them. A bucket of over ``bucket`` rows is dealt out: rows
+    near its most common pivot are joined to that; the others meet all rows of the bucket, block against block, in a task
+    of their own for each pair of blocks, so that no pair is lost and no task holds more than two blocks. Node ids must be
+    distinct and not null.
     """
     spark = nodes.sparkSession
-    reach = radius if reach is None else reach
+    most = radius if most is None else most
     tables = masks(radius, bits)
-    cover = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])
-    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
-    rows = each.select("node", "fp", "which", F.posexplode(cover).alias("mask", "key"))
-    rows = rows.select((F.col("which") * len(tables) + F.col("mask")).alias("mask"), "key", "node", "fp")
-    rows = rows.repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "node")  # buckets with common rows tend to one hub
-    found = materialise(rows.mapInArrow(_bucket_links(reach, bucket), "a bigint, b bigint, mask int, key bigint, fp bigint"), "buckets")
+    check = [F.col("check")] if "check" in nodes.columns else []
+    each = nodes.select("node", *check, F.posexplode("fps").alias("which", "own"))
+    rows = each.select("node", F.concat(F.array("own"), *check).alias("fp"), F.explode(F.sequence(F.col("which") * len(tables), F.col("which") * len(tables) + len(tables) - 1)).alias("mask"))
+    masked = F.element_at(F.array(*[F.lit(_signed(m)) for m in tables]), F.pmod("mask", F.lit(len(tables))) + 1).bitwiseAND(F.get("fp", F.lit(0)))
+    rows = rows.select("mask", "node", "fp").repartition(partitions(spark), "mask", masked)  # the key itself need not be shuffled
+    rows = rows.sortWithinPartitions("mask", masked, "node")  # buckets with common rows tend to one hub
+    found = materialise(rows.mapInArrow(_bucket_links(most, bucket, tables), "a bigint, b bigint, mask int, key bigint, fp array<bigint>"), "buckets")
     out = found.where("mask is null").select("a", "b")
     hot = found.where("mask is not null").select("mask", "key", F.col("a").alias("node"), "fp")
     if hot.isEmpty():
         return out.distinct()
     sizes = hot.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp"), "fp", "node")).alias("p"))
     hot = hot.join(sizes.select("mask", "key", "n", F.col("p.fp").alias("pivot"), F.col("p.node").alias("at")), ["mask", "key"])
-    hot = materialise(hot.withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) > reach), "large")
+    apart = F.aggregate(F.zip_with("fp", "pivot", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    hot = materialise(hot.withColumn("far", apart > most), "large")
     near = hot.where("not far and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
-    met = _dealt(hot, bucket, "fp").groupBy("mask", "key", "i", "j").applyInArrow(_block_links(reach), "a bigint, b bigint")
+    met = _dealt(hot, bucket, "fp").groupBy("mask", "key", "i", "j").applyInArrow(_block_links(most), "a bigint, b bigint")
     return out.unionByName(near).unionByName(met).distinct()
 
 
@@ -351,9 +370,10 @@ def _near_pivot(least: float):
 def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 1024) -> DataFrame:
     """Links (a, b) whose components are those of all pairs with a Jaccard similarity of ``least`` that share a bucket.
 
-    ``rows`` (key, node, n): the nodes of each bucket and their number; ``sets`` (node, set). Every bucket gives a
-    spanning forest of the pairs that hold. A bucket of over ``bucket`` rows is dealt out as in ``links``: rows that are
-    like a pivot are joined to that, the others meet all rows of the bucket, block against block.
+    ``rows`` (key, node, n): the nodes of each bucket and their number, or what counts as such for long sets; ``sets``
+    (node, set). Every bucket gives a spanning forest of the pairs that hold. A bucket of over ``bucket`` rows is dealt out
+    as in ``links``: rows that are like a pivot are joined to that, the others meet all rows of the bucket, block against
+    block.
     """
     cold = rows.where(F.col("n") <= bucket).select("key", "node").join(sets, "node").select("key", "node", "set")
     cold = cold.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
@@ -372,14 +392,45 @@ def alike_links(rows: DataFrame, sets: DataFrame, least: float, bucket: int = 10
     return out.unionByName(near).unionByName(met).distinct()
 
 
-#: The stage's fingerprints: their number and bits, the radius that the masks cover, the bits in one of them up to which a
-#: bucket's rows are linked, and the share of bits in all of them up to which a link stands. Sets of Jaccard similarity 0.8
-#: differ in 0.15 of the bits, unlike ones in 0.5.
-FINGERPRINTS, STAGE_BITS, RADIUS, REACH, APART = 16, 48, 3, 8, 0.2
+#: Sets of Jaccard similarity 0.8 differ in 0.15 of the bits of their fingerprints, unlike ones in 0.5. The masks cover RADIUS
+#: bits. CHECKS words of other fingerprints go with every row; a link stands up to a share APART of all bits compared.
+DIFFER, RADIUS, CHECKS, APART = 0.15, 3, 3, 0.22
+#: Rows that share a key by chance, about, and the share of pairs of similarity 0.8 that may share no bucket.
+CROWD, MISSED = 128, 0.002
+#: Bytes of a set that count as one row of a candidate group.
+ROW = 1 << 16
+
+
+def offered(bits: int, radius: int = RADIUS, differ: float = DIFFER) -> float:
+    """How likely a pair shares a bucket of one fingerprint whose bits differ with probability ``differ``.
+
+    Each position has one of 2^(radius + 1) - 1 vectors. A table leaves all differing positions out if their vectors do not
+    span the whole space. Vectors count as drawn one by one; ``masks`` spreads them evenly, so they span it somewhat sooner
+    (0.44 measured in place of 0.48 for 32 bits).
+    """
+    full, n = radius + 1, (2 << radius) - 1
+    rank = [1.0] + [0.0] * full  # of the vectors of the positions so far
+    share, out = (1 - differ) ** bits, 0.0
+    for d in range(bits + 1):
+        out += share * (1 - rank[full])
+        share *= (bits - d) / (d + 1) * differ / (1 - differ)
+        rank = [rank[r] * ((1 << r) - 1) / n + (rank[r - 1] * (n + 1 - (1 << r - 1)) / n if r else 0.0) for r in range(full + 1)]
+    return out
 
 
-def _signatures(width: int):
-    """(doc_id, digest of the set of shingles, fingerprints) of (doc_id, text); a text without words has none."""
+def shape(rows: int) -> tuple[int, int]:
+    """(number of fingerprints, bits of each) for a search among ``rows``.
+
+    Keys have 8 of 15 bits of a fingerprint and grow with the logarithm of the rows, so the rows that meet by chance stay
+    about ``CROWD`` a bucket; longer keys part more pairs, so the fingerprints grow in number, with about the 0.23rd power
+    of the rows.
+    """
+    bits = min(64, max(32, math.ceil((math.log2(max(rows, 1)) - math.log2(CROWD)) * 15 / 8)))
+    return math.ceil(math.log(MISSED) / math.log(1 - offered(bits))), bits
+
+
+def _signatures(width: int, n: int):
+    """(doc_id, digest of the set of shingles, ``n`` fingerprints) of (doc_id, text); a text without words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,40 +438,38 @@ def _signatures(width: int):
             for text in batch.column(1).to_pylist():
                 of = set_digests(words(text or b""), width)
                 digests.append(hashlib.sha256(of.tobytes()).digest())
-                fps.append(set_fingerprints(of, FINGERPRINTS, STAGE_BITS) if len(of) else [])
+                fps.append(set_fingerprints(of, n, BITS) if len(of) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"])
 
     return run
 
 
-def standing(found: DataFrame, copies: DataFrame) -> DataFrame:
-    """The links whose nodes differ in at most ``APART`` of the bits of all their fingerprints."""
-    ends = found.join(copies.select(F.col("node").alias("a"), F.col("fps").alias("x")), "a").join(copies.select(F.col("node").alias("b"), F.col("fps").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return ends.where(apart <= APART * FINGERPRINTS * STAGE_BITS).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = 1024) -> DataFrame:
     """One document of each group of copies and near copies stays (the smallest doc_id); all columns are kept.
 
     Two documents are linked if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more
     (sets of 32-bit shingle hashes) and both are in one candidate group. Candidate groups are the components of a
-    covering search over ``FINGERPRINTS`` fingerprints of these sets: every pair within ``RADIUS`` bits in one of them
-    shares a bucket, and so do many pairs beyond. A candidate group is searched as a whole with the Jaccard test itself,
-    so no hub that fails it hides a pair. The result's groups are the components of the links. Equal sets are one node.
-    Null texts count as empty, and empty texts are copies of each other. Texts are joined by merge joins at every size,
-    so the plan does not change with it. Rows with a null doc_id always stay. Of rows that repeat a doc_id and text all
-    stay; a doc_id that repeats with other texts is one node, for which the links of each text count.
+    covering search over fingerprints of these sets, as many and as long as ``shape`` gives for the number of rows: every
+    pair within ``RADIUS`` bits in one of them shares a bucket, and so do many pairs beyond. A candidate group is searched
+    as a whole with the Jaccard test itself, so no hub that fails it hides a pair. The result's groups are the components
+    of the links. Equal sets are one node. Null texts count as empty, and empty texts are copies of each other. Texts are
+    joined by merge joins at every size, so the plan does not change with it. Rows with a null doc_id always stay. Of rows
+    that repeat a doc_id and text all stay; a doc_id that repeats with other texts is one node, for which the links of each
+    text count. An empty table gives an empty result.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
-    marks = own.mapInArrow(_signatures(width), "doc_id bigint, digest binary, fps array<bigint>")
+    n, bits = shape(docs.count())
+    marks = own.mapInArrow(_signatures(width, n + CHECKS), "doc_id bigint, digest binary, fps array<bigint>")
     copies = materialise(materialise(marks, "signatures").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "copies")
-    found = materialise(links(copies.select("node", "fps"), RADIUS, reach=REACH, bits=STAGE_BITS), "found")
-    offered = components(standing(found, copies))
-    sizes = offered.groupBy("root").agg(F.count("*").alias("n"))
-    rows = offered.join(sizes, "root").select(F.col("root").alias("key"), "node", "n")
-    bodies = own.withColumnRenamed("doc_id", "node").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
+    keyed = F.transform(F.slice("fps", 1, n), lambda x: x.bitwiseAND(F.lit(_signed((1 << bits) - 1))))
+    nodes = copies.where(F.size("fps") > 0).select("node", keyed.alias("fps"), F.slice("fps", n + 1, CHECKS).alias("check"))
+    found = links(nodes, RADIUS, bits=bits, most=int(APART * (bits + CHECKS * BITS)))
+    groups = components(found)
+    bodies = own.withColumnRenamed("doc_id", "node").join(groups.select("node").hint("merge"), "node", "left_semi")
     sets = materialise(bodies.mapInArrow(lambda it: _set_hashes(it, width), "node bigint, `set` binary").distinct(), "sets")
+    sized = groups.join(sets.groupBy("node").agg(F.sum(F.octet_length("set")).alias("bytes")), "node")
+    sizes = sized.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("bytes") / ROW)).alias("n"))
+    rows = groups.join(sizes, "root").select(F.col("root").alias("key"), "node", "n")
     roots = components(alike_links(rows, sets, similarity, bucket))
     least = roots.groupBy("root").agg(F.min("node").alias("keep"))
     gone = roots.join(least, "root").where("node <> keep").select("node")

@@ -105,3 +105,57 @@ def test_pairs_across_any_number_of_long_words(spark):
         rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join([*text[:at], "tiny", *text[at + 1 :]]))]
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
     assert kept == {2 * g for g in range(60)}
+
+
+@pytest.mark.parametrize("crowd,trials", [(0, 20), (64, 20), (5000, 4)])
+def test_a_pair_in_a_crowded_bucket_is_found(spark, crowd, trials):
+    """Rows that share a pair's key by chance, and come before it, hide it in no trial; none of them is linked."""
+    rng, (n, bits) = np.random.default_rng(crowd), simhash.shape(1)
+    tables, full = simhash.masks(simhash.RADIUS, bits), (1 << bits) - 1
+    rows, pairs = [], []
+
+    def add(fps, check):
+        rows.append((len(rows), [int(x) for x in fps], [int(np.uint64(x).view(np.int64)) for x in check]))
+        return len(rows) - 1
+
+    def flipped(words_, width):
+        flips = [sum(1 << i for i in range(width) if rng.random() < simhash.DIFFER) for _ in words_]
+        return [int(w) ^ f for w, f in zip(words_, flips, strict=True)]
+
+    draw = lambda k, most: [int(x) for x in rng.integers(0, most, k, dtype=np.uint64, endpoint=True)]
+    for t in range(trials):
+        mask, fps, check = tables[t % len(tables)], draw(n, full), draw(simhash.CHECKS, (1 << 64) - 1)
+        for _ in range(crowd):
+            other = draw(n, full)
+            other[0] = other[0] & ~mask | fps[0] & mask
+            add(other, draw(simhash.CHECKS, (1 << 64) - 1))
+        like = flipped(fps, bits)
+        like[0] = like[0] & ~mask | fps[0] & mask
+        pairs.append((add(fps, check), add(like, flipped(check, 64))))
+    nodes = spark.createDataFrame(rows, "node long, fps array<long>, `check` array<long>").repartition(4)
+    most = int(simhash.APART * (bits + simhash.CHECKS * simhash.BITS))
+    root = {r.node: r.root for r in graph.components(simhash.links(nodes, simhash.RADIUS, bits=bits, most=most)).collect()}
+    assert sorted(root) == sorted(x for pair in pairs for x in pair) and all(root[a] == root[b] for a, b in pairs)
+
+
+def test_texts_of_one_template(spark):
+    """Documents that share two thirds of their shingles crowd all buckets; those alike among them are found."""
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    head = [word() for _ in range(120)]
+    rows = []
+    for _ in range(150):
+        own = [word() for _ in range(60)]
+        rows += [" ".join([*head, *own]), " ".join([*head, *own[:58], word(), word()])]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
+def test_fingerprints_grow_with_the_rows():
+    shapes = [simhash.shape(n) for n in (0, 10**4, 10**6, 10**8, 10**9, 10**10)]
+    assert shapes[0] == shapes[1] == (10, 32) and shapes == sorted(shapes) and shapes[-1][1] > 45
+    rng = np.random.default_rng(1)  # the rule behind them, against drawn pairs
+    for bits in (32, 48):
+        tables = np.array(simhash.masks(3, bits), np.uint64)
+        apart = np.array([sum(1 << i for i in np.flatnonzero(rng.random(bits) < 0.15).tolist()) for _ in range(4000)], np.uint64)
+        assert abs(((apart[:, None] & tables) == 0).any(1).mean() - simhash.offered(bits)) < 0.06
