@@ -74,6 +74,19 @@ def test_odd_texts(spark):
     assert alignment.alignment_report(df.limit(0), A, B).count() == 0
 
 
+def test_fast_encoders_equal_the_libraries():
+    """Random strings over all planes, runs of blanks, special strings; 20 000 texts."""
+    rnd = random.Random(2)
+    ta, tb = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    ta.encode_special_tokens = True
+    char = lambda: chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(32, 127), 32, 32, 10, 9, rnd.randrange(0x3000), rnd.randrange(0xE000, 0x110000), 0x2581]))
+    for _ in range(20):
+        texts = ["".join(char() for _ in range(rnd.randrange(25))) for _ in range(1000)] + ["<s> <|endoftext|>", "a" * 300 + " " * 40 + "b"]
+        raw = [x.encode() for x in texts]
+        assert alignment.byte_level(A)[0](raw) == [x.ids for x in ta.encode_batch(texts, add_special_tokens=False)]
+        assert alignment.pieces(B)[0](raw) == [tb.encode(x) for x in texts]
+
+
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = rows_of(queries.op11_cross_tokenizer_alignment(spark, sf))
