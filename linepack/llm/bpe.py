@@ -18,7 +18,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,9 @@ NO_RANK = 1 << 60
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS = frozenset(".,!?;:")
 _SPACE = regex.compile(r"\p{White_Space}+")
+#: Characters outside the ranges in which normal form, lower case and split agree with the library in any order: other
+#: marks, and letters that only one of the two Unicode tables knows. A text that holds one is split by the library itself.
+_UNTESTED = re.compile("[^\0-\u0482\u048a-\u052f\u0531-\u0556\u0561-\u0586\u05d0-\u05ea\u1e00-\u1f15\u2000-\u206f\u20a0-\u20bf\u2100-\u218b\u2190-\u23ff\u2500-\u2bff\u3000-\u3029\u3030-\u303f\u3041-\u3096\u309b-\u30ff\u3400-\u4db5\u4e00-\u9fd5\uac00-\ud7a3\ufe0e\ufe0f\uff01-\uffee\U0001f300-\U0001f9ff]")
 
 
 def byte_alphabet() -> list[str]:
@@ -67,7 +70,8 @@ class WordBpe:
         self.pieces = regex.compile(split).findall
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.token = [tokens[i].encode() for i in range(len(tokens))]
-        self.known: dict[str, bytes] = {}
+        self.path, self.bytes_of = path, {c: b for b, c in enumerate(letters)}
+        self.known: dict[str | tuple[str], bytes] = {}
 
     def _hash(self, keys: np.ndarray, bits: int = 19) -> None:
         """An open-addressed table of the pairs: slots of keys and of ranks, and the longest probe."""
@@ -178,13 +182,14 @@ class WordBpe:
                 push(before[i], i)
         return [p for p, on in zip(parts, live, strict=True) if on]
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of normalised words between white space into ``known``."""
+    def learn(self, words: set[str | tuple[str]]) -> None:
+        """Put the ids of normalised words between white space, and of pieces that the library split off, into ``known``."""
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         known, marks = self.known, _MARKS
-        plain, marked, other, wanted = [], [], {}, set()
-        for w in words:
+        split = [w for w in words if isinstance(w, tuple)]
+        plain, marked, other, wanted = [], [], {}, {p for (p,) in split}
+        for w in words.difference(split):
             if w.isalpha():
                 plain.append(w)
             elif w[-1] in marks and w[:-1].isalpha():
@@ -197,6 +202,7 @@ class WordBpe:
         known.update(zip(plain, map(ids.__getitem__, plain)))
         known.update([(w, (ids.get(w[:-1]) or known[w[:-1]]) + ids[w[-1]]) for w in marked])
         known.update([(w, b"".join([ids[p] for p in x])) for w, x in other.items()])
+        known.update([(w, ids[w[0]]) for w in split])
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -205,6 +211,19 @@ class WordBpe:
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
         return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def split(self, text: str) -> list[str | tuple[str]]:
+        """``words``, or the pieces that the library makes of a text with characters that are not tested."""
+        if text.isascii() or not _UNTESTED.search(text):
+            return self.words(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [(bytes(map(self.bytes_of.__getitem__, p)).decode(),) for p, _ in found]
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes, some ``STEP`` characters at a time."""
         at = 0
@@ -213,7 +232,7 @@ class WordBpe:
             while at < len(texts) and size < STEP:
                 text = texts[at]
                 parts = self.special_split.split(text) if "<|" in text else [text]
-                held.append([self.words(x) if not k & 1 else self.special[x] for k, x in enumerate(parts)])
+                held.append([self.split(x) if not k & 1 else self.special[x] for k, x in enumerate(parts)])
                 size, at = size + len(text), at + 1
             wanted = set().union(*(p for parts in held for p in parts if isinstance(p, list)))
             if new := wanted.difference(self.known):
