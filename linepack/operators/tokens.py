@@ -1,4 +1,4 @@
-"""Byte-pair vocabularies at corpus scale: word counts, merges, ids, encoding, reports."""
+"""Byte-pair vocabularies at corpus scale: word counts, ids, encoding, reports; ``merges`` learns them."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from .merges import Merge, train_bpe  # noqa: F401
 
 #: Fixed value: the split pattern; ``(?U)`` gives Java the Unicode meaning of white space.
 PATTERN = r"(?U)'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
@@ -26,108 +26,6 @@ def word_counts(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of (n, s) rows, the rows' sizes, and whether a place and its next one are in one row."""
-    flat, sizes = batch.column(1).flatten().to_numpy().astype(np.int64), pc.list_value_length(batch.column(1)).to_numpy()
-    inside = np.ones(len(flat), bool)
-    inside[np.cumsum(sizes) - 1] = False
-    return flat, sizes, inside
-
-
-def _keys(flat: np.ndarray) -> np.ndarray:
-    return flat << 32 | np.append(flat[1:], 0)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(l, r, n) of adjacent symbols, summed within a batch; rows hold two symbols or more."""
-    for batch in batches:
-        flat, sizes, inside = _flat(batch)
-        keys, at = np.unique(_keys(flat)[inside], return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
-        np.add.at(n, at, np.repeat(batch.column(0).to_numpy(), sizes)[inside])
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
-
-
-def _rewrite(merges: list[tuple[int, int, int]]):
-    """Apply merges left to right at once; no symbol begins one of them and ends another."""
-    table = sorted((a << 32 | b, new) for a, b, new in merges)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, made = (np.array(x, np.int64) for x in zip(*table))  # noqa: B905
-        for batch in batches:
-            flat, sizes, inside = _flat(batch)
-            keys = _keys(flat)
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hits = np.flatnonzero(inside & (known[at] == keys))
-            begins = np.append(True, np.diff(hits) != 1)[: len(hits)]  # hits overlap in runs of one symbol only: every second counts
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(hits)), 0))
-            hits = hits[(np.arange(len(hits)) - first) % 2 == 0]
-            flat[hits] = made[at[hits]]
-            stay = np.ones(len(flat), bool)
-            stay[hits + 1] = False
-            sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hits], minlength=len(sizes))
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), flat[stay].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["n", "s"]).filter(pa.array(sizes > 1))
-
-    return run
-
-
-def train_bpe(words: DataFrame, n_merges: int, candidates: int = 64, cut_every: int = 10) -> list[tuple[int, int, int]]:
-    """The merges (left, right, new id from 256 on) of the most frequent pairs, ties to the smaller pair, in order.
-
-    Works on the distinct words (word, n). A round takes the top pair and then the next ones in order while none begins
-    with a symbol that a taken one ends with, or the other way round (only such pairs lose places to it), and each is
-    more frequent than any pair the taken merges can create; the result equals one merge at a time. A run of one symbol
-    gives at most half as many new pairs as it had. The driver sees the top pairs and two maxima a symbol.
-    """
-    spark = words.sparkSession
-    symbols = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.encode("word", "utf-8"), i, F.lit(1))), 16, 10).cast("int"))
-    state = words.where(F.octet_length("word") > 1).select(F.col("n").cast("bigint").alias("n"), symbols.alias("s")).persist()
-    merges: list[tuple[int, int, int]] = []
-    rounds, last = 0, None
-    while len(merges) < n_merges:
-        pairs = state.mapInArrow(_count, "l int, r int, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")).cache()
-        # one job a round: the top pairs and, for each symbol, its most frequent pair on either side
-        kinds = [F.lit(None).cast("int").alias("at"), F.lit("t").alias("kind")]
-        found = pairs.orderBy(F.desc("n"), "l", "r").limit(candidates).select("l", "r", "n", *kinds)
-        for side in ("l", "r"):
-            most = pairs.where("l <> r").groupBy(F.col(side).alias("at")).agg(F.max("n").alias("n"))
-            found = found.unionByName(most.select("at", "n", F.lit(side).alias("kind")), allowMissingColumns=True)
-        found = found.unionByName(pairs.where("l = r").select(F.col("l").alias("at"), "n", F.lit("own").alias("kind")), allowMissingColumns=True)
-        rows = found.collect()
-        pairs.unpersist()
-        if last is not None:  # the state has been filled from it by now
-            last.unpersist()
-        top = sorted((r for r in rows if r["kind"] == "t"), key=lambda r: (-r["n"], r["l"], r["r"]))
-        if not top:
-            break
-        after, before, own = ({r["at"]: r["n"] for r in rows if r["kind"] == kind} for kind in ("l", "r", "own"))
-        taken, lefts, rights, bound = [], set(), set(), 0
-        for r in top:
-            a, b, n = r["l"], r["r"], r["n"]
-            if taken and (a in rights or b in lefts or n <= bound):
-                break
-            taken.append((a, b, 256 + len(merges) + len(taken)))
-            lefts.add(a)
-            rights.add(b)
-            new = max(after.get(b, 0), before.get(a, 0), n // 2 if a == b else max(own.get(a, 0), own.get(b, 0)))
-            bound = max(bound, min(n, new))
-            if len(merges) + len(taken) == n_merges:
-                break
-        merges += taken
-        rounds += 1
-        last, state = state, state.mapInArrow(_rewrite(taken), "n bigint, s array<int>")
-        if (rounds - 1) % cut_every == 0:
-            if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(shared_path(spark, "bpe"))
-            state = state.checkpoint()
-        state = state.persist()
-    if last is not None:
-        last.unpersist()
-    state.unpersist()
-    return merges
-
-
 def build_vocab(df: DataFrame, specials: list[str]) -> DataFrame:
     """(id, token, is_special) from (rank, token): tokens keep their rank as id, specials follow in list order."""
     tokens = df.select(F.col("rank").cast("int").alias("id"), "token", F.lit(False).alias("is_special"))
@@ -161,57 +59,83 @@ def newline_class(token: Column) -> Column:
 
 
 def check_vocab(vocab: DataFrame) -> None:
-    """Raise if a token breaks lines inside, or no token is a newline alone."""
-    bad = vocab.where(~F.col("is_special") & (newline_class(F.col("token")) == "INVALID")).limit(5).collect()
+    """Raise if a token (string or bytes) breaks lines inside, or no token is a newline alone."""
+    token = F.decode("token", "ISO-8859-1") if dict(vocab.dtypes)["token"] == "binary" else F.col("token")
+    bad = vocab.where(~F.col("is_special") & (newline_class(token) == "INVALID")).limit(5).collect()
     if bad:
         raise ValueError(f"tokens with newlines inside: {[r['token'] for r in bad]}")
-    if vocab.where(newline_class(F.col("token")) == "PURE").isEmpty():
+    if vocab.where(~F.col("is_special") & (newline_class(token) == "PURE")).isEmpty():
         raise ValueError("no token is a newline alone")
 
 
-def encode(df: DataFrame, words: Column, merges: list[tuple[int, int, int]], key: str = "doc_id", first: int | None = None, backwards: bool = False) -> DataFrame:
-    """(key, ids): each text's words in ids of ``merges``; ``first`` goes before them, also when they are reversed."""
-    ranks = {(a, b): new for a, b, new in merges}
-
-    def of(word: str) -> list[int]:
-        s = list(word.encode("utf-8", "replace"))
-        while len(s) > 1 and (best := min((ranks.get(p, 1 << 30), k) for k, p in enumerate(zip(s, s[1:]))))[0] < 1 << 30:  # noqa: B905
-            pair, out, k = (s[best[1]], s[best[1] + 1]), [], 0
-            while k < len(s):
-                hit = k + 1 < len(s) and (s[k], s[k + 1]) == pair
-                out.append(best[0] if hit else s[k])
-                k += 2 if hit else 1
-            s = out
-        return s
-
+class _Encoder:
+    """Ids of words by ``merges``; a word is encoded once and remembered while there is room."""
+
+    def __init__(self, merges: list[Merge]):
+        self.ranks, self.known = {(a, b): new for a, b, new in merges}, {}
+
+    def word(self, word: str) -> np.ndarray:
+        ids, rank = list(word.encode("utf-8", "replace")), self.ranks.get
+        around = [rank(p, _NONE) for p in zip(ids, ids[1:])]  # noqa: B905
+        while around and (least := min(around)) < _NONE:
+            k = around.index(least)
+            ids[k : k + 2] = [least]
+            around[max(k - 1, 0) : k + 2] = [rank((ids[j], ids[j + 1]), _NONE) for j in range(max(k - 1, 0), min(k + 1, len(ids) - 1))]
+        return np.array(ids, np.int32)
+
+    def rows(self, words: pa.ListArray) -> pa.ListArray:
+        """The ids of each row of words: distinct words are encoded, rows gather them."""
+        coded = words.flatten().dictionary_encode()
+        if len(self.known) > 500_000:
+            self.known.clear()
+        distinct = coded.dictionary.to_pylist()
+        for w in distinct:
+            if w not in self.known:
+                self.known[w] = self.word(w)
+        parts = [self.known[w] for w in distinct]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat, first = np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum(size) - size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)), pa.array(ids))
+
+
+_NONE = 1 << 30
+
+
+def encode(df: DataFrame, words: Column, merges: list[Merge], key: str = "doc_id", first: int | None = None, backwards: bool = False) -> DataFrame:
+    """(key, ids): each text's words in ids of ``merges``; ``first`` goes before them, also when they are reversed.
+
+    The distinct words of a batch are encoded once, and documents gather their ids from them; nothing is shuffled. A null
+    text has no ids of its own.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        encoder = _Encoder(merges)
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids: list[int] = []
-                for w in text or []:
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = of(w)
-                    ids += known[w]
-                rows.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.rows(batch.column(1))], names=[key, "ids"])
 
     out = df.select(key, words.alias("w")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>")
     ids = F.reverse("ids") if backwards else F.col("ids")
     return out.select(key, (F.concat(F.array(F.lit(first)), ids) if first is not None else ids).alias("ids"))
 
 
-def vocab_bytes(merges: list[tuple[int, int, int]]) -> list[bytes]:
+def merged_vocab(spark: SparkSession, merges: list[Merge], specials: list[str]) -> DataFrame:
+    """(id, token as bytes, is_special): bytes and merges by id, specials behind them in list order."""
+    tokens = [(i, bytearray(x), False) for i, x in enumerate(vocab_bytes(merges))]
+    return spark.createDataFrame(tokens + [(len(tokens) + k, bytearray(x.encode()), True) for k, x in enumerate(specials)], "id int, token binary, is_special boolean")
+
+
+def vocab_bytes(merges: list[Merge]) -> list[bytes]:
     table = [bytes([b]) for b in range(256)]
     for a, b, _ in merges:
         table.append(table[a] + table[b])
     return table
 
 
-def decode(df: DataFrame, merges: list[tuple[int, int, int]], ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, merges: list[Merge], ids: str = "ids") -> DataFrame:
     """Add ``decoded``: the text of the ids; ids that are no token add nothing."""
     table = vocab_bytes(merges)
 

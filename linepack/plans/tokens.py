@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import word_blocks
 from ..operators import chat as H
 from ..operators import layout as L
+from ..operators import merges as M
 from ..operators import packing as E
 from ..operators import tokens as C
+from ..operators.ranks import rank_rows
 from ..schemas import SPECIALS
 from ._base import BLOCKS, documents, packer_sql, positions_sql, spread, table, word_documents
 from .chat import CHAT_BLOCKS, CHAT_IDS, chat_documents
 
-MERGES = 256
-LEAST = 20
+#: Merges that the queries learn; ``merges.train_bpe`` takes any number.
+MERGES = 1024
 #: Keys a packing shard spans: a hot source is many shards.
 SPAN = 1 << 14
 
@@ -25,14 +27,20 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary of the words that occur ``LEAST`` times or more, by count: few, as counts fall fast."""
-    kept = _words(spark, sf_dir).where(F.col("n") >= LEAST)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
+    """All words of the corpus as tokens, by count."""
+    ranked = rank_rows(_words(spark, sf_dir), F.desc("n"), "word")
     return C.build_vocab(ranked.select("rank", F.col("word").alias("token")), SPECIALS[:8])
 
 
-def _merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
-    return C.train_bpe(C.word_counts(documents(spark, sf_dir), C.pretokenize(F.col("text"))), MERGES)
+#: Merges learned in this session, by application and tables: a few thousand triples each.
+_LEARNED: dict[tuple[str, str], list[M.Merge]] = {}
+
+
+def _merges(spark: SparkSession, sf_dir: str) -> list[M.Merge]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEARNED:
+        _LEARNED[key] = M.train_bpe(C.word_counts(documents(spark, sf_dir), C.pretokenize(F.col("text"))), MERGES, protect_newlines=True)
+    return _LEARNED[key]
 
 
 def c01_pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +72,26 @@ def c07_token_bytes_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.token_bytes_stats(C.token_bytes(_vocab(spark, sf_dir)))
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[list[M.Merge], DataFrame]:
+    """The documents in ids of the learned vocabulary behind its bos."""
+    m = _merges(spark, sf_dir)
+    return m, C.encode(documents(spark, sf_dir), C.pretokenize(F.col("text")), m, first=256 + len(m))
+
+
 def c08_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.encode(documents(spark, sf_dir), C.pretokenize(F.col("text")), _merges(spark, sf_dir), first=1000).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("digest"))
+    return _encoded(spark, sf_dir)[1].select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("digest"))
 
 
 def c09_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, docs = _merges(spark, sf_dir), documents(spark, sf_dir)
-    back = C.decode(C.encode(docs, C.pretokenize(F.col("text")), m, first=1000), m)
-    return back.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", (F.col("decoded") == F.col("text")).alias("lossless"))
+    """Digests of the texts that come back."""
+    m, ids = _encoded(spark, sf_dir)
+    return C.decode(ids, m).select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("digest"), F.octet_length("decoded").alias("n_bytes"))
 
 
 def c10_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = documents(spark, sf_dir).select("doc_id", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("w"))
-    return w.select("doc_id", F.md5(F.array_join(F.concat(F.array(F.lit("<bos>")), F.reverse("w")), " ").cast("binary")).alias("digest"))
+    """Reversed documents in the vocabulary of bytes, bos first."""
+    ids = C.encode(documents(spark, sf_dir), F.array("text"), [], first=256, backwards=True)
+    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 3, "0")), " ").cast("binary")).alias("digest"))
 
 
 def _n_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +113,18 @@ def c13_newline_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c14_check_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _words(spark, sf_dir)
-    return w.agg(F.count_if(C.newline_class(F.col("word")) == "INVALID").alias("invalid"), (F.count_if(F.col("word").rlike(r"[\n\r]")) > 0).alias("has_newlines"))
+    """Classes of a vocabulary of words and ASCII characters that passes the check."""
+    letters = spark.range(1, 128).select(F.char(F.col("id")).alias("token"))
+    vocab = _words(spark, sf_dir).select(F.col("word").alias("token")).unionByName(letters).distinct().withColumn("is_special", F.lit(False))
+    C.check_vocab(vocab)
+    return vocab.groupBy(C.newline_class(F.col("token")).alias("nl_class")).agg(F.count("*").alias("tokens"), F.sum(F.octet_length("token")).alias("bytes"))
+
+
+def c14_learned_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned vocabulary, which passes the check as merges that break lines are refused."""
+    vocab = C.merged_vocab(spark, _merges(spark, sf_dir), SPECIALS)
+    C.check_vocab(vocab)
+    return vocab.select("id", F.hex("token").alias("token"), "is_special", C.newline_class(F.decode("token", "ISO-8859-1")).alias("nl_class"))
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +207,7 @@ def e08_pack_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     c01_pretokenize, c02_word_counts, c03_train_bpe, c04_build_vocab, c05_extend_vocab, c06_token_bytes, c07_token_bytes_stats, c08_encode, c09_decode, c10_reverse, c11_compression_report, c12_compare_tokenizers,
-    c13_newline_class, c14_check_vocab, e01_pack_crop, e02_pack_whole, e03_rebase_offsets, e04_shift_io, e05_drop_overflow, e06_pack_chat, e07_packing_stats, e08_pack_with_labels)}
+    c13_newline_class, c14_check_vocab, c14_learned_vocab, e01_pack_crop, e02_pack_whole, e03_rebase_offsets, e04_shift_io, e05_drop_overflow, e06_pack_chat, e07_packing_stats, e08_pack_with_labels)}
 
 _W = "with " + BLOCKS + """,
  w as (select doc_id, lang, source, words[i] || case when i = len and b < nb - 1 then chr(10) else '' end as word from (select *, unnest(range(1, len + 1)) as i from blk)),
@@ -191,7 +216,7 @@ _W = "with " + BLOCKS + """,
 
 def _vocab_sql(specials: list[str]) -> str:
     named = " union all ".join(f"select {k} as k, '{s}' as token" for k, s in enumerate(specials))
-    return _W + f""", kept as (select word as token, cast(row_number() over (order by n desc, word) - 1 as integer) as id from wc where n >= {LEAST}), sp as ({named}),
+    return _W + f""", kept as (select word as token, cast(row_number() over (order by n desc, word) - 1 as integer) as id from wc), sp as ({named}),
  vocab as (select id, token, false as is_special from kept union all select cast((select count(*) from kept) + k as integer), token, true from sp)"""
 
 
@@ -222,13 +247,14 @@ ORACLE_SQL = {
     "c05_extend_vocab": _vocab_sql(SPECIALS) + " select * from vocab",
     "c06_token_bytes": _V + " select id, cast(case when is_special then 0 else strlen(token) end as integer) as n_bytes from vocab",
     "c07_token_bytes_stats": _V + " select cast(min(strlen(token)) as integer) as min, cast(max(strlen(token)) as integer) as max, avg(strlen(token)) as mean, stddev_samp(strlen(token)) as std from vocab where not is_special and strlen(token) > 0",
-    "c09_decode": "with " + BLOCKS + " select doc_id, true as lossless from docs",
-    "c10_reverse": "with " + BLOCKS + " select doc_id, md5('<bos> ' || array_to_string(list_reverse(string_split(replace(text, chr(10), ' '), ' ')), ' ')) as digest from docs",
+    "c09_decode": "with " + BLOCKS + " select doc_id, md5(text) as digest, cast(strlen(text) as integer) as n_bytes from docs",
+    "c10_reverse": "with " + BLOCKS + """, b as (select doc_id, hex(encode(text)) as h from docs) select doc_id, cast(len(h) // 2 + 1 as integer) as n,
+        md5('100 ' || array_to_string(['0' || x for x in list_reverse(regexp_extract_all(h, '..'))], ' ')) as digest from b""",
     "c11_compression_report": _W + ", t as (select lang, count(*) as tokens from w group by lang), b as (select lang, cast(sum(strlen(text)) as bigint) as bytes from docs group by lang) select lang, bytes, tokens, bytes / tokens as bytes_per_token from t join b using (lang)",
     "c12_compare_tokenizers": _W + """, t as (select source, count(*) as o from w group by source), b as (select source, cast(sum(length(text) // 6) as bigint) as c from docs group by source)
         select source, c as base_tokens, o as our_tokens, (c - o) * 100.0::double / c as relative, case when c > o then 'ours' when c < o then 'base' else 'tie' end as winner from t join b using (source)""",
     "c13_newline_class": _W + " select case when not contains(word, chr(10)) then 'NO' when word = chr(10) then 'PURE' else 'TRAIL' end as nl_class, count(*) as tokens, cast(sum(n) as bigint) as n from wc group by 1",
-    "c14_check_vocab": _W + " select cast(0 as bigint) as invalid, count(*) filter (where contains(word, chr(10))) > 0 as has_newlines from wc",
+    "c14_check_vocab": _W + ", v as (select word from wc union select chr(cast(i as integer)) from range(1, 128) t(i)) select case when not regexp_matches(word, '[\\n\\r]') then 'NO' when regexp_full_match(word, '[\\n\\r]+') then 'PURE' else 'TRAIL' end as nl_class, count(*) as tokens, cast(sum(strlen(word)) as bigint) as bytes from v group by 1",
     "e01_pack_crop": _CROPPED + " select shard, cast(row as integer) as row, cast(row_number() over (partition by shard, row order by off) - 1 as integer) as part, id as doc_id, cast(off as integer) as \"offset\", cast(used as integer) as used, cast(lost as integer) as lost from packed",
     "e07_packing_stats": _CROPPED + """, r as (select shard, row, sum(used) as kept, sum(lost) as cropped from packed group by all)
         select shard, count(*) as rows, cast(sum(kept) as bigint) as kept, cast(sum(cropped) as bigint) as cropped, cast(sum(513 - kept) as bigint) as padded, sum(kept) / (count(*) * 513) as utilization, cast(0 as bigint) as dropped from r group by shard""",

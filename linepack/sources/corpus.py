@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import strip_leading_newlines
+from ..operators.ranks import rank_rows
+from . import published
+from .shared import shared_path
 
 
 @dataclass(frozen=True)
@@ -82,17 +85,42 @@ def cap_chars(df: DataFrame, most: int = 10_000, col: str = "text") -> DataFrame
 def take_budget(df: DataFrame, size: Column, budget: int, shard: str, order: str, inclusive: bool = True) -> DataFrame:
     """Rows in (shard, order) while the running size is within the budget.
 
-    ``inclusive`` keeps the row that crosses the budget (exclusive prefix <= budget), else the prefix must be below it.
-    Running sums are per shard, on top of the sums of the shards before it (one row a shard), never over all rows.
+    ``inclusive`` keeps the row that crosses the budget (exclusive prefix <= budget), else the prefix must be below it. A
+    null size counts as 0. Two small passes find where it is crossed: sums of the shards give the shard, sums of ranges of
+    its rows the range. Shards before it are kept unread by a filter on ``shard``, later ones are never read again, and only
+    the one range is ordered row by row. A budget beyond all rows keeps them all.
     """
+    over = (lambda c: c > budget) if inclusive else (lambda c: c >= budget)
     sized = df.withColumn("__size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")))
-    per = sized.groupBy(shard).agg(F.sum("__size").alias("__sum"))
-    base = per.withColumn("__base", F.sum("__sum").over(Window.orderBy(shard)) - F.col("__sum")).drop("__sum")
-    inside = Window.partitionBy(shard).orderBy(order)
-    cum = F.col("__base") + F.sum("__size").over(inside) - F.col("__size")
-    out = sized.join(base, shard).withColumn("__before", cum)
-    keep = F.col("__before") <= budget if inclusive else F.col("__before") < budget
-    return out.where(keep).drop("__size", "__base", "__before")
+    crossing = _crossing(sized.groupBy(shard).agg(F.sum("__size").alias("__sum")), shard, over)
+    if crossing is None:
+        return df
+    at, base = crossing
+    before = sized.where(F.col(shard) < at)
+    own = sized.where(F.col(shard) == at)
+    placed = _checkpointed(own.orderBy(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    inside = _crossing(placed.groupBy(part.alias("__part")).agg(F.sum("__size").alias("__sum")), "__part", lambda c: over(c + base))
+    if inside is None:
+        return before.unionByName(placed.drop("__at")).drop("__size")
+    range_, more = inside
+    cum = F.sum("__size").over(Window.partitionBy(part).orderBy("__at")) - F.col("__size") + base + more
+    last = placed.where(part == range_).withColumn("__before", cum).where(~over(F.col("__before"))).drop("__before")
+    return before.unionByName(placed.where(part < range_).unionByName(last).drop("__at")).drop("__size")
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "budget"))
+    return df.checkpoint()
+
+
+def _crossing(sums: DataFrame, key: str, over) -> tuple[object, int] | None:
+    """The first ``key`` in order with whose rows the running sum is ``over`` the budget, and the sum before it; one row."""
+    total = F.sum("__sum").over(Window.orderBy(key))  # a row a shard or range
+    first = sums.withColumn("__total", total).where(over(F.col("__total"))).agg(F.min(F.struct(key, (F.col("__total") - F.col("__sum")).alias("b"))).alias("m")).first()["m"]
+    return None if first is None else (first[key], first["b"])
 
 
 def whole_steps(tokens: int, batch: int, length: int, workers: int) -> int:
@@ -101,8 +129,12 @@ def whole_steps(tokens: int, batch: int, length: int, workers: int) -> int:
 
 
 def round_budget(rows: DataFrame, order: str, tokens: int, batch: int, length: int, workers: int = 1) -> DataFrame:
-    """The packed rows of the whole steps within a token budget."""
-    return rows.orderBy(order).limit(whole_steps(tokens, batch, length, workers) * batch * workers)
+    """The packed rows of the whole steps within a token budget: the first so many by ``order``, which is unique.
+
+    Sums over ranges of the order tell how far the budget reaches; no task holds more than one range.
+    """
+    most = whole_steps(tokens, batch, length, workers) * batch * workers
+    return rank_rows(rows, order).where(F.col("rank") < most).drop("rank")
 
 
 def modified_stats(old: Column, new: Column) -> list[Column]:
@@ -112,15 +144,20 @@ def modified_stats(old: Column, new: Column) -> list[Column]:
 
 
 def rewrite_shards(spark: SparkSession, df: DataFrame, shard: str, out: str, fn: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """Write ``fn`` of every shard that ``out`` lacks, a folder a shard; returns (shard, docs, modified, ratio) of those.
+    """Publish ``fn`` of every shard that ``out`` lacks; returns (shard, docs, modified, ratio) of those.
 
-    Shards already there are skipped, a shard appears whole or not at all, and a second call writes nothing.
+    ``fn`` works row by row and carries other columns along. Shards that the manifest of ``out`` names are skipped by a join,
+    so a second call writes nothing; a call that is killed publishes nothing (``published``). Rows are counted from what was
+    written: each says whether its text changed (column ``modified``). Large shards are dealt out over several tasks and
+    small ones share them. ``published.read_published`` reads the result.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(path) if s.isDirectory() and "=" in s.getPath().getName()] if fs.exists(path) else []
-    todo = df.where(~F.col(shard).isin(done)) if done else df
-    fresh = fn(todo)
-    fresh.repartition(shard).write.partitionBy(shard).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
-    new = spark.read.parquet(out).select(F.col(key), F.col("text").alias("__new"))
-    return todo.join(new, key).groupBy(shard).agg(*modified_stats(F.col("text"), F.col("__new")))
+    done = published.committed(spark, out).select(F.col("part").alias("__part")).distinct()
+    todo = df.join(done, F.col(shard).cast("string").eqNullSafe(F.col("__part")), "left_anti").withColumn("__old", F.sha2("text", 256))
+    fresh = fn(todo).withColumn("modified", ~F.sha2("text", 256).eqNullSafe(F.col("__old"))).drop("__old")
+    folder = published.new_folder()
+    fresh.hint("rebalance", shard).write.parquet(f"{out}/{folder}")
+    written = spark.read.schema(fresh.schema).parquet(f"{out}/{folder}")
+    counts = written.groupBy(F.col(shard).cast("string").alias("part")).agg(F.count("*").alias("docs"), F.count_if("modified").alias("modified"))
+    published.commit(counts.withColumn("folder", F.lit(folder)), out)
+    mine = published.committed(spark, out).where(F.col("folder") == folder)
+    return mine.select(F.col("part").cast(df.schema[shard].dataType).alias(shard), "docs", "modified", (F.col("modified") / F.greatest("docs", F.lit(1))).alias("ratio"))

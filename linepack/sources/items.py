@@ -51,20 +51,28 @@ def subsample(df: DataFrame, task: str, item: str, most: int, seed: int = 1337)
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
-def score_lines(scores: DataFrame, total_label: str = "CORE") -> DataFrame:
-    """(ord, task, accuracy, centered): one line a task in name order and one for their mean."""
+def score_lines(scores: DataFrame, expected: int | None = None) -> DataFrame:
+    """(ord, task, accuracy, centered): one line a task in name order and one for their mean.
+
+    That one is ``CORE``, or ``CORE_PARTIAL`` where there are fewer tasks with a score than ``expected``.
+    """
     detail = scores.select(F.lit(0).alias("ord"), "task", "accuracy", "centered")
-    total = scores.agg(F.avg("centered").alias("centered")).select(F.lit(1).alias("ord"), F.lit(total_label).alias("task"), F.lit(None).cast("double").alias("accuracy"), "centered")
+    label = F.when(F.count("centered") < (expected or 0), "CORE_PARTIAL").otherwise("CORE")
+    total = scores.agg(F.avg("centered").alias("centered"), label.alias("task")).select(F.lit(1).alias("ord"), "task", F.lit(None).cast("double").alias("accuracy"), "centered")
     return detail.unionByName(total)
 
 
-def write_scores(scores: DataFrame, root: str, run: str, variant: str = "", total_label: str = "CORE") -> str:
+def write_scores(scores: DataFrame, root: str, run: str, variant: str = "", expected: int | None = None) -> str:
     """Write the score lines as one CSV file under a folder named after the run, so runs never overwrite each other."""
     path = f"{root}/{run}{'_' + variant if variant else ''}"
-    score_lines(scores, total_label).orderBy("ord", "task").drop("ord").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    score_lines(scores, expected).orderBy("ord", "task").drop("ord").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema("task string, accuracy double, centered double").csv(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
