@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import one_line
 
 
-def fewshot(items: DataFrame, task: str, item: str, k: int, seed: int = 1234) -> DataFrame:
+def fewshot(items: DataFrame, task: str, item: str, k: int, seed: int = 1234, pool: str | None = None) -> DataFrame:
     """(task, item, j, shot): ``k`` other items of the task for each item, without repeats; none where the pool is too small.
 
-    Items are numbered within their task; item i takes the numbers of a walk a j + b modulo the number of others, with a
-    prime to it, both drawn by hash, and skips itself. Then it is one join on the number, never all pairs.
+    The pool is all items of the task, or those where the boolean column ``pool`` is true; items outside it get shots too. The
+    pool is numbered within its task; an item takes the numbers of a walk a j + b modulo the number of others, with a prime
+    to it, both drawn by hash, and skips itself if the pool holds it. Then it is one join on the number, never all pairs.
     """
-    numbered = items.select(task, item, (F.row_number().over(Window.partitionBy(task).orderBy(item)) - 1).alias("__r"))
-    size = numbered.groupBy(task).agg((F.count("*") - 1).alias("__m"))
-    drawn = numbered.join(size, task).where(F.col("__m") >= k)
+    inside = F.coalesce(F.col(pool), F.lit(False)) if pool else F.lit(True)
+    every = items.select(task, item, inside.alias("__in"))
+    numbered = every.withColumn("__r", F.count_if("__in").over(Window.partitionBy(task).orderBy(item).rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    size = numbered.groupBy(task).agg(F.count_if("__in").alias("__p"))
+    drawn = numbered.join(size, task).withColumn("__m", F.col("__p") - F.col("__in").cast("int")).where((F.col("__m") >= k) & (F.col("__m") > 0))
     def h(salt: str) -> Column:  # 60 bits of a digest, so that any engine draws the same
         digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col(item).cast("string")).cast("binary"))
         return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.col("__m"))
@@ -26,11 +29,11 @@ def fewshot(items: DataFrame, task: str, item: str, k: int, seed: int = 1234) ->
     gcd = lambda a: F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(a.alias("x"), F.col("__m").alias("y")), lambda t, _: F.struct(F.when(t["x"] == 0, F.lit(0).cast("bigint")).otherwise(F.pmod(t["y"], t["x"])).alias("x"), F.when(t["x"] == 0, t["y"]).otherwise(t["x"]).alias("y")), lambda t: t["y"])
     steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(h("a") + i, F.col("__m")))
     drawn = drawn.withColumn("__a", F.coalesce(F.get(F.filter(steps, lambda a: (a > 0) & (gcd(a) == 1)), F.lit(0)), F.lit(1)))
-    each = drawn.select(task, item, "__r", "__m", "__a", "__b", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+    each = drawn.select(task, item, "__r", "__in", "__m", "__a", "__b", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
     other = F.pmod(F.col("__a") * F.col("j") + F.col("__b"), F.col("__m"))
-    each = each.select(task, item, "j", (other + F.when(other >= F.col("__r"), 1).otherwise(0)).alias("__other"))
-    pool = numbered.select(task, F.col("__r").alias("__other"), F.col(item).alias("shot"))
-    return each.join(pool, [task, "__other"]).select(task, item, "j", "shot")
+    each = each.select(task, item, "j", (other + F.when(F.col("__in") & (other >= F.col("__r")), 1).otherwise(0)).alias("__other"))
+    members = numbered.where("__in").select(task, F.col("__r").alias("__other"), F.col(item).alias("shot"))
+    return each.join(members, [task, "__other"]).select(task, item, "j", "shot")
 
 
 def gather_shots(picked: DataFrame, items: DataFrame, task: str, item: str, fields: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import token_id, word_blocks
 from ..operators import layout
 from ..sources.corpus import prepare_docs
+from ..sources.shared import shared_path
 
 WARM = 16
 #: Bytes of a full split.
@@ -30,6 +31,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a join plans with its measured size, and broadcasts it while small."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_docs(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")))
 

@@ -117,7 +117,7 @@ def a12_read_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a13_select_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count("*").cast("int").alias("num_fewshot"))
-    wanted = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("src"), (F.col("doc_id") % 25).cast("string")).alias("label")).distinct()
+    wanted = table(spark, sf_dir, "documents").select(F.concat(F.lit("src"), (F.col("n_chars") % 25).cast("string")).alias("label")).distinct()
     own = tasks.where("label < 'src2'").select("label", F.lit(5).alias("num_fewshot"))
     chosen, missing = I.select_tasks(tasks, wanted, own, 10)
     return chosen.select("label", "num_fewshot", F.lit(False).alias("missing")).unionByName(missing.select("label", F.lit(None).cast("int").alias("num_fewshot"), F.lit(True).alias("missing")))
@@ -185,7 +185,7 @@ def _story(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Story prompts from the benchmark's words: a story, two earlier questions, a final one."""
     w = F.split(F.regexp_replace("text", "\\s+", " "), " ")
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
-    text = F.concat(F.lit(T.STORY + "\n\nStory:\n"), part(1, 8), F.lit("\n\nPreceding questions:\nQuestion: "), part(9, 3), F.lit("\nAnswer: "), part(12, 1), F.lit("\nQuestion: "), part(13, 2), F.lit("\nAnswer: "), part(15, 1), F.lit("\n\nFinal question:\nQuestion: "), part(16, 3), F.lit("\nAnswer: "))
+    text = F.concat(F.lit(T.STORY + "\n\nStory:\n"), part(1, 8), F.lit("\n\nPreceding questions:\nQuestion: "), part(9, 3), F.lit("\nAnswer: "), part(12, 1), F.lit("\nQuestion: "), part(13, 2), F.lit("\nAnswer: "), part(15, 1), F.lit("\n\nFinal question:\nQuestion: "), F.array_join(F.slice(w, F.lit(16), F.greatest(F.size(w), F.lit(1))), " "), F.lit("\nAnswer: "))
     return table(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
 
 
@@ -219,10 +219,10 @@ _PART = "array_to_string(w[{a}:{b}], ' ')"
 
 def _prompt(old: bool) -> str:
     p = lambda a, n: _PART.format(a=a, b=a + n - 1)
-    nl = " || chr(10) || "
+    nl, rest = " || chr(10) || ", "array_to_string(w[16:], ' ')"
     if old:  # the history on single lines
-        return f"'{T.STORY}' || chr(10)" + nl + f"'Story:'{nl}{p(1, 8)}{nl}chr(10) || 'Preceding questions:'{nl}'Question: ' || {p(9, 3)} || ' Answer: ' || {p(12, 1)}{nl}'Question: ' || {p(13, 2)} || ' Answer: ' || {p(15, 1)}{nl}chr(10) || 'Final question: Question: ' || {p(16, 3)} || ' Answer: '"
-    return f"'{T.STORY_ALONE}' || chr(10)" + nl + f"'Story:'{nl}{p(1, 8)}{nl}chr(10) || 'Question: ' || {p(16, 3)}{nl}'Answer: '"
+        return f"'{T.STORY}' || chr(10)" + nl + f"'Story:'{nl}{p(1, 8)}{nl}chr(10) || 'Preceding questions:'{nl}'Question: ' || {p(9, 3)} || ' Answer: ' || {p(12, 1)}{nl}'Question: ' || {p(13, 2)} || ' Answer: ' || {p(15, 1)}{nl}chr(10) || 'Final question: Question: ' || {rest} || ' Answer: '"
+    return f"'{T.STORY_ALONE}' || chr(10)" + nl + f"'Story:'{nl}{p(1, 8)}{nl}chr(10) || 'Question: ' || {rest}{nl}'Answer: '"
 
 
 ORACLE_SQL = {
@@ -244,7 +244,7 @@ ORACLE_SQL = {
         select cast(part as integer) as part, i + blank as line, text as query, 'yes/no' as choices, cast(item_id % 2 as integer) as gold from n""",
     "a12_read_baselines": "select source as label, cast(min(doc_id) % 50 / 2 as double) as random_baseline from documents group by source",
     "a14_subsample": "select doc_id, source from documents qualify row_number() over (partition by source order by md5('1337:' || doc_id), doc_id) <= 20",
-    "a13_select_tasks": """with t as (select source as label, count(*) as n from documents group by source), w as (select distinct 'src' || (doc_id % 25) as label from documents where doc_id % 3 = 0)
+    "a13_select_tasks": """with t as (select source as label, count(*) as n from documents group by source), w as (select distinct 'src' || (n_chars % 25) as label from documents)
         select label, cast(case when t.n is null then null when label < 'src2' then 5 else 10 end as integer) as num_fewshot, t.n is null as missing from w left join t using (label)""",
     "a10_rewritten_text": "select source, doc_id, md5(replace(text, '.' || chr(10), chr(10))) as digest, contains(text, '.' || chr(10)) as modified from documents",
     "a15_score_lines": f"with {_SCORES}, c as (select task, accuracy, (accuracy - 0.25::double) / 0.75::double as centered from s) select task, accuracy, centered from c union all select case when count(*) < 22 then 'CORE_PARTIAL' else 'CORE' end, null, avg(centered) from c",
@@ -259,5 +259,5 @@ ORACLE_SQL = {
     "b08_joined_history": f"with {_W} select item_id, {_prompt(True)} as prompt from w",
     "b09_without_history": f"with {_W} select item_id, {_prompt(False)} as prompt from w",
     "b10_final_pair": r"select item_id, regexp_replace(text, '\s+', ' ', 'g') || chr(10) || 'Question: who ' || item_id || ' Answer:' as prompt from benchmark",
-    "b11_final_question": f"with {_W} select item_id, {_PART.format(a=16, b=18)} as question, cast(2 as integer) as turns from w",
+    "b11_final_question": f"with {_W} select item_id, array_to_string(w[16:], ' ') as question, cast(2 as integer) as turns from w",
 }

@@ -14,9 +14,9 @@ from ..operators import layout as L
 from ..operators import logs as O
 from ..operators import metrics as G
 from ..operators import prompts as P
-from ._base import positions_sql, table, tid, token_positions
+from ._base import positions_sql, stored, table, tid, token_positions
 from .chat import CHAT_BLOCKS, CHAT_IDS, MARKS, NEWLINE, chat_documents
-from .layout import _BUCKET, _POS, _STREAM, _stream
+from .layout import _BUCKET, _POS, _STREAM, WAVE_STREAM, _stream, _wave_stream, waves
 
 IDS = {k: i for i, k in enumerate(H.MARKS)}
 
@@ -144,15 +144,24 @@ def f14_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.consumption(_turns(spark, sf_dir).select("conv_id", "turn"), "conv_id", 37, 4)
 
 
-def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir)
-    counts = s.where("target_bytes > 0").groupBy("target").agg(F.count("*").alias("c"))
+def _with_losses(stream: DataFrame) -> DataFrame:
+    """Add nats: the unigram surprisal of the target, 0.5 for one without bytes. The words' counts are written once and read with their size known."""
+    counts = stream.where("target_bytes > 0").groupBy("target").agg(F.count("*").alias("c"))
+    counts = stored(counts, "counts")
     total = counts.agg(F.sum("c").alias("t"))
-    return s.join(counts.crossJoin(F.broadcast(total)), "target", "left").withColumn("nats", F.coalesce(-F.log(F.col("c") / F.col("t")), F.lit(0.5))).drop("c", "t")  # ``total`` is one row
+    nats = stored(counts.crossJoin(F.broadcast(total)).select("target", (-F.log(F.col("c") / F.col("t"))).alias("nats")), "nats")  # ``total`` is one row
+    return stream.join(nats, "target", "left").withColumn("nats", F.coalesce("nats", F.lit(0.5)))
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_losses(_stream(spark, sf_dir))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.plain_slice_labels(_losses(spark, sf_dir), "doc_id", 1)
+    """Slice labels of the stream, from the target's place in its line."""
+    at = F.col("line_at")
+    depth = F.when(at.isNull(), -1).otherwise(L.depth_bucket(at + 1))
+    return _losses(spark, sf_dir).withColumn("depth_in_line", depth).withColumn("line_start", F.coalesce((at == 0).cast("int"), F.lit(0)))
 
 
 def g01_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +173,7 @@ def g02_bpb_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g03_bpb_per_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bpb_per_k(L.carry_wave(_losses(spark, sf_dir), "doc_id", 1, F.when(F.col("token") % 50 == 7, F.col("token") % 16 + 1)), "wave")
+    return G.bpb_per_k(waves(_with_losses(_wave_stream(spark, sf_dir))), "wave")
 
 
 def g04_slice_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +189,17 @@ def g05_position_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve(spark, sf_dir)
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of the layout's content targets, with their place in the source and in the row; a word's size is its loss's share."""
+    pos = token_positions(spark, sf_dir, more=("source_index", "target_row")).where("source_index >= 0")
+    return _with_losses(pos.select("doc_id", "target", F.lit(1).alias("target_bytes"), "source_index", "target_row"))
+
+
+def g05_position_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two curves of the same losses: by place in the text and by place in the laid-out row."""
+    return G.position_curves(_orders(spark, sf_dir), {"source": "source_index", "row": "target_row"})
+
+
 def g06_smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.smooth_curve(_curve(spark, sf_dir), 8)
 
@@ -194,11 +214,12 @@ def g07_curve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items from the texts' words: a query, two choices, the right one."""
+    """Benchmark items from all words of the texts: a query, two choices of the last five words, the right one."""
     w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    n, least = F.size(w), lambda x: F.greatest(x, F.lit(1))
+    part = lambda a, k: F.array_join(F.slice(w, a, k), " ")
     gold = (F.col("item_id") % 2).cast("int")
-    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("task"), F.col("item_id").alias("item"), part(1, 6).alias("query"), F.array(part(7, 3), part(10, 2)).alias("choices"), gold.alias("gold"))
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("task"), F.col("item_id").alias("item"), part(F.lit(1), least(n - 5)).alias("query"), F.array(part(least(n - 4), F.lit(3)), part(least(n - 1), F.lit(2))).alias("choices"), gold.alias("gold"))
     return rows.withColumn("answer", F.get("choices", "gold"))
 
 
@@ -206,6 +227,12 @@ def g08_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fewshot(_items(spark, sf_dir), "task", "item", 5)
 
 
+def g08_fewshot_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots from items of one line only, for all items."""
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("task"), F.col("item_id").alias("item"), (~F.col("text").contains("\n")).alias("one_line"))
+    return P.fewshot(items, "task", "item", 3, pool="one_line")
+
+
 def g09_render_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _items(spark, sf_dir)
     shots = P.gather_shots(P.fewshot(i, "task", "item", 3), i, "task", "item", ["query", "answer"])
@@ -273,8 +300,8 @@ def g19_score_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g20_score_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir)
-    spans = s.groupBy(F.col("doc_id").alias("item")).agg(F.lit(3).alias("start"), F.least(F.max("pos"), F.lit(8)).alias("end"))
-    return G.score_exact(spans, s.select(F.col("doc_id").alias("item"), "pos", F.when(F.col("token") % 7 > 0, F.col("target")).otherwise(0).alias("predicted"), F.col("target").alias("actual")))
+    spans = s.groupBy(F.col("doc_id").alias("item")).agg(F.lit(1).alias("start"), (F.max("pos") + 2).alias("end"))
+    return G.score_exact(spans, s.select(F.col("doc_id").alias("item"), "pos", F.when(F.col("token") % 997 > 0, F.col("target")).otherwise(0).alias("predicted"), F.col("target").alias("actual")))
 
 
 def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +375,7 @@ _CURVE = _LOSS + """, raw as (select cast(pos as integer) as pos, sum(nats) as n
  curve as (select cast(p as integer) as pos, coalesce(nats, 0) as nats, coalesce(n_tokens, 0) as n_tokens, coalesce(total_bytes, 0) as total_bytes from (select unnest(range(0, (select max(pos) + 1 from raw))) as p) left join raw on p = pos),
  sm as (select pos, sum(nats) over w / (0.6931471805599453 * sum(total_bytes) over w) as bpb, sum(nats) over w / sum(n_tokens) over w as ce, exp(sum(nats) over w / sum(n_tokens) over w) as ppl from curve window w as (order by pos range between 8 preceding and 8 following))"""
 _ITEM = r"""with w as (select item_id % 4 as task, item_id as item, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') as w from benchmark),
- it as (select task, item, array_to_string(w[1:6], ' ') as query, [array_to_string(w[7:9], ' '), array_to_string(w[10:11], ' ')] as choices, item % 2 as gold from w), ch as (select *, cast(unnest([0, 1]) as integer) as choice from it)"""
+ it as (select task, item, array_to_string(w[1:greatest(len(w) - 5, 1)], ' ') as query, [array_to_string(w[greatest(len(w) - 4, 1):greatest(len(w) - 4, 1) + 2], ' '), array_to_string(w[greatest(len(w) - 1, 1):greatest(len(w) - 1, 1) + 1], ' ')] as choices, item % 2 as gold from w), ch as (select *, cast(unnest([0, 1]) as integer) as choice from it)"""
 _SYS = """t0 as (select *, row_number() over w as n, lag(role) over w as pr, lag(text) over w as pt, lead(role) over w as nx from conversations window w as (partition by conv_id order by turn)),
  t as (select conv_id, turn, role, case when n = 2 and pr = 'system' and role = 'user' then pt || chr(10) || chr(10) || text else text end as text from t0 where not (n = 1 and role = 'system' and coalesce(nx, '') = 'user'))"""
 _GOOD = f"with {_SYS}, og as (select *, row_number() over (partition by conv_id order by turn) as i from t), good as (select conv_id from og group by conv_id having bool_and(text is not null and role = case when i % 2 = 1 then 'user' else 'assistant' end))"
@@ -365,12 +392,12 @@ _CONTENT = f"""with {_SYS}, o as (select *, row_number() over (partition by conv
  r as (select conv_id, arg_min(bad, i) filter (where bad is not null) as reason from j group by conv_id)"""
 
 
-def _fewshot_sql(k: int) -> str:
+def _fewshot_sql(k: int, pool: str = "true") -> str:
     draw = lambda salt: f"(cast('0x' || substr(md5('1234:{salt}:' || item), 1, 15) as bigint) % m)"
-    return _ITEM + f""", num as (select task, item, row_number() over (partition by task order by item) - 1 as r, count(*) over (partition by task) - 1 as m from it),
+    return _ITEM + f""", inp as (select *, {pool} as ok from it), num as (select task, item, ok, count(*) filter (where ok) over (partition by task order by item) - 1 as r, count(*) filter (where ok) over (partition by task) - cast(ok as integer) as m from inp),
  drawn as (select *, {draw('b')} as b, coalesce(list_filter(list_transform(range(0, 8), lambda i: ({draw('a')} + i) % m), lambda a: a > 0 and gcd(a, m) = 1)[1], 1) as a from num where m >= {k}),
- walk as (select task, item, r, cast(j as integer) as j, (a * j + b) % m as o from (select *, unnest(range(0, {k})) as j from drawn)),
- few as (select w.task, w.item, w.j, n.item as shot from walk w join num n on n.task = w.task and n.r = w.o + cast(w.o >= w.r as integer))"""
+ walk as (select task, item, r, ok, cast(j as integer) as j, (a * j + b) % m as o from (select *, unnest(range(0, {k})) as j from drawn)),
+ few as (select w.task, w.item, w.j, n.item as shot from walk w join num n on n.ok and n.task = w.task and n.r = w.o + cast(w.ok and w.o >= w.r as integer))"""
 
 
 ORACLE_SQL = {
@@ -403,12 +430,20 @@ ORACLE_SQL = {
     "f14_consumption": "select conv_id, turn, cast(conv_id % 4 as integer) as worker, conv_id // 37 + 1 as epoch, (conv_id % 37 + 1) / 37 as progress from conversations",
     "g01_bpb": _LOSS + f" select doc_id % 8 as part, {_M}, avg(nats) as ce_all, {_N} from loss group by 1",
     "g02_bpb_sliced": _LABEL + " select * from sl",
-    "g03_bpb_per_k": _LOSS + f", m as (select *, coalesce(last_value(case when token = 1 then 1 when token % 50 = 7 then token % 16 + 1 end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row), 1) as wave from loss where true), r as (select coalesce(wave, 0) as wave, {_M}, {_N} from m where target_bytes > 0 group by rollup(wave)) select *, exp(ce_per_token) as ppl from r",
+    "g03_bpb_per_k": WAVE_STREAM + f", cc as (select target as t, count(*) as c from waves where target_bytes > 0 group by 1), m as (select w.*, -ln(c / (select sum(c) from cc)) as nats from waves w join cc on target = t where target_bytes > 0), r as (select cast(coalesce(wave, 0) as integer) as wave, {_M}, {_N} from m group by rollup(wave)) select *, exp(ce_per_token) as ppl from r",
     "g04_slice_breakdown": _LABEL + f", p as (select case when slice = 'line_start' and label = 1 then 'first_line_token' when slice = 'depth_in_line' and label = 0 then 'line_boundary' when slice = 'line_start' then 'rest_of_line' end as part, bpb, exp(ce_per_token) as ppl, n_tokens from sl) select * from p where part is not null union all select 'aggregate', bpb, exp(ce_per_token), n_tokens from (select {_M}, {_N} from loss)",
     "g05_position_curve": _CURVE + " select * from curve",
+    "g05_position_orders": _POS + """, c as (select *, local_step >= case when is_tail then 2 else 1 end as c from pos),
+        i as (select *, sum(cast(c as integer)) over (partition by doc_id order by thread, local_step) - 1 as i from c),
+        l as (select *, lead(c) over w as nc, lead(i) over w as ni, lead(row_pos) over w as nr from i window w as (partition by doc_id, thread order by local_step)),
+        x as (select target, ni, nr from l where nc), cc as (select target as t, count(*) as c from x group by 1), y as (select x.*, -ln(c / (select sum(c) from cc)) as nats from x join cc on target = t),
+        u as (select 'source' as curve, ni as pos, nats from y union all select 'row', nr, nats from y), g as (select curve, cast(pos as integer) as pos, sum(nats) as nats, count(*) as n_tokens from u group by all),
+        p as (select curve, cast(unnest(range(0, max(pos) + 1)) as integer) as pos from g group by curve)
+        select curve, pos, coalesce(nats, 0) as nats, coalesce(n_tokens, 0) as n_tokens, coalesce(n_tokens, 0) as total_bytes from p left join g using (curve, pos)""",
     "g06_smooth_curve": _CURVE + " select * from sm",
     "g07_curve_points": _CURVE + " select c.pos, nats / (0.6931471805599453 * total_bytes) as raw_bpb, n_tokens, bpb, ce, ppl from curve c join sm using (pos) where c.pos between 10 and 200",
     "g07_curve_summary": _CURVE + " select sum(nats) / (0.6931471805599453 * sum(total_bytes)) as bpb, sum(nats) / sum(n_tokens) as ce_per_token, cast(sum(n_tokens) as bigint) as n_tokens, cast(sum(total_bytes) as bigint) as total_bytes, max(pos) + 1 as positions from curve",
+    "g08_fewshot_pool": _fewshot_sql(3, "item in (select item_id from benchmark where not contains(text, chr(10)))") + " select task, item, j, shot from few",
     "g08_fewshot": _fewshot_sql(5) + " select task, item, j, shot from few",
     "g09_render_choices": _fewshot_sql(3) + """, b as (select f.item, string_agg(s.query || ' ' || s.choices[s.gold + 1] || chr(10) || chr(10), '' order by j) as shots from few f join it s on s.item = f.shot group by f.item)
         select ch.item, choice, shots || query || ' ' || choices[choice + 1] as prompt from ch join b on b.item = ch.item""",
@@ -416,16 +451,16 @@ ORACLE_SQL = {
     "g10_render_schema": _ITEM + ' select item, choice as "option", choices[choice + 1] || \' \' || query as prompt from ch',
     "g11_render_lm": _ITEM + " select item, query as without, query || ' ' || choices[gold + 1] as with_answer from it",
     "g12_one_line_layout": _ITEM + " select item, choice, query || ' Answer: ' || choices[choice + 1] as prompt from ch",
-    "g13_common_prefix": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, len(a.s) as na, len(b.s) as nb, a.s as a, b.s as b, list_reverse(a.s) as ra, list_reverse(b.s) as rb, unnest(range(1, 40)) as i from s a join s b on a.item = b.item and a.choice = 0 and b.choice = 1)
+    "g13_common_prefix": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, len(a.s) as na, len(b.s) as nb, a.s as a, b.s as b, list_reverse(a.s) as ra, list_reverse(b.s) as rb, unnest(range(1, greatest(len(a.s), len(b.s)) + 2)) as i from s a join s b on a.item = b.item and a.choice = 0 and b.choice = 1)
         select item, cast(min(case when i > na or i > nb or a[i] <> b[i] then i - 1 end) as integer) as prefix, cast(min(case when i > na or i > nb or ra[i] <> rb[i] then i - 1 end) as integer) as suffix from p group by item""",
-    "g14_spans": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, min(i - 1) filter (where coalesce(a.s[i] <> b.s[i], true)) as start from (select *, unnest(range(1, 40)) as i from s where choice = 0) a join s b on a.item = b.item and b.choice = 1 group by a.item)
+    "g14_spans": _ITEM + """, s as (select item, choice, string_split(query || ' ' || choices[choice + 1], ' ') as s from ch), p as (select a.item, min(i - 1) filter (where coalesce(a.s[i] <> b.s[i], true)) as start from (select *, unnest(range(1, len(s) + 2)) as i from s where choice = 0) a join s b on a.item = b.item and b.choice = 1 group by a.item)
         select s.item, choice, cast(start as integer) as start, cast(len(s) as integer) as "end" from s join p using (item)""",
     "g15_truncate_left": "with w as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, array_to_string(w[greatest(len(w) - 15, 1):], ' ') as kept, cast(least(len(w), 16) - 1 as integer) as start, cast(least(len(w), 16) as integer) as \"end\" from w",
     "g16_pad_to_longest": _ITEM + ", n as (select item, choice, len(string_split(query || ' ' || choices[choice + 1], ' ')) as n from ch) select item, choice, cast(max(n) over (partition by item) as integer) as n from n",
     "g17_layout_spans": _POS + ", c as (select doc_id, row_pos, thread = n_blocks - 1 as l, row_number() over (partition by doc_id order by thread desc, local_step desc) as k from pos where local_step >= case when is_tail then 2 else 1 end), s as (select doc_id, min(row_pos) as start, max(row_pos) + 1 as e, bool_and(l) as inside from c where k <= greatest(doc_id % 5, 1) group by doc_id) select doc_id, start, e as \"end\" from s where inside",
     "g18_filter_multiline": "with k as (select doc_id, contains(text, chr(10)) as m from documents) select count(*) filter (where not m) as kept, cast(sum(doc_id) filter (where not m) as bigint) as ids, count(*) filter (where m) as dropped from k",
     "g19_score_choices": "with l as (select doc_id as item, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as choice from documents), w as (select item, cast(choice as integer) as choice, unnest(string_split(line, ' ')) as t, generate_subscripts(string_split(line, ' '), 1) - 1 as pos, len(string_split(line, ' ')) as n from l), m as (select item, choice, avg(cast(('0x' || substr(md5(t), 1, 7)) as integer) % 1000 / 100) as loss from w where pos between 1 and n - 2 group by all) select item, arg_min(choice, (loss, choice)) as choice from m group by item",
-    "g20_score_exact": _STREAM + ", s as (select doc_id, least(max(pos), 8) as e from s1 group by doc_id) select doc_id as item, bool_and(case when token % 7 > 0 then target else 0 end = target) as correct from s1 join s using (doc_id) where pos between 2 and e - 2 group by doc_id",
+    "g20_score_exact": _STREAM + " select doc_id as item, bool_and(case when token % 997 > 0 then target else 0 end = target) as correct from s1 group by doc_id",
     "g21_task_accuracy": f"with {_ACC} select * from a",
     "g22_core_metric": f"with {_ACC}, b as (select source as task, min(doc_id) % 50 as rb from documents group by source) select avg((accuracy - 0.01::double * rb) / (1 - 0.01::double * rb)) as core, count(*) as n_tasks, count(*) < 22 as partial from a join b using (task)",
     "g23_format_ablation": 'select lang as "group", avg(n_chars) filter (where doc_id % 2 = 0) as two_line, avg(n_chars) filter (where doc_id % 2 = 1) as same_line, avg(n_chars) filter (where doc_id % 2 = 1) - avg(n_chars) filter (where doc_id % 2 = 0) as delta from documents group by lang',

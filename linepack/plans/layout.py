@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blocks, token_id, word_blocks
 from ..operators import layout as L
-from ._base import BLOCKS, CAP, capped, documents, positions_sql, roles, tid, token_positions, word_documents
+from ..schemas import SPECIALS
+from ._base import BLOCKS, CAP, capped, documents, positions_sql, roles, stored, tid, token_positions, word_documents
 
 _CHECK = ["count(*) as n", "sum(row_pos * (thread + 1)) as a", "sum((row_pos + 1) * (local_step + 1)) as b", "sum(token % 1009 * (row_pos % 97 + 1)) as c"]
 
@@ -111,7 +112,7 @@ def d15_generation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d16_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = documents(spark, sf_dir).select(F.explode(F.flatten(word_blocks(F.col("text")))).alias("text"))
-    vocab = words.groupBy(token_id(F.col("text")).alias("id")).agg(F.min("text").alias("text"))
+    vocab = stored(words.groupBy(token_id(F.col("text")).alias("id")).agg(F.min("text").alias("text")), "vocabulary")
     p = L.trace(token_positions(spark, sf_dir), vocab)
     return p.groupBy("doc_id", "tag").agg(_big("count(*)", "n"), _big("sum(length(text))", "chars"))
 
@@ -144,13 +145,43 @@ def d21_position_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain streams: bos and the words of a document, each predicting the next; the last predicts an anchor."""
-    words = documents(spark, sf_dir).select("doc_id", F.flatten(word_blocks(F.col("text"))).alias("w"))
-    n = F.size("w")
+    """Plain streams: bos and the words of a document, each predicting the next; the last predicts an anchor.
+
+    ``line_at`` is the place of the target in its line, null for the anchor.
+    """
+    each = F.transform(word_blocks(F.col("text")), lambda b: F.transform(b, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    words = documents(spark, sf_dir).select("doc_id", F.flatten(each).alias("x"))
+    n, word = F.size("x"), lambda i: F.get("x", i)["w"]
+    rows = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
+        F.when(i == 0, 1).otherwise(token_id(word(i - 1))).alias("token"), F.when(i < n, token_id(word(i))).otherwise(1).alias("target"),
+        F.when(i < n, F.octet_length(word(i))).otherwise(0).alias("target_bytes"), F.when(i == 0, False).otherwise(word(i - 1).rlike(r"[\n\r]$")).alias("is_newline"),
+        F.get("x", i)["i"].alias("line_at")))).alias("pos", "y"))
+    return rows.select("doc_id", "pos", "y.*")
+
+
+#: Ids of the special tokens, and K of those that open a wave of K lines.
+MARKS = {name.strip("<|>"): i for i, name in enumerate(SPECIALS)}
+WAVES = {i: int(name[4:]) for name, i in MARKS.items() if name.startswith("bot_")}
+
+
+def _wave_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams in which every line follows the opener of a wave as wide as the line has words, 16 at most."""
+    opener = lambda b: F.concat(F.lit("<|bot_"), F.least(F.size(b), F.lit(len(WAVES))).cast("string"), F.lit("|>"))
+    lines = F.transform(word_blocks(F.col("text")), lambda b: F.concat(F.array(F.struct(opener(b).alias("w"), F.lit(True).alias("s"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(False).alias("s")))))
+    words = documents(spark, sf_dir).select("doc_id", F.flatten(lines).alias("x"))
+    names = F.create_map(*[F.lit(x) for name, i in MARKS.items() if i in WAVES for x in (f"<|{name}|>", i)])
+    token = lambda i: F.when(F.get("x", i)["s"], F.element_at(names, F.get("x", i)["w"])).otherwise(token_id(F.get("x", i)["w"]))
+    n = F.size("x")
     rows = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
-        F.when(i == 0, 1).otherwise(token_id(F.get("w", i - 1))).alias("token"), F.when(i < n, token_id(F.get("w", i))).otherwise(1).alias("target"),
-        F.when(i < n, F.octet_length(F.get("w", i))).otherwise(0).alias("target_bytes"), F.when(i == 0, False).otherwise(F.get("w", i - 1).rlike(r"[\n\r]$")).alias("is_newline")))).alias("pos", "x"))
-    return rows.select("doc_id", "pos", "x.*")
+        F.when(i == 0, MARKS["bos"]).otherwise(token(i - 1)).alias("token"), F.when(i < n, token(i)).otherwise(MARKS["bos"]).alias("target"),
+        F.when(i < n, F.when(F.get("x", i)["s"], 0).otherwise(F.octet_length(F.get("x", i)["w"]))).otherwise(0).alias("target_bytes")))).alias("pos", "y"))
+    return rows.select("doc_id", "pos", "y.*")
+
+
+def waves(stream: DataFrame) -> DataFrame:
+    """Add wave: the width of the wave that a position lies in."""
+    width = F.create_map(*[F.lit(x) for pair in WAVES.items() for x in pair])
+    return L.carry_wave(stream, "doc_id", MARKS["bos"], F.try_element_at(width, F.col("token")))
 
 
 def d22_plain_slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +190,7 @@ def d22_plain_slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d23_carry_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.carry_wave(_stream(spark, sf_dir), "doc_id", 1, F.when(F.col("token") % 50 == 7, F.col("token") % 16 + 1))
-    return p.groupBy("doc_id", "wave").agg(_big("count(*)", "n"))
+    return waves(_wave_stream(spark, sf_dir)).groupBy("doc_id", "wave").agg(_big("count(*)", "n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -196,6 +226,12 @@ _STREAM = "with " + BLOCKS + f""",
  s1 as (select *, coalesce(lead(token) over (partition by doc_id order by pos), 1) as target, coalesce(lead(strlen(w)) over (partition by doc_id order by pos), 0) as target_bytes from s0)"""
 _BUCKET = "case when {d} < 1 then -1 when {d} = 1 then 0 when {d} = 2 then 1 when {d} <= 4 then 2 when {d} <= 8 then 3 when {d} <= 16 then 4 else 5 end"
 
+WAVE_STREAM = "with " + BLOCKS + f""",
+ w as (select doc_id, row_number() over (partition by doc_id order by b, i) as pos, case when i = 0 then {MARKS["bot_1"]} - 1 + least(len, {len(WAVES)}) else {tid("words[i] || case when i = len and b < nb - 1 then chr(10) else '' end")} end as token,
+   case when i = 0 then 0 else strlen(words[i]) + cast(i = len and b < nb - 1 as integer) end as size, case when i = 0 then least(len, {len(WAVES)}) end as k from (select *, unnest(range(0, len + 1)) as i from blk)),
+ s0 as (select doc_id, pos, token, size, k from w union all select distinct doc_id, 0, {MARKS["bos"]}, 0, 1 from w),
+ waves as (select doc_id, pos, token, coalesce(lead(token) over o, {MARKS["bos"]}) as target, coalesce(lead(size) over o, 0) as target_bytes, coalesce(last_value(k ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row), 1) as wave from s0 window o as (partition by doc_id order by pos))"""
+
 ORACLE_SQL = {
     "d01_split_blocks": "with " + BLOCKS + " select doc_id, cast(b as integer) as block, line || case when b < nb - 1 then chr(10) else '' end as content, cast(length(line) + case when b < nb - 1 then 1 else 0 end as integer) as chars from blk",
     "d01_split_blocks_by_class": "with " + BLOCKS + " select doc_id, cast(count(*) as integer) as n_blocks, string_agg(cast(len as varchar), ',' order by b) as lens from blk group by doc_id",
@@ -242,7 +278,5 @@ ORACLE_SQL = {
     "d22_plain_slice_labels": _STREAM + f""", c as (select *, token = 1 or is_newline as brk, target_bytes > 0 as content, coalesce(max(case when token = 1 or is_newline then pos end) over (partition by doc_id order by pos), -1) as last_ from s1),
         l as (select *, case when content then {_BUCKET.format(d='(pos - last_ + 1)')} else -1 end as depth_in_line, cast(brk and content as integer) as line_start, cast(target_bytes = 0 as integer) as is_anchor_target from c)
         select doc_id, depth_in_line, line_start, is_anchor_target, count(*) as n, cast(sum(pos) as bigint) as pos_sum from l group by all""",
-    "d23_carry_wave": _STREAM + """, m as (select *, case when token = 1 then 1 when token % 50 = 7 then token % 16 + 1 end as mark from s1),
-        c as (select *, coalesce(last_value(mark ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row), 1) as wave from m)
-        select doc_id, wave, count(*) as n from c group by doc_id, wave""",
+    "d23_carry_wave": WAVE_STREAM + " select doc_id, cast(wave as integer) as wave, count(*) as n from waves group by doc_id, wave",
 }
