@@ -190,3 +190,14 @@ def test_items_scores_metrics(spark, tmp_path):
     m = spark.createDataFrame([("r", "s", "l", "bpb", 0.5)], "run string, slice string, label string, metric string, value double")
     items.write_metrics(m, f"file://{tmp_path}/m")
     assert items.read_metrics(spark, f"file://{tmp_path}/m").collect() == m.collect()
+
+
+def test_fewshot_pool(spark):
+    """Shots come from the pool only; items outside it get some too, and items inside it never themselves."""
+    df = spark.createDataFrame([("t", i, i % 3 == 0) for i in range(30)] + [("u", i, i < 2) for i in range(9)] + [("v", 1, None)], "task string, item int, good boolean")
+    by = {}
+    for r in prompts.fewshot(df, "task", "item", 2, pool="good").collect():
+        by.setdefault((r.task, r.item), set()).add(r.shot)
+    assert {k for k in by if k[0] == "t"} == {("t", i) for i in range(30)} and all(len(x) == 2 and k[1] not in x for k, x in by.items())
+    assert all(s % 3 == 0 for k, x in by.items() if k[0] == "t" for s in x)
+    assert {k for k in by if k[0] == "u"} == {("u", i) for i in range(2, 9)}  # a pool of two is too small for its own items
