@@ -31,19 +31,18 @@ IDS = Ids()
 
 
 def split_blocks_by_class(tokens: Column, classes: Column) -> Column:
-    """Blocks of a token array: after a token with a newline a PURE token extends the run and any other opens a block."""
-    pairs = F.arrays_zip(tokens.alias("t"), classes.alias("c"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = (F.size(acc["open"]) == 0) | (acc["broke"] & (x["c"] != "PURE"))
-        return F.struct(
-            F.when(opens & (F.size(acc["open"]) > 0), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(opens, F.array(x["t"])).otherwise(F.concat(acc["open"], F.array(x["t"]))).alias("open"),
-            (x["c"] != "NO").alias("broke"),
-        )
-
-    none = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("open"), F.lit(False).alias("broke"))
-    return F.aggregate(pairs, none, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    """Blocks of a token array: after a token with a newline a PURE token extends the run and any other opens a block.
+
+    The places at which blocks open are found first and the blocks cut between them, so an array is copied once.
+    """
+    def cut(x: Column) -> Column:
+        n = F.size(x["t"])
+        opens = lambda i: (i == 1) | ((F.get(x["c"], i - 2) != "NO") & (F.get(x["c"], i - 1) != "PURE"))
+        at = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), opens)).otherwise(F.array().cast("array<int>"))
+        # bound by an array of one, so that it is not evaluated for each block
+        return F.element_at(F.transform(F.array(at), lambda a: F.transform(a, lambda i, k: F.slice(x["t"], i, F.coalesce(F.get(a, k + 1), n + 1) - i))), 1)
+
+    return F.element_at(F.transform(F.array(F.struct(tokens.alias("t"), classes.alias("c"))), cut), 1)
 
 
 def assign_roles(df: DataFrame, warm: int, lengths: str = "lens") -> DataFrame:

@@ -111,3 +111,10 @@ def test_payloads_go_with_their_tokens_and_arrays_equal_rows(spark):
     for r in L.rows(df, "doc_id", payloads=("twice",)).collect():
         own = sorted((x for x in rows if x.doc_id == r.doc_id), key=lambda x: x.row_pos)
         assert all(list(r[c]) == [x[c] for x in own] for c in ("row_pos", "token", "target", "rope", "thread", "twice"))
+
+
+def test_blocks_by_class(spark):
+    rows = [(["NO", "NO"], [2]), (["TRAIL", "PURE", "PURE", "NO", "NO", "TRAIL", "TRAIL", "NO"], [3, 3, 1, 1]), (["PURE", "PURE", "NO"], [2, 1]), ([], []), (["TRAIL"], [1]), (["NO", "PURE", "NO", "PURE"], [2, 2])]
+    df = spark.createDataFrame([(i, list(range(len(c))), c) for i, (c, _) in enumerate(rows)], "i int, t array<int>, c array<string>")
+    for r in df.select("i", "t", L.split_blocks_by_class(F.col("t"), F.col("c")).alias("b")).collect():
+        assert [len(x) for x in r.b] == rows[r.i][1] and [y for x in r.b for y in x] == r.t
