@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merges import NO, PURE
+
 
 @dataclass(frozen=True)
 class Ids:
@@ -45,6 +47,33 @@ def split_blocks_by_class(tokens: Column, classes: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(tokens.alias("t"), classes.alias("c"))), cut), 1)
 
 
+def token_blocks(df: DataFrame, classes: list[int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, blocks, lens): documents of token ids cut into blocks by the tokens' newline classes.
+
+    ``classes`` gives NO, PURE or TRAIL (``merges``) by id; ids beyond it are NO. The rule is that of
+    ``split_blocks_by_class``, on whole Arrow batches. Null and empty documents have no block.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}[key]
+    known = np.array(classes, np.int8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            of = np.where(flat < len(known), known[np.minimum(flat, len(known) - 1)], NO)
+            ends = np.cumsum(tokens)
+            opens = np.zeros(len(flat), bool)
+            opens[1:] = (of[:-1] != NO) & (of[1:] != PURE)
+            opens[(ends - tokens)[tokens > 0]] = True
+            at = np.flatnonzero(opens)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32)))
+            cuts = pa.array(np.searchsorted(at, np.concatenate(([0], ends))).astype(np.int32))
+            sizes = pa.array(np.diff(np.append(at, len(flat))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, lists), pa.ListArray.from_arrays(cuts, sizes)], names=[key, "blocks", "lens"])
+
+    return df.select(key, ids).mapInArrow(run, f"{key} {kind}, blocks array<array<int>>, lens array<int>")
+
+
 def assign_roles(df: DataFrame, warm: int, lengths: str = "lens") -> DataFrame:
     """Add n_blocks, n_warm, n_middle, has_tail: the last of two or more blocks is the tail; of the others those are
     warm-up before which at most ``warm`` tokens lie, the rest is middle."""

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
@@ -253,3 +253,21 @@ def train_bpe(words: DataFrame, n_merges: int, candidates: int = 384, cut_every:
         last.unpersist()
     state.unpersist()
     return merges
+
+
+def write_merges(spark: SparkSession, merges: list[Merge], path: str) -> None:
+    """Store merges in order: a row each, in one file, as a vocabulary is small."""
+    rows = [(i, *m) for i, m in enumerate(merges)]
+    spark.createDataFrame(rows, "rank int, l int, r int, new int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> list[Merge]:
+    return [(r["l"], r["r"], r["new"]) for r in spark.read.parquet(path).orderBy("rank").collect()]
+
+
+def token_classes(merges: list[Merge]) -> list[int]:
+    """Newline classes of all tokens by id."""
+    classes = byte_classes()
+    for a, b, _ in merges:
+        classes.append(joined_class(classes[a], classes[b]))
+    return classes

@@ -13,7 +13,8 @@ from ..operators import packing as E
 from ..operators import tokens as C
 from ..operators.ranks import rank_rows
 from ..schemas import SPECIALS
-from ._base import BLOCKS, documents, packer_sql, positions_sql, spread, table, word_documents
+from ..sources.shared import shared_path
+from ._base import BLOCKS, WARM, documents, packer_sql, positions_sql, spread, table, word_documents
 from .chat import CHAT_BLOCKS, CHAT_IDS, chat_documents
 
 #: Merges that the queries learn; ``merges.train_bpe`` takes any number.
@@ -88,6 +89,28 @@ def c09_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.decode(ids, m).select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("digest"), F.octet_length("decoded").alias("n_bytes"))
 
 
+def _token_blocks(spark: SparkSession, sf_dir: str) -> tuple[list[M.Merge], DataFrame]:
+    """Documents in learned ids, cut into blocks by the vocabulary's newline classes; the merges come from a stored table."""
+    path = shared_path(spark, "merges")
+    M.write_merges(spark, _merges(spark, sf_dir), path)
+    m = M.read_merges(spark, path)
+    ids = C.encode(documents(spark, sf_dir), C.pretokenize(F.col("text")), m)
+    return m, L.token_blocks(ids, M.token_classes(m))
+
+
+def c08_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block of learned tokens, decoded: the text's own blocks, as no token breaks a line."""
+    m, docs = _token_blocks(spark, sf_dir)
+    each = docs.select("doc_id", F.posexplode("blocks").alias("block", "ids"))
+    return C.decode(each, m).select("doc_id", "block", F.md5(F.col("decoded").cast("binary")).alias("digest"))
+
+
+def d14_token_yield_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield a decode step of documents in learned tokens."""
+    _, docs = _token_blocks(spark, sf_dir)
+    return L.token_yield(L.yield_summary(L.assign_roles(docs, WARM)))
+
+
 def c10_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversed documents in the vocabulary of bytes, bos first."""
     ids = C.encode(documents(spark, sf_dir), F.array("text"), [], first=256, backwards=True)
@@ -206,7 +229,7 @@ def e08_pack_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    c01_pretokenize, c02_word_counts, c03_train_bpe, c04_build_vocab, c05_extend_vocab, c06_token_bytes, c07_token_bytes_stats, c08_encode, c09_decode, c10_reverse, c11_compression_report, c12_compare_tokenizers,
+    c01_pretokenize, c02_word_counts, c03_train_bpe, c04_build_vocab, c05_extend_vocab, c06_token_bytes, c07_token_bytes_stats, c08_encode, c08_token_blocks, d14_token_yield_learned, c09_decode, c10_reverse, c11_compression_report, c12_compare_tokenizers,
     c13_newline_class, c14_check_vocab, c14_learned_vocab, e01_pack_crop, e02_pack_whole, e03_rebase_offsets, e04_shift_io, e05_drop_overflow, e06_pack_chat, e07_packing_stats, e08_pack_with_labels)}
 
 _W = "with " + BLOCKS + """,
@@ -247,6 +270,7 @@ ORACLE_SQL = {
     "c05_extend_vocab": _vocab_sql(SPECIALS) + " select * from vocab",
     "c06_token_bytes": _V + " select id, cast(case when is_special then 0 else strlen(token) end as integer) as n_bytes from vocab",
     "c07_token_bytes_stats": _V + " select cast(min(strlen(token)) as integer) as min, cast(max(strlen(token)) as integer) as max, avg(strlen(token)) as mean, stddev_samp(strlen(token)) as std from vocab where not is_special and strlen(token) > 0",
+    "c08_token_blocks": "with " + BLOCKS + " select doc_id, cast(b as integer) as block, md5(line || case when b < nb - 1 then chr(10) else '' end) as digest from blk",
     "c09_decode": "with " + BLOCKS + " select doc_id, md5(text) as digest, cast(strlen(text) as integer) as n_bytes from docs",
     "c10_reverse": "with " + BLOCKS + """, b as (select doc_id, hex(encode(text)) as h from docs) select doc_id, cast(len(h) // 2 + 1 as integer) as n,
         md5('100 ' || array_to_string(['0' || x for x in list_reverse(regexp_extract_all(h, '..'))], ' ')) as digest from b""",

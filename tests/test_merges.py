@@ -113,3 +113,22 @@ def test_ranks(spark):
     rows = [(i * 7919 % 501, f"x{i % 5}") for i in range(501)]
     got = rank_rows(spark.createDataFrame(rows, "a int, b string").repartition(7), F.desc("b"), "a").collect()
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda x: (-int(x[1][1:]), x[0])) and sorted(r["rank"] for r in got) == list(range(501))
+
+
+def test_token_blocks_equal_the_array_form(spark, tmp_path):
+    from linepack.operators import layout as L
+
+    rnd = random.Random(11)
+    merges = [(97, 10, 256), (10, 10, 257), (256, 257, 258), (98, 98, 259)]
+    M.write_merges(spark, merges, f"file://{tmp_path}/m")
+    assert M.read_merges(spark, f"file://{tmp_path}/m") == merges
+    classes = M.token_classes(merges)
+    assert classes[256:] == [M.TRAIL, M.PURE, M.TRAIL, M.NO]
+    rows = [(i, [rnd.choice([97, 98, 10, 13, 256, 257, 258, 259, 999]) for _ in range(rnd.randrange(12))]) for i in range(200)] + [(200, None), (None, [10])]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<int>").repartition(3)
+    names = {M.NO: "NO", M.PURE: "PURE", M.TRAIL: "TRAIL"}
+    kinds = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (i, names[c])])
+    plain = df.where("ids is not null").select("doc_id", L.split_blocks_by_class(F.col("ids"), F.transform("ids", lambda i: F.coalesce(kinds[i], F.lit("NO")))).alias("blocks"))
+    want = {r.doc_id: r.blocks for r in plain.collect()} | {200: []}
+    got = L.token_blocks(df, classes).collect()
+    assert {r.doc_id: r.blocks for r in got} == want and all(r.lens == [len(b) for b in r.blocks] for r in got)
