@@ -15,8 +15,10 @@ and islands are rows, so Spark deals out the work.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,6 +36,8 @@ GENERATIONS, STALE = 60, 20
 POPULATION = 8
 #: Pools after the first packing at most; each leaves about half an open bin a block, so few are needed.
 ROUNDS = 3
+#: Largest loose pieces that are tried in pairs.
+PAIRED = 48
 #: A bin is loosely filled if this share of it or more is free.
 LOOSE = 1 / 16
 
@@ -75,6 +79,39 @@ def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum([(sum([sizes[i] for i in b]) / capacity) ** 2 for b in bins])
 
 
+def refill(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> None:
+    """Swap one or two pieces of a bin, or none, for one or two larger ``loose`` ones that fill it better, best swap first.
+
+    Both lists are changed; pieces that leave a bin are loose, so these become smaller and easier to place.
+    """
+    def offers() -> tuple[list[int], list[tuple[int, ...]]]:
+        some = sorted(loose, key=sizes.__getitem__, reverse=True)[:PAIRED]
+        found = [(sizes[i], (i,)) for i in loose] + [(sizes[i] + sizes[j], (i, j)) for i, j in combinations(some, 2)]
+        found.sort()
+        return [x for x, _ in found], [x for _, x in found]
+
+    if not loose:
+        return
+    sums, sets = offers()
+    for b in bins:
+        room = capacity - sum([sizes[i] for i in b])
+        while room:
+            best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
+            for out in chain([()], combinations(b, 1), combinations(b, 2)):
+                gone = sum([sizes[i] for i in out])
+                k = bisect_right(sums, gone + room) - 1
+                if k >= 0 and sums[k] - gone > best[0]:
+                    best = (sums[k] - gone, out, sets[k])
+            if not best[0]:
+                break
+            b[:] = [i for i in b if i not in best[1]] + list(best[2])
+            loose[:] = [i for i in loose if i not in best[2]] + list(best[1])
+            room -= best[0]
+            if not loose:
+                return
+            sums, sets = offers()
+
+
 def cross(a: Bins, b: Bins, sizes: list[int], capacity: int, rnd: random.Random) -> Bins:
     """Whole well-filled bins of ``b`` enter ``a``."""
     fill = sorted((sum([sizes[i] for i in x]), k) for k, x in enumerate(b))
@@ -91,8 +128,10 @@ def cross(a: Bins, b: Bins, sizes: list[int], capacity: int, rnd: random.Random)
     kept.sort(key=lambda x: sum([sizes[i] for i in x]))
     worst = min(len(kept), 2 + len(kept) // 50)
     loose += [i for x in kept[:worst] for i in x]
+    kept = kept[worst:]
+    refill(kept, loose, sizes, capacity)
     loose.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit(loose, sizes, capacity, [list(x) for x in taken] + kept[worst:])
+    return best_fit(loose, sizes, capacity, [list(x) for x in taken] + kept)
 
 
 def _as_bins(assigned: list[int]) -> Bins:

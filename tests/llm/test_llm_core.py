@@ -344,6 +344,26 @@ def test_generations_beat_best_fit_decreasing_on_hard_pieces(spark):
     assert sum(fill.values()) == sum(sizes) and max(fill.values()) <= 1000 and len(fill) < greedy
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_crossover_packs_triplets_within_three_percent(seed):
+    sizes = triplets(seed, 80)
+    population = packing.evolve(sizes, 1000, [], seed)
+    assert len(population[0]) <= 82 < len(packing.best_fit_decreasing(sizes, 1000))
+
+
+def test_swaps_fill_bins_and_keep_every_piece():
+    rnd = random.Random(4)
+    for _ in range(200):
+        sizes = [rnd.randrange(1, 60) for _ in range(rnd.randrange(1, 40))]
+        order = rnd.sample(range(len(sizes)), len(sizes))
+        cut = rnd.randrange(len(sizes) + 1)
+        bins, loose = packing.best_fit(order[:cut], sizes, 100), order[cut:]
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        packing.refill(bins, loose, sizes, 100)
+        assert sorted([*loose, *(i for b in bins for i in b)]) == list(range(len(sizes)))
+        assert all(x <= sum(sizes[i] for i in b) <= 100 for x, b in zip(fill, bins, strict=True))
+
+
 def test_evolution_never_worsens_and_keeps_every_piece():
     sizes = triplets(1, 30)
     population, best = [], None
