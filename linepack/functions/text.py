@@ -64,8 +64,15 @@ def joined_history(col: Column) -> Column:
     at = F.instr(col, PRECEDING)
     end = F.instr(F.substring(col, at + len(PRECEDING), F.length(col)), "\n" + FINAL) + at + len(PRECEDING) - 1
     lines = F.split(F.substring(col, at, end - at + 1), "\n", -1)
-    pair = lambda x, i: x.startswith("Answer: ") & F.get(lines, i - 1).contains("Question: ") & (i < F.size(lines) - 1)
-    inside = F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).when(pair(x, i), F.concat(F.lit(" "), x)).otherwise(F.concat(F.lit("\n"), x))), "")
+    last = F.size(lines) - 1
+
+    def step(acc: Column, x: Column) -> Column:  # an answer line goes to the question line before it, once
+        joined = acc["asked"] & x.startswith("Answer: ") & (acc["i"] < last)
+        text = F.concat(acc["s"], F.when(joined, " ").otherwise("\n"), x)
+        return F.struct(text.alias("s"), (~joined & x.contains("Question: ")).alias("asked"), (acc["i"] + 1).alias("i"))
+
+    head = F.get(lines, F.lit(0))
+    inside = F.aggregate(F.slice(lines, F.lit(2), F.greatest(last, F.lit(0))), F.struct(head.alias("s"), head.contains("Question: ").alias("asked"), F.lit(1).alias("i")), step, lambda acc: acc["s"])
     rebuilt = F.concat(F.substring(col, F.lit(1), at - 1), inside, F.substring(col, end + 1, F.length(col)))
     found = (at > 0) & (end > at + len(PRECEDING) - 1)
     out = F.when(found, rebuilt).otherwise(col)

@@ -136,6 +136,12 @@ def compare_runs(fresh: DataFrame, ref: DataFrame, bpb_tol: float = 0.007, score
     return met.withColumn("gap", gap).withColumn("flag", F.when(gap.isNull(), "?").when(F.abs(gap) <= tol, "OK").otherwise("GAP"))
 
 
+def overall(compared: DataFrame) -> DataFrame:
+    """(compared, gaps, missing, flag) of all runs of ``compare_runs``: GAP if any has one, else ? if any is missing, else OK."""
+    gaps, missing = F.count_if(F.col("flag") == "GAP"), F.count_if(F.col("flag") == "?")
+    return compared.agg(F.count("*").alias("compared"), gaps.alias("gaps"), missing.alias("missing"), F.when(gaps > 0, "GAP").when(missing > 0, "?").otherwise("OK").alias("flag"))
+
+
 def row_records(pos: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Add is_answer and predicts_answer for the span [start, end) of each row."""
     met = pos.join(spans.select(key, "start", "end"), key)

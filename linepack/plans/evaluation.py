@@ -334,6 +334,10 @@ def g24_compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.compare_runs(fresh, ref)
 
 
+def g24_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.overall(g24_compare_runs(spark, sf_dir))
+
+
 def g25_row_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = token_positions(spark, sf_dir).select("doc_id", "row_pos", "token")
     spans = p.groupBy("doc_id").agg((F.max("row_pos") - 3).alias("start"), F.max("row_pos").alias("end"))
@@ -465,6 +469,7 @@ ORACLE_SQL = {
     "g22_core_metric": f"with {_ACC}, b as (select source as task, min(doc_id) % 50 as rb from documents group by source) select avg((accuracy - 0.01::double * rb) / (1 - 0.01::double * rb)) as core, count(*) as n_tasks, count(*) < 22 as partial from a join b using (task)",
     "g23_format_ablation": 'select lang as "group", avg(n_chars) filter (where doc_id % 2 = 0) as two_line, avg(n_chars) filter (where doc_id % 2 = 1) as same_line, avg(n_chars) filter (where doc_id % 2 = 1) - avg(n_chars) filter (where doc_id % 2 = 0) as delta from documents group by lang',
     "g24_compare_runs": f"with {_ACC}, f as (select *, case when task <> 'src1' then accuracy + (counted % 3 - 1) * 0.015::double end as fresh from a) select task as run, 'core' as metric, accuracy as ref, fresh, fresh - accuracy as gap, case when fresh is null then '?' when abs(fresh - accuracy) <= 0.01 then 'OK' else 'GAP' end as flag from f",
+    "g24_overall": f"with {_ACC}, f as (select *, case when task <> 'src1' then accuracy + (counted % 3 - 1) * 0.015::double end as fresh from a) select count(*) as compared, count(*) filter (where flag = 'GAP') as gaps, count(*) filter (where flag = '?') as missing, case when bool_or(flag = 'GAP') then 'GAP' when bool_or(flag = '?') then '?' else 'OK' end as flag from (select task as run, 'core' as metric, accuracy as ref, fresh, fresh - accuracy as gap, case when fresh is null then '?' when abs(fresh - accuracy) <= 0.01 then 'OK' else 'GAP' end as flag from f)",
     "g25_row_records": _POS + " select doc_id, cast(count(*) filter (where row_pos between m - 3 and m - 1) as bigint) as answers, cast(count(*) filter (where row_pos between m - 4 and m - 2) as bigint) as predicting from (select *, max(row_pos) over (partition by doc_id) as m from pos) group by doc_id",
     "h01_ema": _STEP + " select a.event_id, round(sum(b.value * (1 - 0.9::double) * pow(0.9::double, a.step - b.step)) / (1 - pow(0.9::double, any_value(a.step))), 6) as ema from s a join s b on a.user_id = b.user_id and b.step <= a.step group by a.event_id",
     "h02_throughput": _STEP + ", t as (select event_id, step, event_id % 7 + 1.0::double as dt, sum(case when step > 10 then event_id % 7 + 1.0::double else 0 end) over (partition by user_id order by step) as total_time from s) select event_id, 1000 / dt as tokens_per_sec, step * 100.0::double / 500 as progress, total_time, case when step > 10 then total_time / (step - 10) * (500 - step) end as eta from t",

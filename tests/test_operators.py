@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linepack.operators import chat, longlines, logs, packing, prompts, tokens
+from linepack.operators import chat, longlines, logs, metrics, packing, prompts, tokens
 from linepack.sources import corpus, items
 from linepack.streaming.ingest import ingest, stream_corpus
 
@@ -201,3 +201,23 @@ def test_fewshot_pool(spark):
     assert {k for k in by if k[0] == "t"} == {("t", i) for i in range(30)} and all(len(x) == 2 and k[1] not in x for k, x in by.items())
     assert all(s % 3 == 0 for k, x in by.items() if k[0] == "t" for s in x)
     assert {k for k in by if k[0] == "u"} == {("u", i) for i in range(2, 9)}  # a pool of two is too small for its own items
+
+
+def test_joined_history_takes_each_pair_once(spark):
+    from linepack.functions import text as T
+
+    head, tail = "story\n\nPreceding questions:\n", "\nFinal question:\nQuestion: last\nAnswer: "
+    bodies = ["Question: a\nAnswer: b\nQuestion: c\nAnswer: d\n", "Question: a\nAnswer: b Question: c\nAnswer: d\n", "Question: a\nAnswer: b Question: c\nAnswer: d Question: e\nAnswer: f\n", "x Question: a\nAnswer: b\n\n", "Answer: a\nAnswer: b\n", "\n"]
+
+    def plain(text):
+        text = re.sub(r"(Preceding questions:\n)(.*?\n)(\nFinal question:\n)", lambda m: m[1] + re.sub(r"(Question: [^\n]*)\n(Answer: [^\n]*)\n", r"\1 \2\n", m[2]) + m[3], text, flags=re.S)
+        return re.sub(r"\nFinal question:\nQuestion: ([^\n]*)\nAnswer: \Z", r"\nFinal question: Question: \1 Answer: ", text)
+
+    texts = [head + b + tail for b in bodies] + ["no headings", head, tail]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.j for r in df.select("i", T.joined_history(F.col("t")).alias("j")).orderBy("i").collect()] == [plain(t) for t in texts]
+
+
+def test_overall_flag(spark):
+    rows = spark.createDataFrame([("a", "OK"), ("b", "?"), ("c", "GAP")], "run string, flag string")
+    assert [metrics.overall(rows.where(c)).first().flag for c in ("true", "run <> 'c'", "run = 'a'", "false")] == ["GAP", "?", "OK", "OK"]
