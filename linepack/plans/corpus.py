@@ -168,8 +168,9 @@ def b04_split_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b05_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = B.split_segments(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("content", "line")
-    return B.rejoin(s, "doc_id", "text")
+    """Each line behind its number."""
+    s = B.split_segments(documents(spark, sf_dir).select("doc_id", "text"))
+    return B.rejoin(s.withColumn("line", F.concat_ws(":", "seg", "content")), "doc_id", "text")
 
 
 def b06_modified_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +254,18 @@ ORACLE_SQL = {
     "b01_cap_newline_runs": "with t as (select doc_id, replace(text, ' the ', repeat(chr(10), 9)) as t from documents) select doc_id, cast(length(regexp_replace(t, '(\n{4})\n+', '\\1', 'g')) as integer) as chars, cast(length(t) as integer) as before from t",
     "b02_split_segments": f"with {DOCS}, {_LINES} select doc_id, cast(seg as integer) as seg, content, cast(case when seg < n - 1 then 1 else 0 end as integer) as sep from l",
     "b03_over_budget": f"with {DOCS}, {_LINES} select doc_id, cast(seg as integer) as seg, case when strlen(content) + case when seg < n - 1 then 1 else 0 end <= 60 then false else len(string_split(content, ' ')) + case when seg < n - 1 then 1 else 0 end > 60 end as over from l",
-    "b05_rejoin": f"with {DOCS} select doc_id, text from docs",
+    "b04_split_long_lines": rf"""with recursive {DOCS}, t as (select doc_id, regexp_replace(text, '([\n\r]{{16}})[\n\r]+', '\1', 'g') as text from docs where length(text) > 0),
+        g as (select doc_id, unnest(regexp_extract_all(text, '[^\n\r]+[\n\r]*|[\n\r]+')) as s, generate_subscripts(regexp_extract_all(text, '[^\n\r]+[\n\r]*|[\n\r]+'), 1) as seg from t),
+        l as (select doc_id, seg, regexp_replace(s, '[\n\r]+$', '') as c, s[length(regexp_replace(s, '[\n\r]+$', '')) + 1:] as sep from g),
+        p as (select doc_id, seg, '' as path, c as t, greatest(1, length(sep)) as room, strlen(c) + length(sep) <= 60 or len(string_split(c, ' ')) + length(sep) <= 60 as fits from l
+          union all select doc_id, seg, path || side, case side when '0' then t[:cut] else t[cut + 1:] end, case side when '0' then 1 else room end,
+            length(case side when '0' then t[:cut] else t[cut + 1:] end) < 2 or len(string_split(case side when '0' then t[:cut] else t[cut + 1:] end, ' ')) + case side when '0' then 1 else room end <= 60
+          from (select *, case when stop > 0 and low + stop < length(t) then low + stop else length(t) // 2 end as cut from
+            (select *, length(regexp_extract(t[low + 1:least(length(t), length(t) // 2 + half)], '(?s)^(.*[{B.STOPS}])', 1)) as stop from
+              (select *, greatest(0, length(t) // 2 - half) as low from (select *, greatest(1, cast(floor(length(t) * {B.WINDOW}) as bigint)) as half from p where not fits)))), (values ('0'), ('1')) v(side)),
+        j as (select doc_id, seg, string_agg(t, chr(10) order by path) as t from p where fits group by doc_id, seg)
+        select doc_id, string_agg(j.t || l.sep, '' order by j.seg) as text from j join l using (doc_id, seg) group by doc_id""",
+    "b05_rejoin": rf"with {DOCS}, s as (select doc_id, unnest(regexp_extract_all(text, '[^\n\r]+[\n\r]*|[\n\r]+')) as s, generate_subscripts(regexp_extract_all(text, '[^\n\r]+[\n\r]*|[\n\r]+'), 1) - 1 as seg from docs) select doc_id, string_agg(seg || ':' || s, '' order by seg) as text from s group by doc_id",
     "b06_modified_stats": "select lang, count(*) as docs, count(*) filter (where contains(text, ' the ')) as modified, count(*) filter (where contains(text, ' the ')) / count(*) as ratio from documents group by lang",
     "b07_one_line": r"select doc_id, trim(regexp_replace(text, '[ \t]*\r?\n[ \t]*', ' ', 'g')) || ' ' || lang as line from documents",
     "b08_joined_history": f"with {_W} select item_id, {_prompt(True)} as prompt from w",
