@@ -290,7 +290,7 @@ def alignment_report(docs: DataFrame, a: str, b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each whole text.
 
     ``a`` is the path of a byte-level vocabulary that encodes a space and the text, ``b`` of a piece vocabulary that puts
-    the space itself. A text that is null or empty, or whose bytes either does not give back, has no tokens: zeros and an
+    the space itself; both have at most 65 536 ids. A text that is null or empty, or whose bytes either does not give back, has no tokens: zeros and an
     empty digest. ``n_best`` counts the links whose pair no other pair of their B id exceeds in the corpus, ties included;
     ``count_sum`` adds the corpus-wide counts of the links' pairs. Repeated rows count each; other columns are not carried;
     an empty table gives an empty result.
