@@ -15,7 +15,7 @@ and islands are rows, so Spark deals out the work.
 from __future__ import annotations
 
 import random
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, combinations
@@ -36,8 +36,9 @@ GENERATIONS, STALE = 60, 20
 POPULATION = 8
 #: Pools after the first packing at most; each leaves about half an open bin a block, so few are needed.
 ROUNDS = 3
-#: Largest loose pieces that are tried in pairs.
-PAIRED = 48
+#: Pieces of a bin up to which two of them are swapped at once.
+FEW = 4
+_LAST = 1 << 60
 #: A bin is loosely filled if this share of it or more is free.
 LOOSE = 1 / 16
 
@@ -82,34 +83,40 @@ def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
 def refill(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> None:
     """Swap one or two pieces of a bin, or none, for one or two larger ``loose`` ones that fill it better, best swap first.
 
-    Both lists are changed; pieces that leave a bin are loose, so these become smaller and easier to place.
+    Both lists are changed; pieces that leave a bin are loose, so these become smaller and easier to place. Loose pieces are
+    held by size: one is found by bisection, two by a walk from both ends.
     """
-    def offers() -> tuple[list[int], list[tuple[int, ...]]]:
-        some = sorted(loose, key=sizes.__getitem__, reverse=True)[:PAIRED]
-        found = [(sizes[i], (i,)) for i in loose] + [(sizes[i] + sizes[j], (i, j)) for i, j in combinations(some, 2)]
-        found.sort()
-        return [x for x, _ in found], [x for _, x in found]
-
-    if not loose:
-        return
-    sums, sets = offers()
+    held = sorted((sizes[i], i) for i in loose)
     for b in bins:
         room = capacity - sum([sizes[i] for i in b])
-        while room:
-            best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-            for out in chain([()], combinations(b, 1), combinations(b, 2)):
-                gone = sum([sizes[i] for i in out])
-                k = bisect_right(sums, gone + room) - 1
-                if k >= 0 and sums[k] - gone > best[0]:
-                    best = (sums[k] - gone, out, sets[k])
-            if not best[0]:
+        if not room or not held:
+            continue
+        gain, out, into = 0, (), ()
+        for old in chain([()], combinations(b, 1), combinations(b, 2) if len(b) <= FEW else ()):
+            gone = sum([sizes[i] for i in old])
+            most = gone + room
+            k = bisect_right(held, (most, _LAST)) - 1
+            if k >= 0 and held[k][0] - gone > gain:
+                gain, out, into = held[k][0] - gone, old, (k,)
+            low, high = 0, min(k, len(held) - 1)
+            while low < high and gain < room:
+                both = held[low][0] + held[high][0]
+                if both > most:
+                    high -= 1
+                else:
+                    if both - gone > gain:
+                        gain, out, into = both - gone, old, (low, high)
+                    low += 1
+            if gain == room:
                 break
-            b[:] = [i for i in b if i not in best[1]] + list(best[2])
-            loose[:] = [i for i in loose if i not in best[2]] + list(best[1])
-            room -= best[0]
-            if not loose:
-                return
-            sums, sets = offers()
+        if gain:
+            new = [held[k][1] for k in into]
+            for k in reversed(into):
+                del held[k]
+            for i in out:
+                insort(held, (sizes[i], i))
+            b[:] = [i for i in b if i not in out] + new
+    loose[:] = [i for _, i in held]
 
 
 def cross(a: Bins, b: Bins, sizes: list[int], capacity: int, rnd: random.Random) -> Bins:
@@ -256,7 +263,7 @@ def _evolved(grouped: DataFrame, capacity: int) -> DataFrame:
         ended = over.groupBy("block").agg(F.bool_or("done").alias("ended"))
         over = over.join(ended.where("not ended").select("block"), "block")
         guests = over.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
-        met = over.select("block", "island", "sizes", "population").join(guests, ["block", "island"])
+        met = over.select("block", "island", "sizes", "population").join(guests, ["block", "island"]).repartition(partitions(spark), "block", "island")
         over = materialise(met.mapInPandas(_epoch(capacity, epoch), schema), "epoch")
         if over.isEmpty():
             break
