@@ -45,17 +45,19 @@ LOOSE = 1 / 16
 Bins = list[list[int]]
 
 
-def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins | None = None) -> Bins:
+def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins | None = None, rooms: list[int] | None = None) -> Bins:
     """Put ``items`` in turn into the open bin that they leave least room in, or into a new one.
 
-    Open bins are kept by the room they have, and a bit for each room with a bin finds the least one that fits.
+    Open bins are kept by the room they have, and a bit for each room with a bin finds the least one that fits. ``rooms``,
+    the room in each of ``bins``, is kept up to date if given.
     """
     bins = bins if bins is not None else []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = rooms if rooms is not None else [capacity - sum(map(sizes.__getitem__, b)) for b in bins]
+    by_room: dict[int, list[int]] = {}
     some = 0
-    for k, b in enumerate(bins):
-        if room := capacity - sum([sizes[i] for i in b]):
-            by_room[room].append(k)
+    for k, room in enumerate(rooms):
+        if room:
+            by_room.setdefault(room, []).append(k)
             some |= 1 << room
     for i in items:
         size = sizes[i]
@@ -69,31 +71,36 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins | Non
         else:
             room, k = capacity, len(bins)
             bins.append([i])
-        if left := room - size:
-            by_room[left].append(k)
+            rooms.append(capacity)
+        rooms[k] = left = room - size
+        if left:
+            by_room.setdefault(left, []).append(k)
             some |= 1 << left
     return bins
 
 
-def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
+def fitness(bins: Bins, sizes: list[int], capacity: int, rooms: list[int] | None = None) -> tuple[int, float]:
     """Fewer bins first, then bins that are full or empty rather than half full; larger is better."""
-    return -len(bins), sum([(sum([sizes[i] for i in b]) / capacity) ** 2 for b in bins])
+    if rooms is None:
+        rooms = [capacity - sum(map(sizes.__getitem__, b)) for b in bins]
+    return -len(bins), sum([((capacity - r) / capacity) ** 2 for r in rooms])
 
 
-def refill(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> None:
+def refill(bins: Bins, loose: list[int], sizes: list[int], capacity: int, rooms: list[int] | None = None) -> None:
     """Swap one or two pieces of a bin, or none, for one or two larger ``loose`` ones that fill it better, best swap first.
 
-    Both lists are changed; pieces that leave a bin are loose, so these become smaller and easier to place. Loose pieces are
+    Both lists are changed, and ``rooms`` of the bins if given; pieces that leave a bin are loose, so these become smaller and easier to place. Loose pieces are
     held by size: one is found by bisection, two by a walk from both ends.
     """
     held = sorted((sizes[i], i) for i in loose)
-    for b in bins:
-        room = capacity - sum([sizes[i] for i in b])
+    rooms = rooms if rooms is not None else [capacity - sum(map(sizes.__getitem__, b)) for b in bins]
+    for at, room in enumerate(rooms):
         if not room or not held:
             continue
+        b = bins[at]
         gain, out, into = 0, (), ()
         for old in chain([()], combinations(b, 1), combinations(b, 2) if len(b) <= FEW else ()):
-            gone = sum([sizes[i] for i in old])
+            gone = sum(map(sizes.__getitem__, old))
             most = gone + room
             k = bisect_right(held, (most, _LAST)) - 1
             if k >= 0 and held[k][0] - gone > gain:
@@ -116,29 +123,33 @@ def refill(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> Non
             for i in out:
                 insort(held, (sizes[i], i))
             b[:] = [i for i in b if i not in out] + new
+            rooms[at] -= gain
     loose[:] = [i for _, i in held]
 
 
-def cross(a: Bins, b: Bins, sizes: list[int], capacity: int, rnd: random.Random) -> Bins:
-    """Whole well-filled bins of ``b`` enter ``a``."""
-    fill = sorted((sum([sizes[i] for i in x]), k) for k, x in enumerate(b))
+def cross(a: Bins, b: Bins, sizes: list[int], capacity: int, rnd: random.Random) -> tuple[Bins, list[int]]:
+    """Whole well-filled bins of ``b`` enter ``a``: the child and the room in each of its bins."""
+    get = sizes.__getitem__
+    fill = sorted((sum(map(get, x)), k) for k, x in enumerate(b))
     full = [k for f, k in fill if f == capacity] or [k for _, k in fill[-max(1, len(fill) // 4) :]]
-    taken = [b[k] for k in full if rnd.random() < 0.7] or [b[full[-1]]]
+    chosen = [k for k in full if rnd.random() < 0.7] or [full[-1]]
+    taken = [list(b[k]) for k in chosen]
     inside = {i for x in taken for i in x}
     kept, loose = [], []
     for x in a:
         if inside.isdisjoint(x):
-            kept.append(list(x))
+            kept.append((capacity - sum(map(get, x)), list(x)))
         else:
             loose += [i for i in x if i not in inside]
     # the worst bins are opened too, so that a child can do better than both
-    kept.sort(key=lambda x: sum([sizes[i] for i in x]))
+    kept.sort(key=lambda x: -x[0])
     worst = min(len(kept), 2 + len(kept) // 50)
-    loose += [i for x in kept[:worst] for i in x]
-    kept = kept[worst:]
-    refill(kept, loose, sizes, capacity)
-    loose.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit(loose, sizes, capacity, [list(x) for x in taken] + kept)
+    loose += [i for _, x in kept[:worst] for i in x]
+    bins, rooms = [x for _, x in kept[worst:]], [r for r, _ in kept[worst:]]
+    refill(bins, loose, sizes, capacity, rooms)
+    loose.sort(key=get, reverse=True)
+    rooms = [capacity - sum(map(get, x)) for x in taken] + rooms
+    return best_fit(loose, sizes, capacity, taken + bins, rooms), rooms
 
 
 def _as_bins(assigned: list[int]) -> Bins:
@@ -181,8 +192,8 @@ def evolve(sizes: list[int], capacity: int, population: list[Bins], seed: int, g
         i, j = (min(rnd.sample(range(len(rated)), 2)) for _ in range(2))
         i, j = (i, j) if i != j else (i, (i + 1) % len(rated))
         for a, b in ((i, j), (j, i)):
-            child = cross(rated[a][2], rated[b][2], sizes, capacity, rnd)
-            fit = fitness(child, sizes, capacity)
+            child, rooms = cross(rated[a][2], rated[b][2], sizes, capacity, rnd)
+            fit = fitness(child, sizes, capacity, rooms)
             if all(fit != x[0] for x in rated):  # another like it is there
                 born += 1
                 rated.append((fit, born, child))
