@@ -1,8 +1,8 @@
 """Byte-pair merges of a corpus, many a round, as if they were made one at a time.
 
-The work is on the distinct words, spread over the cluster as arrays of symbols. A round is two small aggregations and a
-rewrite: the most frequent pairs, what stands left and right of each of them, and then all merges that follow from these
-figures. The driver replays the merges on its few pairs: what a merge takes from other pairs and what pairs it makes are
+The work is on the distinct words, spread over the cluster as arrays of symbols. A round rewrites them and
+makes two small aggregations: the most frequent pairs, what stands left and right of those that were likely to be among
+them, and then all merges that follow from these figures. The driver replays the merges on its few pairs: what a merge takes from other pairs and what pairs it makes are
 sums of those contexts. Where a merge changes the context of another, the sums become upper bounds; as soon as a bound
 could be the next pair, or one that is not among the counted, the round ends. So the result is that of one merge after the
 other, and the driver holds ``candidates`` pairs with their neighbours, whatever the size of the corpus.
@@ -64,26 +64,122 @@ class _Batch:
         self.flat, self.row = flat[stay], row[stay]
 
 
+    def merge_all(self, merges: list[Merge], old: np.ndarray) -> None:
+        """All ``merges`` in turn, in the rows that have one of their pairs (sorted in ``old``)."""
+        at = self.pairs()
+        own = self.flat[at] << 32 | self.flat[at + 1]
+        hit = at[old[np.minimum(np.searchsorted(old, own), len(old) - 1)] == own]
+        if not len(hit):
+            return
+        touched = np.zeros(len(self.n), bool)
+        touched[self.row[hit]] = True
+        mine = touched[self.row]
+        rest, rest_row = self.flat[~mine], self.row[~mine]
+        self.flat, self.row = self.flat[mine], self.row[mine]
+        for m in merges:
+            self.merge(*m)
+        flat, row = np.concatenate((rest, self.flat)), np.concatenate((rest_row, self.row))
+        order = np.argsort(row, kind="stable")
+        self.flat, self.row = flat[order], row[order]
+
+
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    n = np.zeros(len(found), np.int64)
-    np.add.at(n, at, weights)
-    return found, n
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.add.reduceat(weights, at) if len(at) else np.zeros(0, np.int64)
+
+
+class _Sums:
+    """Sums of weights by key: dense while keys are few, else sorted batch by batch."""
+
+    def __init__(self, keys: int):
+        self.dense = np.zeros(keys, np.int64) if keys <= 1 << 24 else None
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        if self.dense is not None:
+            np.add.at(self.dense, keys, weights)
+            return
+        found, n = _summed(keys, weights)
+        self.parts.append((found, n))
+        self.size += len(found)
+        if self.size > 1 << 21:
+            self.parts = [self.all()]
+            self.size = len(self.parts[0][0]) // 2  # so that sums of many keys are not made anew each time
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.dense is not None:
+            found = np.flatnonzero(self.dense)
+            return found, self.dense[found]
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return _summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))
+
+
+#: Kinds of rows of a round: words, counts of pairs, counts of the neighbours of pairs.
+WORDS, PAIRS, NEAR = range(3)
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, s): words as the bytes of their UTF-8; those of one byte have no pair and go."""
+    for batch in batches:
+        words = batch.column(1).cast(pa.binary())
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        data, at = words.buffers()[2], np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else 0
+        flat = np.frombuffer(data, np.uint8)[at : at + ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["n", "s"]).filter(pa.array(sizes > 1))
+
+
+def _neighbours(b: _Batch, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (pair, side, other) and weights of the symbols before (0) and behind (1) each of the pairs with sorted ``keys``."""
+    at = b.pairs()
+    own = b.flat[at] << 32 | b.flat[at + 1]
+    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    hit = keys[place] == own
+    at, which = at[hit], order[place[hit]]
+    found, weight = [], []
+    for side, other in ((0, at - 1), (1, at + 2)):
+        near = (other >= 0) & (other < len(b.flat))
+        near[near] = b.row[other[near]] == b.row[at[near]]
+        found.append((which[near] * 2 + side) << 32 | b.flat[other[near]])
+        weight.append(b.n[b.row[at[near]]])
+    return np.concatenate(found), np.concatenate(weight)
+
+
+def _sorted_keys(wanted: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array([a << 32 | b for a, b in wanted], np.int64)
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def _good_pairs(b: _Batch, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right symbols of adjacent places and their weights; pairs that the classes refuse are left out."""
+    at = b.pairs()
+    left, right = b.flat[at], b.flat[at + 1]
+    if known is not None:
+        good = np.array(_JOINED)[known[left], known[right]] != INVALID
+        at, left, right = at[good], left[good], right[good]
+    return left, right, b.n[b.row[at]]
+
+
+def _word_rows(b: _Batch, n: pa.Array) -> pa.RecordBatch:
+    """(n, s) of the batch as it is now; rows of one symbol are done and go."""
+    sizes = np.bincount(b.row, minlength=len(n))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(b.flat.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([n, lists], names=["n", "s"]).filter(pa.array(sizes > 1))
 
 
 def _pair_counts(classes: np.ndarray | None):
-    """(l, r, n) of adjacent symbols, summed within a batch; pairs that ``classes`` refuse are left out."""
-    joined = np.array(_JOINED)
+    """(l, r, n) of adjacent symbols, summed within a batch: the counting of a round alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = _Batch(batch)
-            at = b.pairs()
-            left, right = b.flat[at], b.flat[at + 1]
-            if classes is not None:
-                good = joined[classes[left], classes[right]] != INVALID
-                at, left, right = at[good], left[good], right[good]
-            keys, n = _summed(left << 32 | right, b.n[b.row[at]])
+            left, right, weights = _good_pairs(_Batch(batch), classes)
+            keys, n = _summed(left << 32 | right, weights)
             yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
 
     return run
@@ -91,25 +187,11 @@ def _pair_counts(classes: np.ndarray | None):
 
 def _contexts(wanted: list[tuple[int, int]]):
     """(pair, side, other, n): the symbols before (0) and behind (1) each of the ``wanted`` pairs, summed within a batch."""
-    keys = np.array([a << 32 | b for a, b in wanted], np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
+    keys, order = _sorted_keys(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = _Batch(batch)
-            at = b.pairs()
-            own = b.flat[at] << 32 | b.flat[at + 1]
-            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            hit = keys[place] == own
-            at, which = at[hit], order[place[hit]]
-            found, weight = [], []
-            for side, other in ((0, at - 1), (1, at + 2)):
-                near = (other >= 0) & (other < len(b.flat))
-                near[near] = b.row[other[near]] == b.row[at[near]]
-                found.append((which[near] * 2 + side) << 32 | b.flat[other[near]])
-                weight.append(b.n[b.row[at[near]]])
-            sums, n = _summed(np.concatenate(found), np.concatenate(weight))
+            sums, n = _summed(*_neighbours(_Batch(batch), keys, order))
             cols = [(sums >> 33).astype(np.int32), (sums >> 32 & 1).astype(np.int32), (sums & 0xFFFFFFFF).astype(np.int32), n]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["pair", "side", "other", "n"])
 
@@ -117,16 +199,51 @@ def _contexts(wanted: list[tuple[int, int]]):
 
 
 def _rewritten(merges: list[Merge]):
-    """Rows after ``merges`` in turn; rows of one symbol are done and go."""
+    """Rows after ``merges`` in turn: the rewriting of a round alone."""
+    old = _sorted_keys([m[:2] for m in merges])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch)
-            for m in merges:
-                b.merge(*m)
-            sizes = np.bincount(b.row, minlength=batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(b.flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["n", "s"]).filter(pa.array(sizes > 1))
+            b.merge_all(merges, old)
+            yield _word_rows(b, batch.column(0))
+
+    return run
+
+
+def _round(merges: list[Merge], classes: list[int] | None, wanted: list[tuple[int, int]], symbols: int):
+    """(kind, n, s): the words after ``merges`` in turn, and behind them the task's counts of their pairs and of the neighbours of ``wanted``.
+
+    Only words with one of the merged pairs are rewritten; a merge of this round's symbols needs an earlier one there. Words
+    of one symbol are done and go, and so do pairs that ``classes`` refuse. Ids are below ``symbols``.
+    """
+    known = None if classes is None else np.array(classes)
+    old = _sorted_keys([m[:2] for m in merges])[0]
+    keys, order = _sorted_keys(wanted)
+
+    def counted(kind: int, sums: _Sums, parts) -> Iterator[pa.RecordBatch]:
+        found, n = sums.all()
+        for at in range(0, len(found), 10_000):
+            cols = parts(found[at : at + 10_000])
+            flat = np.stack(cols, axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(cols)), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), kind, np.int32)), pa.array(n[at : at + 10_000]), lists], names=["kind", "n", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, near = _Sums(symbols * symbols), _Sums(2 * len(keys) * symbols)
+        for batch in batches:
+            b = _Batch(batch)
+            if len(old):
+                b.merge_all(merges, old)
+            left, right, weights = _good_pairs(b, known)
+            pairs.add(left * symbols + right, weights)
+            if len(keys):
+                around, weights = _neighbours(b, keys, order)
+                near.add((around >> 32) * symbols + (around & 0xFFFFFFFF), weights)
+            rows = _word_rows(b, batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, WORDS, np.int32)), *rows.columns], names=["kind", "n", "s"])
+        yield from counted(PAIRS, pairs, lambda k: (k // symbols, k % symbols))
+        yield from counted(NEAR, near, lambda k: (k // symbols >> 1, k // symbols & 1, k % symbols))
 
     return run
 
@@ -147,6 +264,10 @@ class Replay:
         self.heap = [(-n, a, b) for n, a, b in top]
         heapq.heapify(self.heap)
 
+    def guess(self, most: int) -> list[tuple[int, int]]:
+        """Pairs of two symbols that may come next, by their counts or bounds."""
+        return heapq.nsmallest(most, (p for p, n in self.count.items() if n > 0 and p[0] != p[1]), key=lambda p: (-self.count[p], p))
+
     def _put(self, pair: tuple[int, int], n: int, exact: bool) -> None:
         if n <= 0 or self.classes is not None and joined_class(self.classes[pair[0]], self.classes[pair[1]]) == INVALID:
             return
@@ -216,42 +337,48 @@ def train_bpe(words: DataFrame, n_merges: int, candidates: int = 384, cut_every:
     """The merges (left, right, new id from 256 on) of the most frequent pairs, ties to the smaller pair, in order.
 
     ``words`` has the distinct words (word, n). With ``protect_newlines`` a merge that would put a newline anywhere but at
-    the end of a token is refused, so every token is NO, PURE or TRAIL. The state is persisted from round to round, and
-    every ``cut_every`` rounds it is checkpointed: lineage stays short, and a lost executor costs some rounds' rewrites.
+    the end of a token is refused, so every token is NO, PURE or TRAIL. A round goes over the words once: it rewrites them,
+    counts their pairs, and the neighbours of those pairs that the round before takes for the next ones; a merge whose
+    neighbours were not counted ends its round. The state is persisted from round to round, and every ``cut_every`` rounds
+    it is checkpointed: lineage stays short, and a lost executor costs some rounds' rewrites.
     """
     spark = words.sparkSession
     classes = byte_classes() if protect_newlines else None
-    symbols = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.encode("word", "utf-8"), i, F.lit(1))), 16, 10).cast("int"))
-    state = words.where(F.octet_length("word") > 1).select(F.col("n").cast("bigint").alias("n"), symbols.alias("s")).persist()
+    state = words.where(F.octet_length("word") > 1).select(F.col("n").cast("bigint").alias("n"), "word").mapInArrow(_symbols, "n bigint, s array<int>")
     merges: list[Merge] = []
+    taken: list[Merge] = []
+    wanted: list[tuple[int, int]] = []
     rounds, last = 0, None
     while len(merges) < n_merges:
-        known = None if classes is None else np.array(classes)
-        pairs = state.mapInArrow(_pair_counts(known), "l int, r int, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n"))
+        made = state.mapInArrow(_round(taken, classes, wanted, 256 + len(merges)), "kind int, n bigint, s array<int>").persist()
+        part = lambda i: F.get("s", F.lit(i))
+        pairs = made.where(F.col("kind") == PAIRS).groupBy(part(0).alias("l"), part(1).alias("r")).agg(F.sum("n").alias("n"))
         top = [(r["n"], r["l"], r["r"]) for r in pairs.orderBy(F.desc("n"), "l", "r").limit(candidates).collect()]
         if last is not None:  # the state has been filled from it by now
             last.unpersist()
-            last = None
+        last, state = made, made.where(F.col("kind") == WORDS).select("n", "s")
         if not top:
             break
-        wanted = [(a, b) for _, a, b in top if a != b]
-        near: dict[tuple[int, int], tuple[dict[int, int], dict[int, int]]] = {p: ({}, {}) for p in wanted}
         if wanted:
-            around = state.mapInArrow(_contexts(wanted), "pair int, side int, other int, n bigint").groupBy("pair", "side", "other").agg(F.sum("n").alias("n"))
-            for r in around.collect():  # the neighbours of ``candidates`` pairs: a bound of the vocabulary
+            around = made.where(F.col("kind") == NEAR)
+        else:  # the first round knows no pairs before
+            wanted = [(a, b) for _, a, b in top if a != b]
+            around = state.mapInArrow(_round([], classes, wanted, 256 + len(merges)), "kind int, n bigint, s array<int>").where(F.col("kind") == NEAR) if wanted else None
+        near: dict[tuple[int, int], tuple[dict[int, int], dict[int, int]]] = {p: ({}, {}) for p in wanted}
+        if around is not None:
+            for r in around.groupBy(part(0).alias("pair"), part(1).alias("side"), part(2).alias("other")).agg(F.sum("n").alias("n")).collect():  # of some times ``candidates`` pairs
                 near[wanted[r["pair"]]][r["side"]][r["other"]] = r["n"]
-        taken = Replay(top, len(top) == candidates, near, classes).merges(256 + len(merges), n_merges - len(merges))
+        replay = Replay(top, len(top) == candidates, near, classes)
+        taken = replay.merges(256 + len(merges), n_merges - len(merges))
+        wanted = replay.guess(2 * candidates)
         merges += taken
         rounds += 1
-        last, state = state, state.mapInArrow(_rewritten(taken), "n bigint, s array<int>")
         if rounds % cut_every == 0:
             if spark.sparkContext.getCheckpointDir() is None:
                 spark.sparkContext.setCheckpointDir(shared_path(spark, "bpe"))
             state = state.checkpoint()
-        state = state.persist()
     if last is not None:
         last.unpersist()
-    state.unpersist()
     return merges
 
 

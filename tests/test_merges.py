@@ -132,3 +132,14 @@ def test_token_blocks_equal_the_array_form(spark, tmp_path):
     want = {r.doc_id: r.blocks for r in plain.collect()} | {200: []}
     got = L.token_blocks(df, classes).collect()
     assert {r.doc_id: r.blocks for r in got} == want and all(r.lens == [len(b) for b in r.blocks] for r in got)
+
+
+def test_a_round_goes_over_the_words_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = {"".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 9))): rnd.randrange(1, 60) for _ in range(300)}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    passes, made = [], M._round
+    monkeypatch.setattr(M, "_round", lambda merges, *rest: (passes.append(len(merges)), made(merges, *rest))[1])
+    merges = M.train_bpe(df, 40, candidates=32)
+    assert merges == naive(list(words.items()), 40, False)
+    assert len(passes) - 1 == sum(n > 0 for n in passes) + 1  # the first round alone asks for neighbours in a second pass
