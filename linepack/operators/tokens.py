@@ -68,11 +68,15 @@ def check_vocab(vocab: DataFrame) -> None:
         raise ValueError("no token is a newline alone")
 
 
+#: Characters of words that an encoder remembers, and of texts that it encodes at once besides those of one row.
+ROOM, AT_ONCE = 16 << 20, 4 << 20
+
+
 class _Encoder:
     """Ids of words by ``merges``; a word is encoded once and remembered while there is room."""
 
     def __init__(self, merges: list[Merge]):
-        self.ranks, self.known = {(a, b): new for a, b, new in merges}, {}
+        self.ranks, self.known, self.held = {(a, b): new for a, b, new in merges}, {}, 0
 
     def word(self, word: str) -> np.ndarray:
         ids, rank = list(word.encode("utf-8", "replace")), self.ranks.get
@@ -85,13 +89,21 @@ class _Encoder:
 
     def rows(self, words: pa.ListArray) -> pa.ListArray:
         """The ids of each row of words: distinct words are encoded, rows gather them."""
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        if not self.ranks:  # bytes are the ids
+            text = words.flatten().cast(pa.binary())
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            raw = np.frombuffer(b"".join(x for x in text.to_pylist() if x), np.uint8)
+            return pa.ListArray.from_arrays(pa.array(ends[np.append(0, np.cumsum(counts))].astype(np.int32)), pa.array(raw.astype(np.int32)))
         coded = words.flatten().dictionary_encode()
-        if len(self.known) > 500_000:
+        if len(self.known) > 500_000 or self.held > ROOM:
             self.known.clear()
+            self.held = 0
         distinct = coded.dictionary.to_pylist()
         for w in distinct:
             if w not in self.known:
                 self.known[w] = self.word(w)
+                self.held += len(w)
         parts = [self.known[w] for w in distinct]
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         flat, first = np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum(size) - size
@@ -99,7 +111,6 @@ class _Encoder:
         n = size[codes]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)), pa.array(ids))
 
 
@@ -115,7 +126,14 @@ def encode(df: DataFrame, words: Column, merges: list[Merge], key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(merges)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.rows(batch.column(1))], names=[key, "ids"])
+            each = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)))
+            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1).flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64)))[each]
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, size[at] + AT_ONCE, side="right")) - 1)
+                some = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([some.column(0), encoder.rows(some.column(1))], names=[key, "ids"])
+                at = end
 
     out = df.select(key, words.alias("w")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>")
     ids = F.reverse("ids") if backwards else F.col("ids")
