@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NONE = float("inf")
+#: Documents whose rows a task writes at once, besides those of one row.
+AT_ONCE = 500
 
 
 class _Shard:
@@ -179,8 +181,11 @@ def assemble_rows(packed: DataFrame, payload: DataFrame, capacity: int, shard: s
             t = t if held is None else pa.concat_tables([held, t])
             begins = np.flatnonzero(t["offset"].to_numpy() == 0)
             last = int(begins[-1])  # the last row may go on in the next batch
-            if last:
-                yield _fill(t.slice(0, last), shard, capacity, fills, rope, stride, count_on)
+            at = 0
+            while at < last:  # some rows at once, or one
+                stop = begins[max(int(np.searchsorted(begins, at + AT_ONCE, side="right")) - 1, int(np.searchsorted(begins, at)) + 1)]
+                yield _fill(t.slice(at, stop - at), shard, capacity, fills, rope, stride, count_on)
+                at = int(stop)
             held = t.slice(last)
         if held is not None:
             yield _fill(held, shard, capacity, fills, rope, stride, count_on)

@@ -169,9 +169,8 @@ ROW, CHAT_ROW = 512, 1024
 
 def _packed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as blocks of token ids, and their places in rows by the lengths of their layouts."""
-    docs = word_documents(spark, sf_dir, ids=True)
-    lengths = _shard(L.fits(docs, ROW).select("doc_id", "source", L.row_length().alias("length")))
-    return docs, E.pack_whole(lengths, ROW, "shard")
+    lengths = _shard(L.fits(word_documents(spark, sf_dir), ROW).select("doc_id", "source", L.row_length().alias("length")))
+    return word_documents(spark, sf_dir, ids=True), E.pack_whole(lengths, ROW, "shard")
 
 
 def _text(*names: str):
@@ -186,7 +185,8 @@ def e02_pack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e03_rebase_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position offsets of the documents of packed rows: a document's last position is its last thread's deepest one."""
-    docs, packed = _packed_documents(spark, sf_dir)
+    _, packed = _packed_documents(spark, sf_dir)
+    docs = word_documents(spark, sf_dir)
     furthest = F.array_max(F.transform("lens", lambda n, t: t * 256 + n + F.when((t == F.col("n_blocks") - 1) & F.col("has_tail"), 1).otherwise(0)))
     placed = packed.join(docs.select("doc_id", furthest.alias("furthest")), "doc_id")
     return E.rebase_offsets(placed, ["shard", "row"], "offset", F.col("furthest"), 256).select("shard", "row", "doc_id", "rope_offset")
@@ -224,7 +224,7 @@ def e07_packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e08_pack_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slice labels in packed rows, each at the position that predicts."""
     docs, packed = _packed_documents(spark, sf_dir)
-    rows = E.assemble_rows(packed, L.rows(L.fits(docs, ROW), "doc_id", more=L.LABELS), ROW, "shard", "doc_id", {"token": 0, **{n: -1 for n in L.LABELS}})
+    rows = E.assemble_rows(packed, L.rows(L.fits(docs, ROW), "doc_id", more=L.LABELS, only=("token", *L.LABELS)), ROW, "shard", "doc_id", {"token": 0, **{n: -1 for n in L.LABELS}})
     return rows.select("shard", "row", *_text("token", *L.LABELS))
 
 
