@@ -27,6 +27,9 @@ from ._words import byte_class, in_pieces, words_of
 KINDS = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 #: Bytes of text of an index block, and of a set of test items that is sent to all tasks at once.
 BLOCK, SET = 2 << 20, 8 << 20
+#: Of the index's files: Parquet's writer keeps a row group in memory, Spark's reader a batch of up to all its rows, so it is
+#: one block. Dictionaries of terms and places would be larger than these, and are given up only when they are full.
+FILES = {"parquet.block.row.count.limit": 1} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("terms", "places")}
 #: Places that are followed at once in a block.
 AT_ONCE = 1 << 21
 
@@ -51,7 +54,8 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     ``ids`` and ``words`` give each document of the block and its number of words, in order; ``places`` the terms' lists,
     one after the other, of ``count`` places each, counted from the block's first word. Null and empty texts are documents
     without words. Ids may be null or repeat; other columns are not carried. A block has ``BLOCK`` bytes of text or one
-    longer document. An empty table gives an empty index.
+    longer document, and is a row group of its own, so the memory of a task does not grow with the blocks of a file. An
+    empty table gives an empty index.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
@@ -65,7 +69,7 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
     schema = f"block bigint, ids array<{kind}>, words array<int>, terms array<binary>, count array<int>, places array<int>"
     path = path or scratch(own.sparkSession, "postings")
-    own.mapInArrow(run, schema).write.parquet(path)
+    own.mapInArrow(run, schema).write.options(**FILES).parquet(path)
     return read_index(own.sparkSession, path)
 
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from linepack.llm import decontaminate as D
@@ -65,6 +66,22 @@ def test_sets_of_items_give_the_same(spark, monkeypatch):
     assert sum(r.contaminated for r in got.collect()) >= 5
 
 
+def test_a_row_group_is_one_block(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    docs = [*enumerate(texts(rnd, 120)), (120, "word " * 400)]
+    items = [(i, docs[7 * i][1]) for i in range(10)]
+    monkeypatch.setattr(D, "BLOCK", 300)
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), f"file://{tmp_path}/index")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) == index.count() > 15 and {g.num_rows for g in groups} == {1}
+    columns = [g.column(c) for g in groups for c in range(g.num_columns)]
+    assert {c.has_dictionary_page for c in columns if c.path_in_schema in ("terms.list.element", "places.list.element")} == {False}
+    assert D.documents_of(index).count() == len(docs)
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == plain(docs, items)
+
+
 def block(texts_):
     b = D._block(0, pa.array(range(len(texts_))), pa.array(texts_))
     return {c: b.column(c)[0].values for c in ("words", "terms", "count", "places")}
